@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sketch(text: Column, shingle: int = 5, fraction: float = 0.125) -> Column:
+def sketch(text: Column, shingle: int = 5, fraction: float = 0.25) -> Column:
     """Sorted distinct 64-bit hashes of the word shingles of ``text`` that lie below ``fraction`` of the range.
 
     Words are lower-cased and split at white space; with fewer words than ``shingle`` all of them are the one shingle.
@@ -30,7 +30,7 @@ def sketch(text: Column, shingle: int = 5, fraction: float = 0.125) -> Column:
     return F.get(F.transform(named, kept), 0)
 
 
-def merged(sketches: Column, fraction: float = 0.125) -> Column:
+def merged(sketches: Column, fraction: float = 0.25) -> Column:
     """Sketch of a union of texts' shingles, from an array of their sketches."""
     bound = -(1 << 63) + int(fraction * (1 << 64))
     every = F.sort_array(F.array_distinct(F.flatten(sketches)))
@@ -94,7 +94,7 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(following, F.lit(1), half))
 
 
-def sketch_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, fraction: float = 0.125) -> DataFrame:
+def sketch_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, fraction: float = 0.25) -> DataFrame:
     """Sketches of every text, of its edited text and of the next text, with their likeness.
 
     Returns doc_id, n_chars, edited_text, own, changed (sketches), near_edited, near_next. Texts without words have the empty

@@ -2,52 +2,12 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import new_folder, shared_dir, staged, table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only a local master may run without it; it then gets a temporary folder of its own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("stallkeeper.shared.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="stallkeeper-")
-        spark.conf.set("stallkeeper.shared.dir", path)
-    return path.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application, whatever folder the driver was started in."""
-    sc, package = spark.sparkContext, Path(__file__).parents[1]
-    if f"{package.name}.zip" not in sc._python_includes:
-        folder = tempfile.mkdtemp(prefix="stallkeeper-")
-        sc.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["id_and_text", "new_folder", "shared_dir", "staged", "table"]
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

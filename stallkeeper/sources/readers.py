@@ -20,8 +20,7 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame:
 
 def create_prices(spark: SparkSession, name: str) -> None:
     """Create the price table if it isn't there."""
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PRICES)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({PRICES}) USING parquet")
 
 
 def read_catalogue(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
 
+class Schema(str):
+    """A schema as DDL, which every reader takes."""
 
-def _s(**fields: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in fields.items()))
+    @property
+    def names(self) -> list[str]:
+        return [field.split()[0] for field in self.split(", ")]
+
+
+def _s(**fields: str) -> Schema:
+    return Schema(", ".join(f"{k} {v}" for k, v in fields.items()))
 
 
 PRICES = _s(item="string", price_twd="double", volume="bigint", last_updated="timestamp")

@@ -18,9 +18,9 @@ def token_estimate(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long")
 
 
-def domain_model(labelled: DataFrame, domain_col: str, text_col: str = "text", most_rows: int = 3000, **options) -> SubwordModel:
-    """Subword classifier of ``domain_col``, from a bounded sample (``most_rows``) of the labelled table."""
-    return fit(labelled, domain_col, text_col, most_rows=most_rows, **{"epochs": 4, "buckets": 1 << 15} | options)
+def domain_model(sample: DataFrame, domain: Column, text_col: str = "text", **options) -> SubwordModel:
+    """Subword classifier of ``domain``, from a bounded sample of the labelled table."""
+    return fit(sample, domain, text_col, **{"epochs": 4, "buckets": 1 << 15} | options)
 
 
 def memberships(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,23 +17,21 @@ WEIGHTS = {"en 1": 0.5, "de 1": 0.15, "fr 1": 0.15, "es 1": 0.15, "en 0": 0.02,
 QUALITY = 0.3
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
-
-
 def crc_fold(col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string").cast("binary")) % 5
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> subword.SubwordModel:
     """Trained on labels outside the held-out fold only."""
-    return subword.fit(labelled(spark, sf_dir).filter(crc_fold() != 0), "quality", most_rows=4000, epochs=4, rate=1.0)
+    labels = table(spark, sf_dir, "labels").filter(crc_fold() != 0).select("doc_id", "quality")
+    sample = subword.labelled_sample(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, 4000)
+    return subword.fit(sample, F.col("quality"), epochs=4, rate=1.0)
 
 
 def domain_model(spark: SparkSession, sf_dir: str) -> subword.SubwordModel:
-    rows = labelled(spark, sf_dir).withColumn("domain", F.concat_ws(" ", "lang", F.col("quality").cast("string")))
-    return mixing.domain_model(rows.filter("lang is not null and quality is not null"), "domain", rate=1.0)
+    labels = table(spark, sf_dir, "labels").filter("quality is not null").select("doc_id", "quality")
+    sample = subword.labelled_sample(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), labels, 3000)
+    return mixing.domain_model(sample, F.concat("lang", F.lit(" "), F.col("quality").cast("string")), rate=1.0)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Character n-gram lengths of a word written between < and >.
@@ -129,14 +130,26 @@ def train(texts: list[str], labels: list, classes: list, buckets: int = 1 << 16,
     return SubwordModel(list(classes), np.ascontiguousarray((emb @ out).T, np.float32), bias)
 
 
-def fit(labelled: DataFrame, label_col: str, text_col: str = "text", most_rows: int = 6000, most_chars: int = 40_000, **options) -> SubwordModel:
-    """Train on a bounded sample: the ``most_rows`` rows of the smallest text hashes, among texts of at most ``most_chars``.
+def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 40_000) -> DataFrame:
+    """Bounded training sample: documents of ``most_rows`` label rows at most, those of the smallest hashes of their ids.
+
+    Only ids and labels are ordered, thinned by hash first so that each task sends a few; as no more than ``most_rows`` are left, they
+    are sent to the tasks that read the documents, and no text is shuffled. Texts longer than ``most_chars`` are left out.
+    """
+    n, hashed = labels.count(), F.xxhash64(id_col)
+    if n > 2 * most_rows:
+        labels = labels.filter(hashed < -(1 << 63) + int((1 << 64) * 1.3 * most_rows / n))
+    chosen = labels.filter(F.col(id_col).isNotNull()).orderBy(hashed, *labels.columns).limit(most_rows)
+    return docs.filter(F.length(text_col) <= most_chars).join(F.broadcast(chosen), id_col)
+
+
+def fit(sample: DataFrame, label: Column, text_col: str = "text", **options) -> SubwordModel:
+    """Train on a bounded sample (``labelled_sample``), collected in the order of text hashes.
 
     Rows without a label are left out. Without any labelled row the model knows one class, None.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = labelled.filter(F.col(label_col).isNotNull() & (F.length(text) <= most_chars))
-    rows = rows.select(text.alias("t"), F.col(label_col).alias("y")).orderBy(F.xxhash64("t"), "y", "t").limit(most_rows).collect()
+    rows = sample.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), label.alias("y")).filter("y is not null").collect()
+    rows = sorted(rows, key=lambda r: (zlib.crc32(r.t.encode()), r.t, r.y))
     classes = sorted({r.y for r in rows})
     return train([r.t for r in rows], [r.y for r in rows], classes, **options) if classes else SubwordModel([None], np.zeros((1, 2), np.float32), np.zeros(1, np.float32))
 

@@ -104,13 +104,17 @@ def document_features(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: list[str], labels: list, classes: list, buckets: int = 1 << 16, dim: int = 12, epochs: int = 6,
-          rate: float = 0.5, seed: int = 7) -> SubwordModel:
-    """Stochastic gradient descent, one document at a time, over hashed embeddings and softmax weights."""
+          rate: float = 0.5, least_steps: int = 8000, seed: int = 7) -> SubwordModel:
+    """Stochastic gradient descent, one document at a time, over hashed embeddings and softmax weights.
+
+    Few documents are gone over more often, so that ``least_steps`` are made.
+    """
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     out, bias = np.zeros((dim, len(classes)), np.float32), np.zeros(len(classes), np.float32)
     rows = [document_features(t, buckets) for t in texts]
     y = [classes.index(v) for v in labels]
+    epochs = max(epochs, -(-least_steps // max(1, len(rows))))
     steps, done = epochs * max(1, len(rows)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):

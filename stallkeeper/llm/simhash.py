@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, staged
@@ -16,24 +17,28 @@ from .common import id_and_text, staged
 STEP = 100_000
 
 
-def simhash64(text: str, shingle: int) -> int:
-    """SimHash of the word shingles (repeats included) as an unsigned number; 0 without words.
+def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the word shingles, repeats included, ``STEP`` at a time.
 
-    A-Z are lower-cased, words are what ASCII white space leaves, h is XXH64 with seed 42;
-    with fewer words than ``shingle`` the whole sequence is the one shingle. A bit is 1 if set in over half the h.
+    A-Z are lower-cased, words are what ASCII white space leaves; with fewer words than ``shingle`` the whole sequence
+    is the one shingle; without words there is none.
     """
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
+    n = max(1, len(words) - shingle + 1) if words else 0
     for at in range(0, n, STEP):
         part = words[at : min(n, at + STEP) + shingle - 1]
         rows = zip(*(part[k:] for k in range(shingle))) if len(part) >= shingle else [part]
-        h = np.array([xxh64_intdigest(b" ".join(r), 42) for r in rows], "<u8")
+        yield np.array([xxh64_intdigest(b" ".join(r), 42) for r in rows], "<u8")
+
+
+def simhash64(hashes: Iterable[np.ndarray]) -> int:
+    """SimHash of shingle hashes as an unsigned number: a bit is 1 if set in over half of them; 0 without any."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in hashes:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
@@ -43,7 +48,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash64(x.as_py(), shingle) for x in batch.column(1)], np.uint64).view(np.int64)
+            fps = np.array([simhash64(shingle_hashes(x.as_py(), shingle)) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
@@ -140,16 +145,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def simhash_components(prints: DataFrame, distance: int = 3, blocks: int = 6, bucket: int = 20_000) -> DataFrame:
-    """doc_id, fp, root: equal roots for documents whose fingerprints are joined by chains of pairs within ``distance`` bits.
-
-    ``prints`` has (doc_id, fp) and is read more than once. Equal fingerprints are one node, however many rows hold them.
-    """
-    nodes = prints.select("fp").distinct()
-    roots = components(links(nodes, distance, blocks, bucket))
-    return prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 3,
                     blocks: int = 6) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row.
@@ -167,18 +162,98 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 3, blocks: int = 6) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: that of the smallest id (null ids last).
+def block_prints(text: str, shingle: int, blocks: int, per_block: int, sketch: int) -> tuple[int, int, list[int], list[int]]:
+    """(content, SimHash, block keys, sketch) of a text, as signed longs; content is a hash of its set of shingles.
 
-    Rows that agree in every column count as one. The columns are those of ``docs``.
+    The hash range is split into as many blocks (a power of two) as leave about ``per_block`` shingles or up to twice as many in one;
+    a block's key hashes the shingles that fall into it. Two texts whose sets differ in fewer shingles than there are blocks
+    have an equal block. At a Jaccard index of 0.8 a block is left unchanged in a quarter of cases or more, so the first
+    ``blocks`` of them are taken. A pair's sizes differ by a quarter at most, so the split of the larger size is taken too.
+    Blocks of one shingle, which a common passage alone could fill, are left out of all but the shortest texts.
+    ``sketch`` is the number of smallest hashes kept: up to that size it is the whole set.
+    """
+    from xxhash import xxh64_intdigest
+
+    every = list(shingle_hashes(text, shingle))
+    if not every:
+        return 0, 0, [], []
+    h = np.unique(np.concatenate(every))
+    keys = []
+    for level in sorted({max(0, int(math.log2(size / per_block))) if size > per_block else 0 for size in (len(h), 1.25 * len(h))}):
+        edges = [g << (64 - level) for g in range(min(1 << level, blocks) + 1)]
+        at = np.append(np.searchsorted(h, np.array(edges[:-1], np.uint64)), len(h) if edges[-1] >> 64 else np.searchsorted(h, np.uint64(edges[-1])))
+        keys += [xxh64_intdigest(h[i:j].tobytes(), level << 8 | g) for g, (i, j) in enumerate(zip(at[:-1], at[1:])) if j - i >= (2 if len(h) >= 8 else 1)]
+    signed = lambda x: np.array(x, np.uint64).view(np.int64).tolist()
+    return signed([xxh64_intdigest(h.tobytes(), 1)])[0], signed([simhash64(every)])[0], signed(keys), h[:sketch].view(np.int64).tolist()
+
+
+def likeness(a: np.ndarray, b: np.ndarray, sketch: int) -> float:
+    """Jaccard index of two sets from their smallest hashes: exact while both have fewer than ``sketch``, else an estimate."""
+    both = np.union1d(a, b)
+    if len(a) >= sketch or len(b) >= sketch:
+        both = both[:sketch]
+    return len(np.intersect1d(np.intersect1d(a, b, True), both, True)) / max(1, len(both))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 22,
+                blocks: int = 32, per_block: int = 3, sketch: int = 256, slack: float = 0.05) -> DataFrame:
+    """doc_id, content, root: equal roots for texts joined by chains of pairs whose shingle sets have at least that Jaccard index.
+
+    Close pairs share a block (``block_prints``). The members of a block are joined to its two pivots, those of the least and the
+    largest hash, so a block gives fewer than two pairs for each member, however many there are; different blocks have
+    different pivots. Pairs within ``distance`` bits of SimHash are verified by their sketches: exactly for up to
+    ``sketch`` shingles, and with ``slack`` (two standard errors) for longer texts. Texts with equal sets are one node;
+    texts without words are alike. A SimHash of 64 bits alone can't do this: at an index of 0.8 about ten of its bits differ.
+    """
+    rows = id_and_text(docs, id_col, text_col)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c, fp, keys, _ = zip(*(block_prints(x.as_py(), shingle, blocks, per_block, 0) for x in b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "c", "fp", "keys"])
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c, _, _, s = zip(*(block_prints(x.as_py(), shingle, 0, per_block, sketch) for x in b.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(s, pa.list_(pa.int64()))], ["c", "s"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, z, one, two = b.columns
+            ok = []
+            for x, y in zip(one, two):
+                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
+                ok.append(likeness(x, y, sketch) >= similarity - slack * (max(len(x), len(y)) >= sketch))
+            yield pa.RecordBatch.from_arrays([a, z], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    found = staged(rows.mapInArrow(prints, f"doc_id {kind}, c long, fp long, keys array<long>"), "block-prints")
+    nodes = found.groupBy("c").agg(F.min(F.struct("fp", "keys")).alias("p")).select("c", "p.fp", F.explode(F.array_distinct("p.keys")).alias("key"))
+    member = F.struct(F.xxhash64("c", "key").alias("h"), "c", "fp")
+    pivots = nodes.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high")).filter("low.c <> high.c")
+    near_by = lambda p: F.bit_count(F.col("fp").bitwiseXOR(F.col(f"{p}.fp"))) <= distance
+    joined = nodes.join(pivots, "key")
+    pairs = joined.select("c", F.explode(F.array(*[F.when((F.col("c") != F.col(f"{p}.c")) & near_by(p), F.col(f"{p}.c")) for p in ("low", "high")])).alias("d")).filter("d is not null")
+    pairs = staged(pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), "near-pairs")
+    asked = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+    sets = rows.select("text").mapInArrow(sketches, "c long, s array<long>").join(asked, "c", "left_semi")
+    sets = staged(sets.groupBy("c").agg(F.first("s").alias("s")), "near-sketches")
+    one, two = sets.select(F.col("c").alias("a"), F.col("s").alias("x")), sets.select(F.col("c").alias("b"), F.col("s").alias("y"))
+    edges = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+    roots = components(edges).withColumnRenamed("node", "c")
+    return found.select("doc_id", "c").join(roots, "c", "left").select("doc_id", F.col("c").alias("content"), F.coalesce("root", "c").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group of ``near_copies``: that of the smallest id (null ids last).
+
+    Rows that agree in every column count as one. The columns are those of ``docs``; a null text is an empty one; an empty table
+    gives no rows.
     """
     key = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
     keyed = docs.withColumns({"__id": F.col(id_col), "__row": key})
-    rows = keyed.select(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row").alias("doc_id"), text_col)
-    prints = staged(fingerprints(rows, "doc_id", text_col, shingle), "prints")
-    roots = components(links(prints.select("fp").distinct(), distance, blocks, 20_000)).withColumnRenamed("node", "fp")
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(roots, "fp", "left")
-    first = first.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("doc_id").alias("doc_id")).select("doc_id.__id", "doc_id.__row")
-    first = first.withColumnRenamed("__id", "__k").withColumnRenamed("__row", "__r")
+    rows = keyed.select(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row").alias("doc_id"), F.col(text_col).alias("text"))
+    first = near_copies(rows, "doc_id", "text", **options).groupBy("root").agg(F.min("doc_id").alias("doc_id"))
+    first = first.select(F.col("doc_id.__id").alias("__k"), F.col("doc_id.__row").alias("__r"))
     kept = keyed.join(first, F.col("__id").eqNullSafe(F.col("__k")) & (F.col("__row") == F.col("__r")), "left_semi")
     return kept.dropDuplicates(["__id", "__row"]).select(*[f"`{c}`" for c in docs.columns])

@@ -271,7 +271,7 @@ def slow_components(prints, distance=3):
 def test_simhash_bits(monkeypatch, odd_docs, step):
     monkeypatch.setattr(simhash, "STEP", step)
     for _, t in rows_of(odd_docs):
-        assert simhash.simhash64(t, 3) == slow_simhash(t, 3)
+        assert simhash.simhash64(simhash.shingle_hashes(t, 3)) == slow_simhash(t, 3)
 
 
 @pytest.mark.parametrize("bucket", [20_000, 3])
@@ -310,18 +310,66 @@ def test_near_duplicates(spark, odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
+def shingle_set(text):
+    w = text.encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def edited_copies(rng, length, copies, edits):
+    base = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+    out = [base]
+    for _ in range(copies):
+        words = list(rng.choice(out))
+        for _ in range(rng.randrange(1, edits + 1)):
+            words[rng.randrange(length)] = f"w{rng.randrange(10**6)}"
+        out.append(words)
+    return [" ".join(w) for w in out]
+
+
+def test_near_copies_is_brute_force(spark):
+    rng = random.Random(21)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [t for n, c, e in ((40, 12, 1), (90, 20, 2), (200, 30, 4), (240, 8, 4)) for t in edited_copies(rng, n, c, e)]
+    texts += [passage + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(40, 300))) for _ in range(40)]  # share a passage only
+    texts += ["", " ", "one", "one", "one two", None]
+    sets = [shingle_set(t or "") for t in texts]
+    root = list(range(len(texts)))
+    for _ in range(len(texts)):
+        before = list(root)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if (not a and not b) or (a | b and len(a & b) / len(a | b) >= 0.8):
+                    root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    got = {}
+    for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.root, set()).add(r.doc_id)
+    want = {}
+    for i, r in enumerate(root):
+        want.setdefault(r, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_long_copies_are_found(spark):
+    rng = random.Random(5)
+    groups = [edited_copies(rng, 3000, 6, 40) for _ in range(4)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(t for g in groups for t in g)], "doc_id long, text string")
+    roots = {}
+    for r in simhash.near_copies(df).collect():
+        roots.setdefault(r.root, set()).add(r.doc_id // 7)
+    assert sorted(map(sorted, roots.values())) == [[0], [1], [2], [3]]
+
+
 def test_keep_one(spark, odd_docs, no_docs):
     kept = simhash.keep_one(odd_docs.unionByName(odd_docs))  # every row twice
-    rows = rows_of(odd_docs)
-    prints = {t: slow_simhash(t, 5) for _, t in rows}
-    low = slow_components(sorted(set(prints.values())))
+    rows = [(k, shingle_set(t)) for k, t in rows_of(odd_docs)]
+    want = []
+    for k, s in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        if not any((not s and not x) or (s | x and len(s & x) / len(s | x) >= 0.8) for _, x in want):
+            want.append((k, s))
     assert kept.columns == odd_docs.columns
-    got = [(r.doc_id, low[prints[r.text or ""]]) for r in kept.collect()]
-    want = {}
-    for k, t in rows:
-        g = low[prints[t]]
-        want[g] = min([k, want.get(g, k)], key=lambda x: (x is None, x or 0))
-    assert sorted(got, key=str) == sorted(((k, g) for g, k in want.items()), key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((k for k, _ in want), key=str)
     assert simhash.keep_one(no_docs).count() == 0
 
 

@@ -144,11 +144,13 @@ def read_store(spark, path: str) -> DataFrame:
     recipes = spark.read.schema(schema).parquet(f"{path}/landed").filter("kind = 'recipe'").select("key", "parts")
     whole = F.forall("parts", lambda p: p["data"].isNotNull())
     store = spark.read.schema("digest binary, data binary").parquet(f"{path}/chunks")
-    some = recipes.filter(~whole).groupBy("key").agg(F.first("parts").alias("parts"))
-    parts = some.select("key", F.posexplode("parts").alias("seq", "p")).select("key", "seq", "p.digest", "p.data")
-    filled = parts.join(store.withColumnRenamed("data", "stored"), "digest", "left")
-    filled = filled.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", F.coalesce("data", "stored").alias("data")))).alias("p"))
-    filled = filled.select("key", F.transform("p", lambda x: F.struct(x["digest"].alias("digest"), x["data"].alias("data"))).alias("parts"))
+    some = recipes.filter(~whole)
+    absent = F.array_distinct(F.transform(F.filter("parts", lambda p: p["data"].isNull()), lambda p: p["digest"]))
+    asked = some.select("key", absent.alias("digests")).distinct().select("key", F.explode("digests").alias("digest"))
+    got = asked.join(store, "digest").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("digest", "data"))).alias("got"))
+    once = some.groupBy("key").agg(F.first("parts").alias("parts"))
+    fill = lambda p: F.struct(p["digest"].alias("digest"), F.coalesce(p["data"], F.try_element_at("got", p["digest"])).alias("data"))
+    filled = once.join(got, "key").select("key", F.transform("parts", fill).alias("parts"))
     return recipes.filter(whole).unionByName(filled)
 
 

@@ -41,10 +41,10 @@ def latest_deals(deals: DataFrame, n: int = 50, order: str = "created_at", tie:
 
 
 def deals_view(deals: DataFrame) -> DataFrame:
-    """Display columns of deals with created_at, author, skin_name, seller_price, buff_price, profit, profit_margin, volume, risk."""
+    """Display columns of deals with created_at, author, skin_name, seller_price, market_price, profit, profit_margin, volume, risk."""
     gain = F.concat(fmt_sign(F.col("profit")), fmt_money(F.col("profit")), F.lit(" ("), fmt_pct(F.col("profit_margin")), F.lit(")"))
     return deals.select(F.coalesce(ts_short(F.col("created_at")), F.lit("")).alias("time"), "author", "skin_name", fmt_money(F.col("seller_price")).alias("ask"),
-                        fmt_money(F.col("buff_price")).alias("market"), gain.alias("gain"), F.format_number("volume", 0).alias("volume"),
+                        fmt_money(F.col("market_price")).alias("market"), gain.alias("gain"), F.format_number("volume", 0).alias("volume"),
                         map_get(RISKS, F.col("risk"), "").alias("risk"))
 
 

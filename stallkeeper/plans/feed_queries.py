@@ -68,18 +68,18 @@ def box_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
   w AS (SELECT doc_id, pos, line, first_value(price IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS found FROM m)
   SELECT doc_id, CAST(pos AS INTEGER) AS pos, found FROM w WHERE length(line) % 7 = 2""")
 def lookahead_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.when(F.length("x") % 7 == 2, "BUFF").otherwise(F.when(F.length("x") % 3 == 0, F.concat(F.lit("¥"), F.length("x").cast("string"))).otherwise("-"))
+    line = F.when(F.length("x") % 7 == 2, "MARK").otherwise(F.when(F.length("x") % 3 == 0, F.concat(F.lit("¥"), F.length("x").cast("string"))).otherwise("-"))
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "x"))
 
     price = F.when(F.length("x") % 3 == 0, F.length("x").cast("double"))
-    return lookahead_first(lines.withColumn("line", line).withColumn("p", price), "doc_id", "pos", F.col("line") == "BUFF", F.col("p")).select("doc_id", "pos", "found")
+    return lookahead_first(lines.withColumn("line", line).withColumn("p", price), "doc_id", "pos", F.col("line") == "MARK", F.col("p")).select("doc_id", "pos", "found")
 
 
 @query("SELECT p_partkey, CAST(p_retailprice AS DOUBLE) AS found FROM part WHERE p_size % 2 = 0")
 def page_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.format_number("p_retailprice", 2)
-    page = F.concat_ws("\n", F.lit("header"), F.lit(" BUFF163 "), F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("from ¥"), price)).otherwise("sold out"), F.lit("end"))
-    found = feed.page_price(table(spark, sf_dir, "part").select("p_partkey", page.alias("t")), "p_partkey", "t", "BUFF163")
+    page = F.concat_ws("\n", F.lit("header"), F.lit(" MARKET "), F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("from ¥"), price)).otherwise("sold out"), F.lit("end"))
+    found = feed.page_price(table(spark, sf_dir, "part").select("p_partkey", page.alias("t")), "p_partkey", "t", "MARKET")
     return found.filter("found is not null").select("p_partkey", "found")
 
 
@@ -149,14 +149,14 @@ def accept_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.accept_verified(readings(spark, sf_dir).select(key.alias("id"), "attempt", "name", "price", (F.col("confidence") >= 0.5).alias("verified")))
 
 
-@query("SELECT doc_id, 'L' || n_chars % 7 AS verdict FROM documents WHERE n_chars % 2 = 0")
+@query("SELECT doc_id, 'L' || n_chars % 7 AS verdict FROM documents WHERE n_chars > 1000")
 def enrich_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hook with a caller's function over the rows that a rule leaves."""
 
     def verdict(frame):
         return frame.assign(verdict="L" + (frame.n_chars % 7).astype(str))[["doc_id", "verdict"]]
 
-    return enrich.enrich_with(table(spark, sf_dir, "documents").filter("n_chars % 2 = 0").select("doc_id", "n_chars"), verdict, "doc_id bigint, verdict string")
+    return enrich.enrich_with(table(spark, sf_dir, "documents").filter("n_chars > 1000").select("doc_id", "n_chars"), verdict, "doc_id bigint, verdict string")
 
 
 @query("""WITH w(i, n) AS (VALUES (0, 'AK-47 | 火蛇 (略有磨损)'), (1, 'AK-47 | 火蛇 (久经沙场)'), (2, '')) SELECT p_partkey, n AS local_name FROM part JOIN w ON i = p_partkey % 3""")

@@ -127,7 +127,7 @@ def dict_match_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.match_terms(table(spark, sf_dir, "documents"), words, "doc_id", "text")
 
 
-@query(f"""WITH l AS ({LISTING_SQL}), f AS (SELECT p_name || ' ' || p_brand AS term, min(p_partkey) AS ord FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
+@query(f"""WITH l AS ({LISTING_SQL}), f AS (SELECT p_name || ' ' || p_brand AS term, min(p_partkey) AS ord FROM part WHERE p_size <= 25 GROUP BY 1),
   p AS (SELECT p_name AS term, min(p_partkey) AS ord FROM part WHERE length(p_name) >= 2 GROUP BY 1),
   a AS (SELECT id, 'full' AS mode, term, row_number() OVER (PARTITION BY id ORDER BY ord, term) AS rn FROM l JOIN f ON contains(content, term)),
   b AS (SELECT id, 'pattern' AS mode, term, row_number() OVER (PARTITION BY id ORDER BY ord, term) AS rn FROM l JOIN p ON contains(content, term) WHERE id NOT IN (SELECT id FROM a))
@@ -135,15 +135,15 @@ def dict_match_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     named = lambda df, term: df.groupBy(term.alias("term")).agg(F.min("p_partkey").alias("ord")).withColumn("target", F.upper("term"))
-    full = named(part.filter("p_partkey % 2 = 0"), F.concat_ws(" ", "p_name", "p_brand"))
+    full = named(part.filter("p_size <= 25"), F.concat_ws(" ", "p_name", "p_brand"))
     return terms.dictionary_lookup(listing_text(spark, sf_dir), full, named(part, F.col("p_name")), "id", "content")
 
 
-@query("""WITH t AS (SELECT p_name AS term, min(p_brand) AS target FROM part WHERE p_size % 2 = 0 GROUP BY 1), r AS (SELECT DISTINCT p_name AS term FROM part UNION SELECT 'no such term')
+@query("""WITH t AS (SELECT p_name AS term, min(p_brand) AS target FROM part WHERE p_size <= 10 AND p_retailprice > 950 GROUP BY 1), r AS (SELECT DISTINCT p_name AS term FROM part UNION SELECT 'no such term')
   SELECT r.term, coalesce(t.target, '(missing)') AS target FROM r LEFT JOIN t USING (term)""")
 def dict_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    have = part.filter("p_size % 2 = 0").select(F.col("p_name").alias("term"), F.col("p_brand").alias("target"))
+    have = part.filter("p_size <= 10 and p_retailprice > 950").select(F.col("p_name").alias("term"), F.col("p_brand").alias("target"))
     required = part.select(F.col("p_name").alias("term")).distinct().union(spark.sql("SELECT 'no such term'"))
     return terms.coverage(have, required)
 
@@ -201,11 +201,11 @@ def dedupe_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe(rows, [F.substring("c_name", 1, 4), "c_nationkey", "c_mktsegment"], ["c_custkey"])
 
 
-@query("""WITH b AS (SELECT page_id, trim(substr(url, 1, 40)) AS s FROM pages), a AS (SELECT page_id AS left_id, trim(substr(url, position('://' IN url) + 3, 40)) AS s FROM pages WHERE page_id % 3 = 0)
+@query("""WITH b AS (SELECT page_id, trim(substr(url, 1, 40)) AS s FROM pages), a AS (SELECT page_id AS left_id, trim(substr(url, position('://' IN url) + 3, 40)) AS s FROM pages)
   SELECT a.left_id, min(b.page_id) AS right_pos FROM a JOIN b ON a.s <> '' AND b.s <> '' AND (contains(b.s, substr(a.s, 1, 15)) OR contains(a.s, substr(b.s, 1, 15))) GROUP BY 1""")
 def prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    left = pages.filter("page_id % 3 = 0").select(F.col("page_id").alias("left_id"), F.expr("substring(url, position('://', url) + 3, 40)").alias("t"))
+    left = pages.select(F.col("page_id").alias("left_id"), F.expr("substring(url, position('://', url) + 3, 40)").alias("t"))
     return feed.prefix_match(left, pages.withColumnRenamed("page_id", "right_pos"), "left_id", "t", "right_pos", "url")
 
 

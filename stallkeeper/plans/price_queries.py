@@ -59,7 +59,7 @@ def deals_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = found.withColumn("created_at", F.timestamp_seconds(F.lit(1704067200) + F.col("l_orderkey") * 60)).withColumn("post_id", F.struct(*keys))
     last = deals.latest_deals(found, 20)
     risk = F.get(F.array(*map(F.lit, ["low", "medium", "high", "none"])), (F.col("l_linenumber") % 4).cast("int"))
-    named = last.select("created_at", F.to_json("post_id").alias("author"), F.lit("").alias("skin_name"), F.col("ask").alias("seller_price"), F.col("price_twd").alias("buff_price"),
+    named = last.select("created_at", F.to_json("post_id").alias("author"), F.lit("").alias("skin_name"), F.col("ask").alias("seller_price"), F.col("price_twd").alias("market_price"),
                         "profit", F.col("margin").alias("profit_margin"), "volume", risk.alias("risk"))
     shown = deals.deals_view(named).withColumn("k", F.from_json("author", "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint"))
     return shown.select("k.*", "time", "ask", "market", "gain", "volume", "risk")
@@ -80,13 +80,13 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
 
 
-@query(f"""WITH b AS (SELECT *, 0 AS src FROM ({PRICES_SQL})), u AS (SELECT item, price_twd * 2 AS price_twd, volume + 1 AS volume, last_updated + INTERVAL 1 DAY AS last_updated, 1 AS src FROM b WHERE item % 3 = 0
-  UNION ALL SELECT item + 1000000000, price_twd, volume, last_updated, 1 FROM b WHERE item % 5 = 0), a AS (SELECT * FROM b UNION ALL SELECT * FROM u),
+@query(f"""WITH b AS (SELECT *, 0 AS src FROM ({PRICES_SQL})), u AS (SELECT item, price_twd * 2 AS price_twd, volume + 1 AS volume, last_updated + INTERVAL 1 DAY AS last_updated, 1 AS src FROM b WHERE volume % 100 < 40
+  UNION ALL SELECT item + 1000000000, price_twd, volume, last_updated, 1 FROM b WHERE volume % 100 > 80), a AS (SELECT * FROM b UNION ALL SELECT * FROM u),
   r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY last_updated DESC, src DESC) AS rn FROM a) SELECT item, price_twd, volume FROM r WHERE rn = 1""")
 def upsert_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = price_table(spark, sf_dir).filter("last_updated is not null or item is not null")
-    changed = base.filter("item % 3 = 0").select("item", (F.col("price_twd") * 2).alias("price_twd"), (F.col("volume") + 1).alias("volume"), F.expr("last_updated + interval 1 day").alias("last_updated"))
-    new = base.filter("item % 5 = 0").withColumn("item", F.col("item") + 1000000000)
+    changed = base.filter("volume % 100 < 40").select("item", (F.col("price_twd") * 2).alias("price_twd"), (F.col("volume") + 1).alias("volume"), F.expr("last_updated + interval 1 day").alias("last_updated"))
+    new = base.filter("volume % 100 > 80").withColumn("item", F.col("item") + 1000000000)
     return prices.upsert_prices(base, changed.unionByName(new)).drop("last_updated")
 
 
@@ -134,12 +134,12 @@ def match_exact_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH q AS (SELECT user_id AS item, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS source_rank, event_type AS source, value AS price_twd FROM events),
-  s AS (SELECT p_partkey AS item, 0 AS source_rank, 'table' AS source, p_retailprice AS price_twd, CAST(p_size AS BIGINT) AS volume FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT item, source_rank, source, price_twd, NULL FROM q),
+  s AS (SELECT p_partkey AS item, 0 AS source_rank, 'table' AS source, p_retailprice AS price_twd, CAST(p_size AS BIGINT) AS volume FROM part WHERE p_size <= 25 UNION ALL SELECT item, source_rank, source, price_twd, NULL FROM q),
   b AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY source_rank, source, price_twd) AS rn FROM s WHERE price_twd IS NOT NULL)
   SELECT p_partkey AS name, b.source, b.price_twd, coalesce(b.volume, -1) AS volume FROM part LEFT JOIN b ON item = p_partkey AND rn = 1""")
 def price_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, events = table(spark, sf_dir, "part"), table(spark, sf_dir, "events")
-    own = part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("item"), F.lit(0).alias("source_rank"), F.lit("table").alias("source"), F.col("p_retailprice").alias("price_twd"), F.col("p_size").cast("long").alias("volume"))
+    own = part.filter("p_size <= 25").select(F.col("p_partkey").alias("item"), F.lit(0).alias("source_rank"), F.lit("table").alias("source"), F.col("p_retailprice").alias("price_twd"), F.col("p_size").cast("long").alias("volume"))
     rank = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "click", 2).otherwise(3)
     quotes = events.select(F.col("user_id").alias("item"), rank.alias("source_rank"), F.col("event_type").alias("source"), F.col("value").alias("price_twd"), F.lit(0).cast("long").alias("volume"))
     return prices.resolve_price(part.select(F.col("p_partkey").alias("name")), own.unionByName(quotes)).withColumn("volume", F.coalesce("volume", F.lit(-1)))
@@ -179,10 +179,11 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH n AS ({NAMES_SQL}), s AS (SELECT DISTINCT trim(regexp_replace(replace(replace(replace(replace(replace(lower(name), '(', ''), ')', ''), '★ ', ''), ' | ', '-'), ' ', '-'), '-({"|".join(w.lower().replace(" ", "-") for w in WEARS)})$', ''), '-') AS slug, p_partkey FROM n)
-  SELECT p_partkey, slug IN (SELECT slug FROM s WHERE p_partkey % 4 = 0) AS verified FROM s""")
+  SELECT p_partkey, slug IN (SELECT slug FROM s JOIN part USING (p_partkey) WHERE p_size <= 12) AS verified FROM s""")
 def verify_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = item_names(spark, sf_dir)
-    return prices.verify_items(names, names.filter("p_partkey % 4 = 0"), "name", "name").select("p_partkey", "verified")
+    listed = names.join(table(spark, sf_dir, "part").filter("p_size <= 12").select("p_partkey"), "p_partkey", "left_semi")
+    return prices.verify_items(names, listed, "name", "name").select("p_partkey", "verified")
 
 
 @query("""SELECT CAST(count(*) FILTER (WHERE k IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)) AS BIGINT) AS ok, count(*) AS total FROM (SELECT DISTINCT p_partkey AS k FROM part)""")

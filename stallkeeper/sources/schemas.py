@@ -22,7 +22,7 @@ FEED_POSTS = _s(id="string", author="string", text="string", posted_at="timestam
 CATALOGUE = _s(id="string", name="string")
 TERMS = _s(kind="string", term="string", target="string", source="string", priority="int", ord="bigint")
 QUOTES = _s(item="string", source="string", source_rank="int", price_rmb="double", price_twd="double", wear="string", fetched_at="timestamp")
-DEALS = _s(post_id="string", author="string", skin_name="string", link="string", buff_price="double", seller_price="double", profit="double",
+DEALS = _s(post_id="string", author="string", skin_name="string", link="string", market_price="double", seller_price="double", profit="double",
            profit_margin="double", volume="bigint", reason="string", risk="string", created_at="timestamp")
 READINGS = _s(image_id="string", item_id="int", attempt="int", name="string", wear="string", is_checked="boolean", confidence="double", price="double", currency="string")
 CANDIDATES = _s(code="string", data="struct<items:array<struct<market_hash_name:string,name:string,sell_min_price:string,sell_num:bigint,volume:bigint>>>")

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_start(df: DataFrame, group: list[str], order: list[str], block: str, size: str) -> DataFrame:
-    """``df`` with start: the sum of ``size`` over the rows before, in each group.
+END = "<|end|>\n"
 
-    Sums run inside blocks of a group and over the blocks' totals, so a long group is spread over tasks.
+
+def head(own: Column, name: Column) -> Column:
+    return F.when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
+
+
+def block_starts(rows: DataFrame) -> DataFrame:
+    """k, block, starts (array of perspective and the characters before the block in its dialogue).
+
+    ``rows`` has k, block, role, as_user and as_own, the turn's rendered length either way. Only sums for each block and
+    role are shuffled; a window runs over the blocks of one dialogue.
     """
-    inner = Window.partitionBy(*group, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*group, block).agg(F.sum(size).alias("total"))
-    totals = totals.withColumn("base", F.coalesce(F.sum("total").over(outer), F.lit(0))).drop("total")
-    led = df.withColumn("inside", F.coalesce(F.sum(size).over(inner), F.lit(0)))
-    same = [led[c].eqNullSafe(totals[c]) for c in [*group, block]]
-    joined = led.join(totals, same).select(*[led[c] for c in led.columns], totals["base"])
-    return joined.withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside")
+    sums = rows.groupBy("k", "block", "role").agg(F.sum("as_user").alias("u"), F.sum(F.col("as_own") - F.col("as_user")).alias("more"))
+    who = rows.filter("role is not null").select("k", F.col("role").alias("perspective")).distinct()
+    size = sums.groupBy("k", "block").agg(F.sum("u").alias("u")).join(who, "k")
+    own = sums.filter("role is not null").select("k", "block", F.col("role").alias("perspective"), "more")
+    size = size.join(own, ["k", "block", "perspective"], "left").withColumn("size", F.col("u") + F.coalesce("more", F.lit(0)))
+    before = Window.partitionBy("k", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = size.select("k", "block", "perspective", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    return base.groupBy("k", "block").agg(F.collect_list(F.struct("perspective", "base")).alias("starts"))
 
 
 def rotate(turns: DataFrame, block_turns: int = 64) -> DataFrame:
@@ -27,21 +35,24 @@ def rotate(turns: DataFrame, block_turns: int = 64) -> DataFrame:
     ``turns`` has conv_id, turn, role, text. Returns one row for each (conversation, perspective, turn): conv_id, perspective, turn, role
     (assistant for the perspective's own turns, else user), name (the speaker, null for the assistant), rendered, start and end
     (characters in the rendered dialogue), mask_start and mask_end (the characters to learn: the own text and its end mark; equal
-    when the turn is another's). Null texts are empty; turns without a role are said by a user named unknown and have no
-    perspective; a null conv_id is a conversation like any other; repeated rows are rendered as often as they come, ordered by
-    turn, role, text; an empty table gives no rows.
+    when the turn is another's). Texts are shuffled once, by conversation and block of turns, so a long conversation is spread over tasks.
+    Null texts are empty; turns without a role are said by a user named unknown and have no perspective; a null conv_id is a
+    conversation like any other; repeated rows are rendered as often as they come, ordered by turn, name, text; an empty table
+    gives no rows.
     """
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    who = rows.filter("role is not null").select("conv_id", F.col("role").alias("perspective")).distinct()
-    both = rows.join(who.withColumnRenamed("conv_id", "conv"), F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv")
-    own = F.coalesce(F.col("role") == F.col("perspective"), F.lit(False))
-    name = F.coalesce("role", F.lit("unknown"))
-    head = F.when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
-    both = both.select("conv_id", "perspective", "turn", F.when(own, "assistant").otherwise("user").alias("role"),
-                       F.when(~own, name).alias("name"), F.length(head).cast("long").alias("head"), "text",
-                       F.concat(head, "text", F.lit("<|end|>\n")).alias("rendered"), own.alias("own"))
-    both = both.withColumn("size", F.length("rendered").cast("long")).withColumn("block", F.floor(F.col("turn") / block_turns))
-    placed = running_start(both, ["conv_id", "perspective"], ["turn", "name", "text"], "block", "size")
-    mask = F.when(F.col("own"), F.col("start") + F.col("head")).otherwise(F.col("start") + F.col("size"))
-    return placed.select("conv_id", "perspective", "turn", "role", "name", "rendered", "start", (F.col("start") + F.col("size")).alias("end"),
-                         mask.alias("mask_start"), (F.col("start") + F.col("size")).alias("mask_end"))
+    rows = rows.withColumn("k", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))
+    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-1)))
+    name, body = F.coalesce("role", F.lit("unknown")), F.length("text") + len(END)
+    lengths = [(F.length(head(F.lit(own), name)) + body).cast("long").alias(c) for own, c in ((False, "as_user"), (True, "as_own"))]
+    starts = block_starts(rows.select("k", "block", "role", *lengths))
+    both = rows.join(starts, ["k", "block"]).select("conv_id", "k", "block", "turn", F.col("role").alias("speaker"), "text", F.explode("starts").alias("p"))
+    own = F.coalesce(F.col("speaker") == F.col("p.perspective"), F.lit(False))
+    name = F.coalesce("speaker", F.lit("unknown"))
+    both = both.select("conv_id", "k", "block", "turn", "p.perspective", "p.base", own.alias("own"), F.when(~own, name).alias("name"), "text",
+                       F.concat(head(own, name), "text", F.lit(END)).alias("rendered"), F.length(head(own, name)).cast("long").alias("head"))
+    size = F.length("rendered").cast("long")
+    order = Window.partitionBy("k", "block", "perspective").orderBy("turn", "name", "text").rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("end", F.col("base") + F.sum(size).over(order)).withColumn("start", F.col("end") - size)
+    return placed.select("conv_id", "perspective", "turn", F.when(F.col("own"), "assistant").otherwise("user").alias("role"), "name", "rendered", "start", "end",
+                         F.when(F.col("own"), F.col("start") + F.col("head")).otherwise(F.col("end")).alias("mask_start"), F.col("end").alias("mask_end"))

@@ -94,9 +94,10 @@ def document_features(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    distinct, back, times = np.unique(np.array(words, dtype=object).astype(str), return_inverse=True, return_counts=True)
-    found, of = word_features(distinct.tolist(), buckets)
-    weight = times[of].astype(np.float64)
+    places: dict[str, int] = {}
+    back = np.array([places.setdefault(w, len(places)) for w in words])
+    found, of = word_features(list(places), buckets)
+    weight = np.bincount(back)[of].astype(np.float64)
     same = float((back[1:] == back[:-1]).sum())
     idx, place = np.unique(np.concatenate([found, [SAME]]), return_inverse=True)
     share = np.bincount(place, np.concatenate([weight, [same]]), len(idx))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 
 def first_match(df: DataFrame, by: list[str], order: list) -> DataFrame:
     """The first row of each key by ``order``; an aggregate, so that rows are reduced before they are shuffled."""
@@ -33,12 +35,14 @@ def lookahead_first(df: DataFrame, doc: str, pos: str, marker: Column, value: Co
 
 
 def number_rows(df: DataFrame, order: list, prefix: str = "p") -> DataFrame:
-    """``df`` with id: ``prefix`` and the row's place from 0, counted per range of the order, so that no task orders all rows.
+    """``df`` with id: ``prefix`` and the row's place from 0.
 
-    For short reports; keep a real id where there is one.
+    Rows are ordered inside ranges, which are written once so that both uses see the same ranges; only one row for each range
+    is ordered in one task. Keep a real id where there is one.
     """
     n = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     dealt = df.repartitionByRange(int(n), *order).sortWithinPartitions(*order).withColumn("__mono", F.monotonically_increasing_id())
+    dealt = staged(dealt, "numbered")
     part = F.shiftright("__mono", 33)
     counts = dealt.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import slug_v1
 from .common import first_match, latest
 
-#: Price names up to this many are compared with every missed listing name in memory.
+#: Listing names without an exact price, up to this many, go to every task as one automaton.
 MOST_NAMES = 100_000
 
 
@@ -38,16 +41,17 @@ def match_price_exact(listings: DataFrame, prices: DataFrame, name: str = "name"
 def match_price_fuzzy(names: DataFrame, prices: DataFrame, name: str = "name") -> DataFrame:
     """name, item, price_twd, volume: the shortest price name that contains the name, ASCII case aside; ties by name.
 
-    Distinct names are compared. Price names that are too many to be sent to every task are joined by their
-    character triples instead: a name's first three characters must be among them.
+    Distinct names are looked for. Up to ``MOST_NAMES`` of them go to every task as an automaton that reads each price name
+    once; more are joined to the price names' character triples by their first three characters, and verified.
     """
     fold = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     asked = names.select(F.col(name).alias("__name")).filter("__name <> ''").distinct().withColumn("__a", fold(F.col("__name")))
-    table = prices.select("item", "price_twd", "volume", fold(F.col("item")).alias("__b"))
-    hit = F.col("__b").contains(F.col("__a"))
-    if table.limit(MOST_NAMES + 1).count() <= MOST_NAMES:
-        found = asked.join(F.broadcast(table), hit)
+    table = prices.select("item", "price_twd", "volume", fold(F.col("item")).alias("__b")).filter("item is not null")
+    if asked.limit(MOST_NAMES + 1).count() <= MOST_NAMES:
+        hits = _containing(asked.select("__a").distinct(), table.select("item", "__b"))
+        found = asked.join(hits, "__a").join(table, "item")
     else:
+        hit = F.col("__b").contains(F.col("__a"))
         runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__b") - 2, F.lit(1))), lambda i: F.substring("__b", i, F.lit(3))))
         blocked = table.withColumn("__g", F.explode(runs))
         short = asked.filter(F.length("__a") < 3).join(table, hit)
@@ -56,6 +60,27 @@ def match_price_fuzzy(names: DataFrame, prices: DataFrame, name: str = "name") -
     return best.select(F.col("__name").alias(name), "item", "price_twd", "volume")
 
 
+def _containing(asked: DataFrame, table: DataFrame) -> DataFrame:
+    """__a, item: for each task of ``table`` (item, __b) and each asked name the shortest, then least, item that contains it."""
+    sent = asked.sparkSession.sparkContext.broadcast([r[0] for r in asked.collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine, best = ahocorasick.Automaton(), {}
+        for a in sent.value:
+            machine.add_word(a, a)
+        if sent.value:
+            machine.make_automaton()
+            for b in batches:
+                for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    for a in {a for _, a in machine.iter(text)}:
+                        best[a] = min(best.get(a, (len(item), item)), (len(item), item))
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), pa.array([i for _, i in best.values()], pa.string())], ["__a", "item"])
+
+    return table.mapInArrow(run, "__a string, item string").distinct()
+
+
 def match_price(listings: DataFrame, prices: DataFrame, name: str = "name") -> DataFrame:
     """``listings`` with matched_item, price_twd, volume, match_kind: exact, else fuzzy, else none."""
     exact = match_price_exact(listings, prices, name)

@@ -78,10 +78,11 @@ class ShardStore:
             low, t = low * self.fan_in, t + 1
         return t
 
-    def plan(self) -> dict[str, int]:
+    def plan(self, most: int = 50_000) -> dict[str, int]:
         """Shard name -> number of its merge: runs of one tier, filled to the target in order of size.
 
-        A tier is merged when it holds at least ``fan_in`` shards under the target; a merge of one shard is left out.
+        A tier is merged when it holds at least ``fan_in`` shards under half the target; a merge of one shard is left out.
+        One round takes ``most`` shards, the smallest first; ``compact`` goes on with the rest.
         """
         merges, number = {}, 0
         tiers: dict[int, list[Shard]] = {}
@@ -89,31 +90,41 @@ class ShardStore:
             if s.size < self.target // 2:
                 tiers.setdefault(self.tier(s), []).append(s)
         for t in sorted(tiers):
-            group, held = [], 0
-            if len(tiers[t]) < self.fan_in:
+            if len(tiers[t]) < self.fan_in or len(merges) + len(tiers[t]) > most and merges:
                 continue
-            for s in sorted(tiers[t], key=lambda s: (s.size, s.name)):
-                if group and held + s.size > self.target:
-                    if len(group) > 1:
-                        merges |= {x.name: number for x in group}
-                        number += 1
-                    group, held = [], 0
-                group.append(s)
+            groups, held = [[]], 0
+            for s in sorted(tiers[t], key=lambda s: (s.size, s.name))[:most]:
+                if groups[-1] and held + s.size > self.target:
+                    groups.append([])
+                    held = 0
+                groups[-1].append(s)
                 held += s.size
-            if len(group) > 1:
-                merges |= {x.name: number for x in group}
-                number += 1
+            for group in groups:
+                if len(group) > 1:
+                    merges |= {x.name: number for x in group}
+                    number += 1
         return merges
 
+    def slots(self, n: int) -> list[int]:
+        """For each of ``n`` partitions a number that Spark's hash sends there."""
+        ids = self.spark.range(40 * n).select(F.col("id").cast("int").alias("slot"))
+        got = ids.groupBy(F.pmod(F.hash("slot"), F.lit(n)).alias("part")).agg(F.min("slot").alias("slot")).collect()
+        return [{r.part: r.slot for r in got}.get(k, k) for k in range(n)]
+
     def compact(self) -> int:
-        """Merge by ``plan`` until nothing is left to merge; each round commits one version. Returns the last version."""
+        """Merge by ``plan`` until nothing is left to merge; each round commits one version. Returns the last version.
+
+        Every merge is one partition of one shuffle, and one file. The plan of a round is bounded, so it is sent to every task.
+        """
         while merges := self.plan():
             base = self.version()
             live = self.manifest(base)
-            old = [s for s in live if s.name in merges]
-            lookup = self.spark.createDataFrame([(*n.removeprefix("run=").split("/shard="), k) for n, k in merges.items()], "run string, shard string, merge int")
-            rows = self.rows([s.name for s in old]).join(lookup.withColumn("shard", F.col("shard").cast("int")), ["run", "shard"])
-            rows = rows.select("row", F.col("merge").alias("shard")).repartition(max(2, len(set(merges.values()))), "shard")
+            old, n = [s for s in live if s.name in merges], len(set(merges.values()))
+            slots = self.slots(n)
+            moves = [(name[4:].split("/shard=")[0], int(name.split("/shard=")[1]), k, slots[k]) for name, k in merges.items()]
+            lookup = self.spark.createDataFrame(moves, "run string, shard int, merge int, slot int")
+            rows = self.rows([s.name for s in old]).join(F.broadcast(lookup), ["run", "shard"])
+            rows = rows.select("row", "merge", "slot").repartition(n, "slot").select("row", F.col("merge").alias("shard"))
             new = self._write(rows, f"m{base + 1}")
             if sum(s.rows for s in new) != sum(s.rows for s in old):
                 raise RuntimeError("a merge changed the number of rows")

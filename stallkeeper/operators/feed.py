@@ -125,6 +125,17 @@ def page_price(pages: DataFrame, doc: str, text: str, marker: str, rows: int = 8
     return lookahead_first(lines.withColumn("__p", price), doc, "pos", F.trim("line") == marker, F.col("__p"), rows).select(doc, "pos", "found")
 
 
-def longer_text(a: Column, b: Column) -> Column:
-    return F.when(F.length(b) > F.length(a), b).otherwise(a)
+def head_items(items: Column, n: int = 3) -> Column:
+    return F.slice(items, 1, n)
 
+
+def attach_images(posts: DataFrame, rendered: DataFrame) -> DataFrame:
+    """``posts`` (id, text, images) with the images and longer text of the first ``rendered`` (pos, text, images) that matches by prefix.
+
+    At most three images are taken, and only where there are some; alt_text is set where the rendered text is longer.
+    """
+    matched = prefix_match(posts, rendered, "id", "text", "pos", "text")
+    seen = rendered.select("pos", F.col("text").alias("__t"), F.col("images").alias("__i"))
+    joined = posts.join(matched, "id", "left").join(seen, "pos", "left")
+    images = F.when(F.size("__i") > 0, head_items(F.col("__i"))).otherwise(F.col("images"))
+    return joined.withColumns({"images": images, "alt_text": F.when(F.length("__t") > F.length("text"), F.col("__t"))}).drop("pos", "__t", "__i")

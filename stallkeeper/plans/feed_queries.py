@@ -172,3 +172,12 @@ def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_match(table(spark, sf_dir, "part").select("p_brand", "p_name", "p_partkey"), ["p_brand"], ["p_partkey"])
 
 
+@query("""WITH b AS (SELECT page_id AS pos, url, trim(substr(url, 1, 40)) AS s FROM pages), a AS (SELECT page_id AS id, substr(url, 1, 25) AS t, trim(substr(url, 1, 25)) AS s FROM pages),
+  m AS (SELECT a.id, a.t, min(b.pos) AS pos FROM a LEFT JOIN b ON contains(b.s, substr(a.s, 1, 15)) OR contains(a.s, substr(b.s, 1, 15)) GROUP BY 1, 2)
+  SELECT id, CASE WHEN b.pos % 5 = 0 THEN 'none' ELSE concat_ws(',', 'i0', 'i1', 'i2') END AS images, coalesce(CASE WHEN length(b.url) > length(m.t) THEN b.url END, '') AS alt_text FROM m LEFT JOIN b USING (pos)""")
+def post_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    posts = pages.select(F.col("page_id").alias("id"), F.substring("url", 1, 25).alias("text"), F.array(F.lit("none")).alias("images"))
+    found = F.when(F.col("page_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(*[F.lit(f"i{k}") for k in range(5)]))
+    rows = feed.attach_images(posts, pages.select(F.col("page_id").alias("pos"), F.col("url").alias("text"), found.alias("images")))
+    return rows.select("id", F.array_join("images", ",").alias("images"), F.coalesce("alt_text", F.lit("")).alias("alt_text"))

@@ -9,7 +9,9 @@ from ..functions import money as M
 from ..functions.text import WEARS, falsy_coalesce, safe_number, wear_rank
 from ..operators import deals, prices
 from ..operators.common import keep_last, latest, number_rows
-from ..staging import table
+from ..sources import readers
+from ..sources.schemas import DEALS
+from ..staging import new_folder, table
 from .listing_queries import NAMES_SQL, item_names
 from .registry import query
 
@@ -244,3 +246,40 @@ def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wear_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     wear = F.regexp_extract("name", r"\((" + "|".join(WEARS) + r")\)$", 1)
     return item_names(spark, sf_dir).select("p_partkey", wear_rank(wear).alias("rank"))
+
+
+@query(f"SELECT item, price_twd, volume FROM ({PRICES_SQL})")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price table exported as CSV and read back."""
+    path = new_folder(spark, "csv")
+    readers.export_csv(price_table(spark, sf_dir).select("item", "price_twd", "volume"), path)
+    return spark.read.schema("item bigint, price_twd double, volume bigint").option("header", True).csv(path)
+
+
+@query(_DEALS_SQL + """ SELECT l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey AS post_id, price_twd AS market_price, ask AS seller_price FROM s
+  ORDER BY l_linenumber DESC, post_id DESC LIMIT 50""")
+def deal_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deals appended in two stamped batches, the newest 50 of the history read back."""
+    path = new_folder(spark, "deals")
+    found = deals.screen(scored_lines(spark, sf_dir), 5, 700)
+    none = F.lit(None).cast("string")
+    named = found.select(F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("post_id"), none.alias("author"), none.alias("skin_name"), none.alias("link"),
+                         F.col("price_twd").alias("market_price"), F.col("ask").alias("seller_price"), "profit", F.col("margin").alias("profit_margin"), "volume", none.alias("reason"),
+                         none.alias("risk"), "l_linenumber")
+    for batch in (named.filter("l_linenumber < 4"), named.filter("l_linenumber >= 4")):
+        readers.append_deals(batch, path, F.timestamp_seconds(F.lit(1704067200) + F.col("l_linenumber") * 60))
+    history = spark.read.schema(DEALS).parquet(path)
+    return deals.latest_deals(history, 50).select("post_id", "market_price", "seller_price")
+
+
+@query("SELECT 'full' AS kind, p_name AS term, min(p_brand) AS target, min(p_partkey) AS ord FROM part GROUP BY p_name UNION ALL SELECT 'weapon', p_brand, min(p_type), min(p_partkey) FROM part GROUP BY p_brand")
+def term_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two kinds of terms written to a dictionary store and read back."""
+    path, part = new_folder(spark, "terms"), table(spark, sf_dir, "part")
+
+    def kind(name: str, term: str, target: str) -> DataFrame:
+        rows = part.groupBy(F.col(term).alias("term")).agg(F.min(target).alias("target"), F.min("p_partkey").alias("ord"))
+        return rows.select(F.lit(name).alias("kind"), "term", "target", F.lit("part").alias("source"), F.lit(1).alias("priority"), "ord")
+
+    readers.write_terms(kind("full", "p_name", "p_brand").unionByName(kind("weapon", "p_brand", "p_type")), path)
+    return readers.read_terms(spark, path).select("kind", "term", "target", "ord")

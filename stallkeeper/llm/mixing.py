@@ -50,9 +50,10 @@ def matrix_of(column: pa.Array) -> np.ndarray:
 
 
 def fit_steps(members: DataFrame, targets: np.ndarray, most_rounds: int = 60, tolerance: float = 1e-4) -> np.ndarray:
-    """Steps of projected-gradient least squares: min over rates >= 0 of sum_k (sum_d rate tokens p_k - target_k)^2 / have_k.
+    """Steps of projected-gradient least squares: min over rates >= 0 of sum_k (sum_d rate tokens p_k - target_k)^2 / scale_k.
 
-    have_k are the domain's expected tokens at rate 1. The gradient is taken in the metric of the tokens, so a
+    scale_k is the larger of the domain's target and its expected tokens at rate 1, so a domain that hardly any document
+    belongs to doesn't outweigh the others. The gradient is taken in the metric of the tokens, so a
     document's rates follow from its posteriors and the steps so far, a rounds x domains matrix: no state per
     document is kept or shuffled. Each round is one pass of partial sums; only domains x domains numbers reach the driver.
     The step size is 1 over the largest eigenvalue of the scaled second-moment matrix, so the loss never rises.
@@ -81,9 +82,8 @@ def fit_steps(members: DataFrame, targets: np.ndarray, most_rounds: int = 60, to
         return out
 
     first = gathered(moments, k * (k + 1)).reshape(k + 1, k)
-    have = np.maximum(first[k], 1e-9 * max(1.0, first[k].sum()))
-    scale = 1 / np.sqrt(have)
-    top = np.linalg.eigvalsh(first[:k] * scale[:, None] * scale)[-1]
+    scale = np.maximum(np.maximum(first[k], targets), 1e-9 * max(1.0, first[k].sum()))
+    top = np.linalg.eigvalsh(first[:k] / np.sqrt(np.outer(scale, scale)))[-1]
     steps = np.zeros((0, k))
     if first[k].sum() == 0:
         return steps
@@ -92,7 +92,7 @@ def fit_steps(members: DataFrame, targets: np.ndarray, most_rounds: int = 60, to
         error = got - targets
         if np.abs(error).max() <= tolerance * targets.sum():
             break
-        steps = np.vstack([steps, error / have / top])
+        steps = np.vstack([steps, error / scale / top])
         got = gathered(lambda b, s=steps: sums(b, s), k)
     return steps
 

@@ -432,10 +432,10 @@ def test_rates_meet_targets(spark):
     # infeasible: no document of the domain; projected gradient in numpy reaches the same loss
     target = np.array([0, 0, 0, float(tokens.sum()) * 3])
     steps = mixing.fit_steps(members, target, most_rounds=60)
-    rate, have = np.ones(500), tokens @ p
-    top = np.linalg.eigvalsh((p.T * tokens) @ p / np.sqrt(np.outer(have, have)))[-1]
+    rate, scale = np.ones(500), np.maximum(tokens @ p, target)
+    top = np.linalg.eigvalsh((p.T * tokens) @ p / np.sqrt(np.outer(scale, scale)))[-1]
     for _ in range(60):
-        rate = np.maximum(0, rate - p @ (((rate * tokens) @ p - target) / have / top))
+        rate = np.maximum(0, rate - p @ (((rate * tokens) @ p - target) / scale / top))
     got = np.array([r.rate for r in mixing.rates(members, steps).orderBy("doc_id").collect()])
     assert np.allclose(got, rate, atol=1e-6)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import pieces, staged
 from .subword import SubwordModel, fit
 
 
@@ -29,7 +29,7 @@ def memberships(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("doc_id"), token_estimate(text).alias("n_tokens"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             p = model.posteriors(batch.column(2).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel(), pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "n_tokens", "posteriors"])
@@ -135,7 +135,7 @@ def resample(docs: DataFrame, model: SubwordModel, steps: np.ndarray, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for b in batches:
+        for b in pieces(batches):
             texts = [t or "" for t in b.column(at).to_pylist()]
             rate = rate_after(model.posteriors(texts), steps)
             u = np.array([xxh64_intdigest(f"{k} {t}", seed) for k, t in zip(b.column(key).to_pylist(), texts)], np.float64) / 2.0**64

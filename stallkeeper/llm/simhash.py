@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, staged
+from .common import id_and_text, pieces, staged
 
 #: Shingles hashed at once in a task.
 STEP = 100_000
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = id_and_text(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             fps = np.array([simhash64(shingle_hashes(x.as_py(), shingle)) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -195,9 +195,10 @@ def likeness(a: np.ndarray, b: np.ndarray, sketch: int) -> float:
     return len(np.intersect1d(np.intersect1d(a, b, True), both, True)) / max(1, len(both))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 22,
-                blocks: int = 32, per_block: int = 3, sketch: int = 256, slack: float = 0.05) -> DataFrame:
-    """doc_id, content, root: equal roots for texts joined by chains of pairs whose shingle sets have at least that Jaccard index.
+def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 22,
+               blocks: int = 32, per_block: int = 3, sketch: int = 256, slack: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, c) of every row, c its content, and (c, root): equal roots for contents joined by chains of pairs whose shingle
+    sets have at least that Jaccard index. Contents like no other have no root.
 
     Close pairs share a block (``block_prints``). The members of a block are joined to its two pivots, those of the least and the
     largest hash, so a block gives fewer than two pairs for each member, however many there are; different blocks have
@@ -209,17 +210,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             c, fp, keys, _ = zip(*(block_prints(x.as_py(), shingle, blocks, per_block, 0) for x in b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "c", "fp", "keys"])
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             c, _, _, s = zip(*(block_prints(x.as_py(), shingle, 0, per_block, sketch) for x in b.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(s, pa.list_(pa.int64()))], ["c", "s"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             a, z, one, two = b.columns
             ok = []
             for x, y in zip(one, two):
@@ -240,8 +241,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = staged(sets.groupBy("c").agg(F.first("s").alias("s")), "near-sketches")
     one, two = sets.select(F.col("c").alias("a"), F.col("s").alias("x")), sets.select(F.col("c").alias("b"), F.col("s").alias("y"))
     edges = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
-    roots = components(edges).withColumnRenamed("node", "c")
-    return found.select("doc_id", "c").join(roots, "c", "left").select("doc_id", F.col("c").alias("content"), F.coalesce("root", "c").alias("root"))
+    return found.select("doc_id", "c"), components(edges).withColumnRenamed("node", "c")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, content, root of every row: equal roots for the texts that ``copy_roots`` joins."""
+    found, roots = copy_roots(docs, id_col, text_col, **options)
+    return found.join(roots, "c", "left").select("doc_id", F.col("c").alias("content"), F.coalesce("root", "c").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -253,7 +259,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     key = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
     keyed = docs.withColumns({"__id": F.col(id_col), "__row": key})
     rows = keyed.select(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row").alias("doc_id"), F.col(text_col).alias("text"))
-    first = near_copies(rows, "doc_id", "text", **options).groupBy("root").agg(F.min("doc_id").alias("doc_id"))
-    first = first.select(F.col("doc_id.__id").alias("__k"), F.col("doc_id.__row").alias("__r"))
+    found, roots = copy_roots(rows, "doc_id", "text", **options)
+    first = found.groupBy("c").agg(F.min("doc_id").alias("doc_id")).join(roots, "c", "left")
+    first = first.groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id.__id").alias("__k"), F.col("doc_id.__row").alias("__r"))
     kept = keyed.join(first, F.col("__id").eqNullSafe(F.col("__k")) & (F.col("__row") == F.col("__r")), "left_semi")
     return kept.dropDuplicates(["__id", "__row"]).select(*[f"`{c}`" for c in docs.columns])

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 #: Character n-gram lengths of a word written between < and >.
 GRAMS = (3, 4, 5)
 #: The bucket of a word that follows itself.
@@ -51,7 +53,7 @@ class SubwordModel:
     classes: list
     table: np.ndarray
     bias: np.ndarray
-    words: int = 300_000
+    words: int = 200_000
     ids: dict = field(default_factory=dict)
     rows: np.ndarray | None = None
 
@@ -168,7 +170,7 @@ def scored(docs: DataFrame, model: SubwordModel, positive, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = model.classes.index(positive) if positive in model.classes else None
-        for batch in batches:
+        for batch in pieces(batches):
             p = model.posteriors(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p[:, k] if k is not None else np.zeros(len(p)), pa.float64())], ["doc_id", "score"])
 
@@ -181,7 +183,7 @@ def accepted(docs: DataFrame, model: SubwordModel, positive, threshold: float, t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = model.classes.index(positive) if positive in model.classes else None
-        for batch in batches:
+        for batch in pieces(batches):
             p = model.posteriors([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(p[:, k] >= threshold if k is not None else np.zeros(len(p), bool)))
 

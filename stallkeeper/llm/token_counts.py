@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 #: Marks a word that follows a newline, so has no space before it.
 LINE = "\x01"
 SEGMENT = re.compile(r" *[^ \n]+| +|\n")
@@ -120,14 +122,14 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model)
-        for b in batches:
+        for b in pieces(batches):
             got = [machine.map_of(c.as_py(), p.as_py() == 0) for p, c in zip(b.column(3), b.column(4))]
             fields = [pa.array([m.head for m in got], pa.string()), pa.array([m.body for m in got], pa.int64()), pa.array([m.tail for m in got], pa.string())]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], *fields], ["row", "doc_id", "n_bytes", "pos", "head", "body", "tail"])
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model)
-        for b in batches:
+        for b in pieces(batches):
             n = [machine.total([StateMap(m["head"], m["body"], m["tail"]) for m in sorted(ms, key=lambda m: m["pos"])]) for ms in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), b.column(3)], ["doc_id", "n_bytes", "n_tokens", "n_chunks"])
 

@@ -237,8 +237,8 @@ def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = joined.select("c", F.explode(F.array(*[F.when((F.col("c") != F.col(f"{p}.c")) & near_by(p), F.col(f"{p}.c")) for p in ("low", "high")])).alias("d")).filter("d is not null")
     pairs = staged(pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), "near-pairs")
     asked = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    sets = rows.select("text").mapInArrow(sketches, "c long, s array<long>").join(asked, "c", "left_semi")
-    sets = staged(sets.groupBy("c").agg(F.first("s").alias("s")), "near-sketches")
+    sets = rows.select("text").mapInArrow(sketches, "c long, s array<long>").groupBy("c").agg(F.first("s").alias("s"))
+    sets = staged(sets.join(asked, "c", "left_semi"), "near-sketches")
     one, two = sets.select(F.col("c").alias("a"), F.col("s").alias("x")), sets.select(F.col("c").alias("b"), F.col("s").alias("y"))
     edges = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
     return found.select("doc_id", "c"), components(edges).withColumnRenamed("node", "c")

@@ -162,14 +162,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def block_prints(text: str, shingle: int, blocks: int, per_block: int, sketch: int) -> tuple[int, int, list[int], list[int]]:
+def size_levels(n: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """(level, largest size in it) of every size from ``n`` up to that of the largest set as similar to one of ``n``; levels grow by half."""
+    end, level, most = 1, 0, int(n / similarity + 1e-9)
+    while True:
+        if end >= n:
+            yield level, end
+        if end >= most:
+            return
+        end, level = max(end + 1, end * 3 // 2), level + 1
+
+
+def block_keys_of(h: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a sorted set of hashes; any two sets of at least this Jaccard index share one.
+
+    Such sets differ in at most (1 - similarity) / (1 + similarity) of the sum of their sizes. The hash range is split into more
+    blocks than that for the largest size of a level, so a block is equal in both; a set takes part in its own level and in that
+    of any larger set as similar to it. A key is a sum over one block's hashes. An equal block may be empty, which is no key:
+    a set with too few filled blocks to rule that out adds its smallest hashes, as many as leave less than an overlap behind.
+    """
+    n, keys, short = len(h), [], False
+    differ = lambda total: int(total * (1 - similarity) / (1 + similarity) + 1e-9)
+    mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    for level, end in size_levels(n, similarity):
+        most = differ(2 * end)
+        blocks = most + 2 + most // 8
+        block = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        sums = np.add.reduceat(mixed, first) + (block[first] + np.uint64(level << 40)) * np.uint64(0x9E3779B97F4A7C15)
+        keys.append(sums)
+        short |= len(first) <= differ(n + min(end, int(n / similarity + 1e-9)))
+    if short:
+        keys.append(h[: n - math.ceil(similarity * n - 1e-9) + 1])
+    return np.concatenate(keys)
+
+
+def block_prints(text: str, shingle: int, similarity: float, sketch: int) -> tuple[int, int, list[int], list[int]]:
     """(content, SimHash, block keys, sketch) of a text, as signed longs; content is a hash of its set of shingles.
 
-    The hash range is split into as many blocks (a power of two) as leave about ``per_block`` shingles or up to twice as many in one;
-    a block's key hashes the shingles that fall into it. Two texts whose sets differ in fewer shingles than there are blocks
-    have an equal block. At a Jaccard index of 0.8 a block is left unchanged in a quarter of cases or more, so the first
-    ``blocks`` of them are taken. A pair's sizes differ by a quarter at most, so the split of the larger size is taken too.
-    Blocks of one shingle, which a common passage alone could fill, are left out of all but the shortest texts.
     ``sketch`` is the number of smallest hashes kept: up to that size it is the whole set.
     """
     from xxhash import xxh64_intdigest
@@ -178,13 +208,8 @@ def block_prints(text: str, shingle: int, blocks: int, per_block: int, sketch: i
     if not every:
         return 0, 0, [], []
     h = np.unique(np.concatenate(every))
-    keys = []
-    for level in sorted({max(0, int(math.log2(size / per_block))) if size > per_block else 0 for size in (len(h), 1.25 * len(h))}):
-        edges = [g << (64 - level) for g in range(min(1 << level, blocks) + 1)]
-        at = np.append(np.searchsorted(h, np.array(edges[:-1], np.uint64)), len(h) if edges[-1] >> 64 else np.searchsorted(h, np.uint64(edges[-1])))
-        keys += [xxh64_intdigest(h[i:j].tobytes(), level << 8 | g) for g, (i, j) in enumerate(zip(at[:-1], at[1:])) if j - i >= (2 if len(h) >= 8 else 1)]
     signed = lambda x: np.array(x, np.uint64).view(np.int64).tolist()
-    return signed([xxh64_intdigest(h.tobytes(), 1)])[0], signed([simhash64(every)])[0], signed(keys), h[:sketch].view(np.int64).tolist()
+    return signed([xxh64_intdigest(h.tobytes(), 1)])[0], signed([simhash64(every)])[0], signed(block_keys_of(h, similarity)), h[:sketch].view(np.int64).tolist()
 
 
 def likeness(a: np.ndarray, b: np.ndarray, sketch: int) -> float:
@@ -196,11 +221,11 @@ def likeness(a: np.ndarray, b: np.ndarray, sketch: int) -> float:
 
 
 def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 22,
-               blocks: int = 32, per_block: int = 3, sketch: int = 256, slack: float = 0.05) -> tuple[DataFrame, DataFrame]:
+               sketch: int = 256, slack: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """(doc_id, c) of every row, c its content, and (c, root): equal roots for contents joined by chains of pairs whose shingle
     sets have at least that Jaccard index. Contents like no other have no root.
 
-    Close pairs share a block (``block_prints``). The members of a block are joined to its two pivots, those of the least and the
+    Close pairs share a block (``block_keys_of``). The members of a block are joined to its two pivots, those of the least and the
     largest hash, so a block gives fewer than two pairs for each member, however many there are; different blocks have
     different pivots. Pairs within ``distance`` bits of SimHash are verified by their sketches: exactly for up to
     ``sketch`` shingles, and with ``slack`` (two standard errors) for longer texts. Texts with equal sets are one node;
@@ -211,12 +236,12 @@ def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            c, fp, keys, _ = zip(*(block_prints(x.as_py(), shingle, blocks, per_block, 0) for x in b.column(1)))
+            c, fp, keys, _ = zip(*(block_prints(x.as_py(), shingle, similarity, 0) for x in b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "c", "fp", "keys"])
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            c, _, _, s = zip(*(block_prints(x.as_py(), shingle, 0, per_block, sketch) for x in b.column(0)))
+            c, _, _, s = zip(*(block_prints(x.as_py(), shingle, similarity, sketch) for x in b.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(s, pa.list_(pa.int64()))], ["c", "s"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

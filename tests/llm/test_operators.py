@@ -351,6 +351,18 @@ def test_near_copies_is_brute_force(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_close_sets_share_a_key():
+    rng = np.random.default_rng(8)
+    for n in [*range(1, 60), 95, 192, 700, 3000]:
+        for _ in range(20):
+            a = rng.integers(0, 1 << 63, n, np.uint64) << np.uint64(1)
+            gone = rng.integers(0, n // 5 + 1)  # from a, and as many new ones as keep the index at 0.8
+            new = int((n - gone) / 0.8 + 1e-9) - n
+            b = np.concatenate([a[gone:], rng.integers(0, 1 << 63, new, np.uint64) << np.uint64(1)])
+            a, b = np.unique(a), np.unique(b)
+            assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) and len(np.intersect1d(simhash.block_keys_of(a, 0.8), simhash.block_keys_of(b, 0.8)))
+
+
 def test_long_copies_are_found(spark):
     rng = random.Random(5)
     groups = [edited_copies(rng, 3000, 6, 40) for _ in range(4)]

@@ -197,8 +197,8 @@ def block_keys_of(h: np.ndarray, similarity: float) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def block_prints(text: str, shingle: int, similarity: float, sketch: int) -> tuple[int, int, list[int], list[int]]:
-    """(content, SimHash, block keys, sketch) of a text, as signed longs; content is a hash of its set of shingles.
+def block_prints(text: str, shingle: int, similarity: float, sketch: int) -> tuple[int, list[int], list[int]]:
+    """(content, block keys, sketch) of a text, as signed longs; content is a hash of its set of shingles.
 
     ``sketch`` is the number of smallest hashes kept: up to that size it is the whole set.
     """
@@ -206,10 +206,10 @@ def block_prints(text: str, shingle: int, similarity: float, sketch: int) -> tup
 
     every = list(shingle_hashes(text, shingle))
     if not every:
-        return 0, 0, [], []
+        return 0, [], []
     h = np.unique(np.concatenate(every))
     signed = lambda x: np.array(x, np.uint64).view(np.int64).tolist()
-    return signed([xxh64_intdigest(h.tobytes(), 1)])[0], signed([simhash64(every)])[0], signed(block_keys_of(h, similarity)), h[:sketch].view(np.int64).tolist()
+    return signed([xxh64_intdigest(h.tobytes(), 1)])[0], signed(block_keys_of(h, similarity)), h[:sketch].view(np.int64).tolist()
 
 
 def likeness(a: np.ndarray, b: np.ndarray, sketch: int) -> float:
@@ -220,14 +220,14 @@ def likeness(a: np.ndarray, b: np.ndarray, sketch: int) -> float:
     return len(np.intersect1d(np.intersect1d(a, b, True), both, True)) / max(1, len(both))
 
 
-def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, distance: int = 22,
+def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
                sketch: int = 256, slack: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """(doc_id, c) of every row, c its content, and (c, root): equal roots for contents joined by chains of pairs whose shingle
     sets have at least that Jaccard index. Contents like no other have no root.
 
     Close pairs share a block (``block_keys_of``). The members of a block are joined to its two pivots, those of the least and the
     largest hash, so a block gives fewer than two pairs for each member, however many there are; different blocks have
-    different pivots. Pairs within ``distance`` bits of SimHash are verified by their sketches: exactly for up to
+    different pivots. Pairs are verified by their sketches: exactly for up to
     ``sketch`` shingles, and with ``slack`` (two standard errors) for longer texts. Texts with equal sets are one node;
     texts without words are alike. A SimHash of 64 bits alone can't do this: at an index of 0.8 about ten of its bits differ.
     """
@@ -236,12 +236,12 @@ def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            c, fp, keys, _ = zip(*(block_prints(x.as_py(), shingle, similarity, 0) for x in b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "c", "fp", "keys"])
+            c, keys, _ = zip(*(block_prints(x.as_py(), shingle, similarity, 0) for x in b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "c", "keys"])
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            c, _, _, s = zip(*(block_prints(x.as_py(), shingle, similarity, sketch) for x in b.column(0)))
+            c, _, s = zip(*(block_prints(x.as_py(), shingle, similarity, sketch) for x in b.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(s, pa.list_(pa.int64()))], ["c", "s"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,13 +253,12 @@ def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ok.append(likeness(x, y, sketch) >= similarity - slack * (max(len(x), len(y)) >= sketch))
             yield pa.RecordBatch.from_arrays([a, z], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    found = staged(rows.mapInArrow(prints, f"doc_id {kind}, c long, fp long, keys array<long>"), "block-prints")
-    nodes = found.groupBy("c").agg(F.min(F.struct("fp", "keys")).alias("p")).select("c", "p.fp", F.explode(F.array_distinct("p.keys")).alias("key"))
-    member = F.struct(F.xxhash64("c", "key").alias("h"), "c", "fp")
+    found = staged(rows.mapInArrow(prints, f"doc_id {kind}, c long, keys array<long>"), "block-prints")
+    nodes = found.groupBy("c").agg(F.min("keys").alias("keys")).select("c", F.explode(F.array_distinct("keys")).alias("key"))
+    member = F.struct(F.xxhash64("c", "key").alias("h"), "c")
     pivots = nodes.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high")).filter("low.c <> high.c")
-    near_by = lambda p: F.bit_count(F.col("fp").bitwiseXOR(F.col(f"{p}.fp"))) <= distance
     joined = nodes.join(pivots, "key")
-    pairs = joined.select("c", F.explode(F.array(*[F.when((F.col("c") != F.col(f"{p}.c")) & near_by(p), F.col(f"{p}.c")) for p in ("low", "high")])).alias("d")).filter("d is not null")
+    pairs = joined.select("c", F.explode(F.array(*[F.when(F.col("c") != F.col(f"{p}.c"), F.col(f"{p}.c")) for p in ("low", "high")])).alias("d")).filter("d is not null")
     pairs = staged(pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), "near-pairs")
     asked = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     sets = rows.select("text").mapInArrow(sketches, "c long, s array<long>").groupBy("c").agg(F.first("s").alias("s"))

@@ -363,6 +363,19 @@ def test_close_sets_share_a_key():
             assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) and len(np.intersect1d(simhash.block_keys_of(a, 0.8), simhash.block_keys_of(b, 0.8)))
 
 
+def test_repeats_hide_no_copy(spark):
+    rng = random.Random(9)
+    word = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    texts = []
+    for _ in range(12):
+        start, line, rest = word(120), word(10), word(120)
+        texts += [f"{start} {line} {rest}", f"{start} {' '.join([line] * 50)} {rest}"]
+    roots = {}
+    for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        roots.setdefault(r.root, set()).add(r.doc_id)
+    assert sorted(map(sorted, roots.values())) == [[i, i + 1] for i in range(0, 24, 2)]
+
+
 def test_long_copies_are_found(spark):
     rng = random.Random(5)
     groups = [edited_copies(rng, 3000, 6, 40) for _ in range(4)]

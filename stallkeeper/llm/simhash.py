@@ -197,11 +197,8 @@ def block_keys_of(h: np.ndarray, similarity: float) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def block_prints(text: str, shingle: int, similarity: float, sketch: int) -> tuple[int, list[int], list[int]]:
-    """(content, block keys, sketch) of a text, as signed longs; content is a hash of its set of shingles.
-
-    ``sketch`` is the number of smallest hashes kept: up to that size it is the whole set.
-    """
+def block_prints(text: str, shingle: int, similarity: float) -> tuple[int, list[int], list[int]]:
+    """(content, block keys, set of shingle hashes) of a text, as signed longs; content is a hash of the set."""
     from xxhash import xxh64_intdigest
 
     every = list(shingle_hashes(text, shingle))
@@ -209,26 +206,22 @@ def block_prints(text: str, shingle: int, similarity: float, sketch: int) -> tup
         return 0, [], []
     h = np.unique(np.concatenate(every))
     signed = lambda x: np.array(x, np.uint64).view(np.int64).tolist()
-    return signed([xxh64_intdigest(h.tobytes(), 1)])[0], signed(block_keys_of(h, similarity)), h[:sketch].view(np.int64).tolist()
+    return signed([xxh64_intdigest(h.tobytes(), 1)])[0], signed(block_keys_of(h, similarity)), h.view(np.int64).tolist()
 
 
-def likeness(a: np.ndarray, b: np.ndarray, sketch: int) -> float:
-    """Jaccard index of two sets from their smallest hashes: exact while both have fewer than ``sketch``, else an estimate."""
-    both = np.union1d(a, b)
-    if len(a) >= sketch or len(b) >= sketch:
-        both = both[:sketch]
-    return len(np.intersect1d(np.intersect1d(a, b, True), both, True)) / max(1, len(both))
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard index of two sets of hashes."""
+    both = len(np.intersect1d(a, b, True))
+    return both / max(1, len(a) + len(b) - both)
 
 
-def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-               sketch: int = 256, slack: float = 0.05) -> tuple[DataFrame, DataFrame]:
+def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(doc_id, c) of every row, c its content, and (c, root): equal roots for contents joined by chains of pairs whose shingle
     sets have at least that Jaccard index. Contents like no other have no root.
 
     Close pairs share a block (``block_keys_of``). The members of a block are joined to its two pivots, those of the least and the
     largest hash, so a block gives fewer than two pairs for each member, however many there are; different blocks have
-    different pivots. Pairs are verified by their sketches: exactly for up to
-    ``sketch`` shingles, and with ``slack`` (two standard errors) for longer texts. Texts with equal sets are one node;
+    different pivots. Pairs are verified by their whole sets. Texts with equal sets are one node;
     texts without words are alike. A SimHash of 64 bits alone can't do this: at an index of 0.8 about ten of its bits differ.
     """
     rows = id_and_text(docs, id_col, text_col)
@@ -236,12 +229,12 @@ def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            c, keys, _ = zip(*(block_prints(x.as_py(), shingle, similarity, 0) for x in b.column(1)))
+            c, keys, _ = zip(*(block_prints(x.as_py(), shingle, similarity) for x in b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "c", "keys"])
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            c, _, s = zip(*(block_prints(x.as_py(), shingle, similarity, sketch) for x in b.column(0)))
+            c, _, s = zip(*(block_prints(x.as_py(), shingle, similarity) for x in b.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(s, pa.list_(pa.int64()))], ["c", "s"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,8 +242,7 @@ def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             a, z, one, two = b.columns
             ok = []
             for x, y in zip(one, two):
-                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
-                ok.append(likeness(x, y, sketch) >= similarity - slack * (max(len(x), len(y)) >= sketch))
+                ok.append(likeness(x.values.to_numpy(), y.values.to_numpy()) >= similarity)
             yield pa.RecordBatch.from_arrays([a, z], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     found = staged(rows.mapInArrow(prints, f"doc_id {kind}, c long, keys array<long>"), "block-prints")

@@ -376,6 +376,17 @@ def test_repeats_hide_no_copy(spark):
     assert sorted(map(sorted, roots.values())) == [[i, i + 1] for i in range(0, 24, 2)]
 
 
+def test_long_texts_under_the_bound_stay_apart(spark):
+    rng = random.Random(10)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+        texts += [" ".join(words), " ".join(words[: 1000 - 139] + [f"w{rng.randrange(10**6)}" for _ in range(139)])]
+    a, b = shingle_set(texts[0]), shingle_set(texts[1])
+    assert 0.75 < len(a & b) / len(a | b) < 0.76
+    assert simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("root").distinct().count() == 60
+
+
 def test_long_copies_are_found(spark):
     rng = random.Random(5)
     groups = [edited_copies(rng, 3000, 6, 40) for _ in range(4)]

@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, pieces, staged
@@ -173,15 +173,23 @@ def size_levels(n: int, similarity: float) -> Iterator[tuple[int, int]]:
         end, level = max(end + 1, end * 3 // 2), level + 1
 
 
-def block_keys_of(h: np.ndarray, similarity: float) -> np.ndarray:
-    """Keys of a sorted set of hashes; any two sets of at least this Jaccard index share one.
+def block_keys_of(h: np.ndarray, similarity: float, common: np.ndarray | None = None) -> np.ndarray:
+    """Keys of a sorted set of hashes; any two sets of at least this Jaccard index share one, whatever ``common`` (sorted) holds.
 
     Such sets differ in at most (1 - similarity) / (1 + similarity) of the sum of their sizes. The hash range is split into more
     blocks than that for the largest size of a level, so a block is equal in both; a set takes part in its own level and in that
     of any larger set as similar to it. A key is a sum over one block's hashes. An equal block may be empty, which is no key:
     a set with too few filled blocks to rule that out adds its smallest hashes, as many as leave less than an overlap behind.
+    Hashes in ``common`` are left out of the blocks, which differ in no more hashes then, and come last among the smallest:
+    texts that share only a common passage share a key rarely.
     """
-    n, keys, short = len(h), [], False
+    n, keys, short, every = len(h), [], False, h
+    if common is not None and len(common):
+        often = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+        h = h[~often]
+        every = np.concatenate([h, every[often]])
+    if not len(h):
+        return every[: n - math.ceil(similarity * n - 1e-9) + 1]
     differ = lambda total: int(total * (1 - similarity) / (1 + similarity) + 1e-9)
     mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     for level, end in size_levels(n, similarity):
@@ -193,71 +201,173 @@ def block_keys_of(h: np.ndarray, similarity: float) -> np.ndarray:
         keys.append(sums)
         short |= len(first) <= differ(n + min(end, int(n / similarity + 1e-9)))
     if short:
-        keys.append(h[: n - math.ceil(similarity * n - 1e-9) + 1])
+        keys.append(every[: n - math.ceil(similarity * n - 1e-9) + 1])
     return np.concatenate(keys)
 
 
-def block_prints(text: str, shingle: int, similarity: float) -> tuple[int, list[int], list[int]]:
-    """(content, block keys, set of shingle hashes) of a text, as signed longs; content is a hash of the set."""
+def content_of(text: str, shingle: int) -> tuple[int, np.ndarray]:
+    """(content, sorted set of shingle hashes) of a text; content, a signed long, is a hash of the set, 0 without words."""
     from xxhash import xxh64_intdigest
 
     every = list(shingle_hashes(text, shingle))
     if not every:
-        return 0, [], []
+        return 0, np.zeros(0, np.uint64)
     h = np.unique(np.concatenate(every))
-    signed = lambda x: np.array(x, np.uint64).view(np.int64).tolist()
-    return signed([xxh64_intdigest(h.tobytes(), 1)])[0], signed(block_keys_of(h, similarity)), h.view(np.int64).tolist()
+    return int(np.uint64(xxh64_intdigest(h.tobytes(), 1)).astype(np.int64)), h
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard index of two sets of hashes."""
-    both = len(np.intersect1d(a, b, True))
-    return both / max(1, len(a) + len(b) - both)
+def set_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (member, first) by place that join exactly what chains of pairs of at least that Jaccard index join.
 
+    Breadth-first search; a set meets those not yet reached that share one of its rarest hashes, as many as leave less than an overlap
+    behind, and is compared with each in whole. The index of those hashes is made anew whenever half of its sets are reached.
+    """
+    size = np.array([len(x) for x in sets])
+    end = np.cumsum(size)
+    start, owner = end - size, np.repeat(np.arange(len(sets)), size)
+    _, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ids = ids[np.lexsort((ids, times[ids], owner))]  # of each set, the rarest first
+    prefix = size - np.ceil(similarity * size - 1e-9).astype(int) + 1
+    indexed = np.flatnonzero(np.arange(len(ids)) - start[owner] < prefix[owner])
+    indexed = indexed[np.argsort(ids[indexed], kind="stable")]
+    left, marked, out = np.ones(len(sets), bool), np.zeros(len(times), bool), []
+    at = np.searchsorted(ids[indexed], np.arange(len(times) + 1))
+    remain = built = len(sets)
+    for root in range(len(sets)):
+        if not left[root]:
+            continue
+        left[root], front = False, [root]
+        remain -= 1
+        while front and remain:
+            if 2 * remain < built:
+                indexed, built = indexed[left[owner[indexed]]], remain
+                at = np.searchsorted(ids[indexed], np.arange(len(times) + 1))
+            one = front.pop()
+            mine = ids[start[one] : end[one]]
+            lists = [indexed[at[i] : at[i + 1]] for i in mine[: prefix[one]]]
+            met = np.unique(owner[np.concatenate(lists)])
+            met = met[left[met]]
+            met = met[np.minimum(size[met], size[one]) >= similarity * np.maximum(size[met], size[one]) - 1e-9]
+            if not len(met):
+                continue
+            marked[mine] = True
+            common = np.array([np.count_nonzero(marked[ids[start[m] : end[m]]]) for m in met])
+            marked[mine] = False
+            hit = met[common / (size[met] + size[one] - common) >= similarity]
+            left[hit] = False
+            remain -= len(hit)
+            front += hit.tolist()
+            out += [(m, root) for m in hit.tolist()]
+    return out
+
+
+def group_links(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): ``set_links`` between the contents of each (g, i, j) of ``dealt`` (g, i, j, c, s), each in one task."""
+    key = ["g", "i", "j"]
+    rows = dealt.select(*key, "c", "s").repartition(*key).sortWithinPartitions(*key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = [], None
+        for batch in batches:
+            place = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            for at, c, s in zip(place, batch.column(3).to_pylist(), batch.column(4)):
+                if at != of:
+                    yield from found(held)
+                    held, of = [], at
+                held.append((c, s.values.to_numpy().view(np.uint64).copy()))
+        yield from found(held)
+
+    def found(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        out = set_links([s for _, s in held], similarity) if len(held) > 1 else []
+        if out:
+            a, b = zip(*((held[x][0], held[y][0]) for x, y in out))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def content_filter(contents: DataFrame, bits: int) -> np.ndarray:
+    """Bits at the contents' places (their lowest bits); ``bits`` / 64 words at most reach the driver."""
+    place = contents.select(F.col("c").bitwiseAND(F.lit(bits - 1)).alias("at"))
+    words = place.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
+    out, got = np.zeros(bits // 64, np.uint64), words.toArrow()
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def common_hashes(rows: DataFrame, shingle: int, sample: int, most: int = 200_000) -> np.ndarray:
+    """Sorted hashes of at most ``most`` shingles that several contents hold among about ``sample`` texts, chosen by hash."""
+    share = sample / max(1, rows.count())
+    some = rows.filter(F.xxhash64("text") < -(1 << 63) + int(((1 << 64) - 1) * share)) if share < 1 else rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 64):
+            for x in b.column(0):
+                c, h = content_of(x.as_py(), shingle)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), c)), pa.array(h.view(np.int64))], ["c", "x"])
+
+    counts = some.select("text").distinct().mapInArrow(run, "c long, x long").distinct().groupBy("x").agg(F.count("*").alias("n"))
+    found = counts.filter("n > 1").orderBy(F.desc("n"), "x").limit(most).toArrow()["x"].to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
+               part: int = 2_000_000, bits: int = 1 << 25, sample: int = 4000) -> tuple[DataFrame, DataFrame]:
     """(doc_id, c) of every row, c its content, and (c, root): equal roots for contents joined by chains of pairs whose shingle
     sets have at least that Jaccard index. Contents like no other have no root.
 
-    Close pairs share a block (``block_keys_of``). The members of a block are joined to its two pivots, those of the least and the
-    largest hash, so a block gives fewer than two pairs for each member, however many there are; different blocks have
-    different pivots. Pairs are verified by their whole sets. Texts with equal sets are one node;
-    texts without words are alike. A SimHash of 64 bits alone can't do this: at an index of 0.8 about ten of its bits differ.
+    Close pairs share a block (``block_keys_of``), which leaves out shingles that are common in a ``sample``. Contents that blocks join, at whatever similarity, are a group: no close pair
+    lies across groups. All members of a group are compared by their whole sets in one task (``set_links``); a group of more
+    than ``part`` shingles is split into parts, and every two parts are compared by a task of their own. Only sets that a filter
+    of ``bits`` lets through, which knows the groups' contents, are shuffled. Texts with equal sets are one node; texts without
+    words are alike. A SimHash of 64 bits can't do this: at an index of 0.8 about ten of its bits differ.
     """
     rows = id_and_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            c, keys, _ = zip(*(block_prints(x.as_py(), shingle, similarity) for x in b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "c", "keys"])
+    often = docs.sparkSession.sparkContext.broadcast(common_hashes(rows, shingle, sample).tobytes())
 
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.frombuffer(often.value, np.uint64)
+        seen = set()  # keys of equal contents leave a task once
         for b in pieces(batches):
-            c, _, s = zip(*(block_prints(x.as_py(), shingle, similarity) for x in b.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(s, pa.list_(pa.int64()))], ["c", "s"])
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cs, ns, keys = [], [], []
+            for x in b.column(1):
+                c, h = content_of(x.as_py(), shingle)
+                keys.append(None if c in seen or not len(h) else block_keys_of(h, similarity, common).view(np.int64))
+                cs.append(c)
+                ns.append(len(h))
+                seen.add(c)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cs, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "c", "n", "keys"])
+
+    found = staged(rows.mapInArrow(prints, f"doc_id {kind}, c long, n long, keys array<long>"), "block-prints")
+    keyed = found.select("c", F.explode("keys").alias("key"))
+    joined = keyed.select("c", F.min("c").over(Window.partitionBy("key")).alias("low")).filter("c <> low").distinct()
+    groups = components(joined.select(F.col("c").alias("a"), F.col("low").alias("b")))
+    groups = groups.union(groups.select("root", "root").distinct()).toDF("c", "g")
+    members = staged(groups.join(found.filter("keys is not null").select("c", "n").distinct(), "c"), "near-groups")
+    parts = members.groupBy("g").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts")).filter("parts > 1")
+    members = members.join(parts, "g", "left").select("c", "g", F.coalesce("parts", F.lit(1)).alias("parts"))
+    mask = docs.sparkSession.sparkContext.broadcast(content_filter(members, bits).tobytes())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, seen = np.frombuffer(mask.value, np.uint64), set()
         for b in pieces(batches):
-            a, z, one, two = b.columns
-            ok = []
-            for x, y in zip(one, two):
-                ok.append(likeness(x.values.to_numpy(), y.values.to_numpy()) >= similarity)
-            yield pa.RecordBatch.from_arrays([a, z], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    found = staged(rows.mapInArrow(prints, f"doc_id {kind}, c long, keys array<long>"), "block-prints")
-    nodes = found.groupBy("c").agg(F.min("keys").alias("keys")).select("c", F.explode(F.array_distinct("keys")).alias("key"))
-    member = F.struct(F.xxhash64("c", "key").alias("h"), "c")
-    pivots = nodes.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high")).filter("low.c <> high.c")
-    joined = nodes.join(pivots, "key")
-    pairs = joined.select("c", F.explode(F.array(*[F.when(F.col("c") != F.col(f"{p}.c"), F.col(f"{p}.c")) for p in ("low", "high")])).alias("d")).filter("d is not null")
-    pairs = staged(pairs.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct(), "near-pairs")
-    asked = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    sets = rows.select("text").mapInArrow(sketches, "c long, s array<long>").groupBy("c").agg(F.first("s").alias("s"))
-    sets = staged(sets.join(asked, "c", "left_semi"), "near-sketches")
-    one, two = sets.select(F.col("c").alias("a"), F.col("s").alias("x")), sets.select(F.col("c").alias("b"), F.col("s").alias("y"))
-    edges = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
-    return found.select("doc_id", "c"), components(edges).withColumnRenamed("node", "c")
+            cs, ss = [], []
+            for x in b.column(0):
+                c, h = content_of(x.as_py(), shingle)
+                at = c & (bits - 1)
+                if c not in seen and len(h) and int(asked[at >> 6]) >> (at & 63) & 1:
+                    seen.add(c)
+                    cs.append(c)
+                    ss.append(h.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(ss, pa.list_(pa.int64()))], ["c", "s"])
+
+    whole = rows.select("text").mapInArrow(sets, "c long, s array<long>").groupBy("c").agg(F.first("s").alias("s")).join(members, "c")
+    mine = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, mine).alias("i"), F.greatest(q, mine).alias("j")))
+    dealt = whole.select("g", "c", "s", F.explode(pairs).alias("p")).select("g", "p.i", "p.j", "c", "s")
+    return found.select("doc_id", "c"), components(group_links(dealt, similarity)).withColumnRenamed("node", "c")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

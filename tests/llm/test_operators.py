@@ -361,6 +361,9 @@ def test_close_sets_share_a_key():
             b = np.concatenate([a[gone:], rng.integers(0, 1 << 63, new, np.uint64) << np.uint64(1)])
             a, b = np.unique(a), np.unique(b)
             assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) and len(np.intersect1d(simhash.block_keys_of(a, 0.8), simhash.block_keys_of(b, 0.8)))
+            for part in (3, 1):  # a third of all, or all of them, are common
+                common = np.union1d(a, b)[::part]
+                assert len(np.intersect1d(simhash.block_keys_of(a, 0.8, common), simhash.block_keys_of(b, 0.8, common)))
 
 
 def test_repeats_hide_no_copy(spark):
@@ -387,6 +390,28 @@ def test_long_texts_under_the_bound_stay_apart(spark):
     assert simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("root").distinct().count() == 60
 
 
+@pytest.mark.parametrize("part", [2_000_000, 20_000])
+def test_star_of_copies_is_one_group(spark, part):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(250)]
+    texts = [" ".join(base)]
+    for _ in range(300):
+        words = list(base)
+        for at in rng.sample(range(10, 240, 12), 5):  # 25 shingles changed: 0.82 to the first text
+            words[at] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [shingle_set(t) for t in texts]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert all(like(sets[0], s) >= 0.8 for s in sets[1:]) and sum(like(sets[1], s) < 0.8 for s in sets[2:]) > 250
+    texts += [" ".join(f"w{rng.randrange(10**6)}" for _ in range(250)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    roots = {}
+    found, near = simhash.copy_roots(df, part=part)
+    for r in found.join(near, "c", "left").collect():
+        roots.setdefault(r.c if r.root is None else r.root, set()).add(r.doc_id)
+    assert sorted(map(len, roots.values())) == [1] * 20 + [301]
+
+
 def test_long_copies_are_found(spark):
     rng = random.Random(5)
     groups = [edited_copies(rng, 3000, 6, 40) for _ in range(4)]

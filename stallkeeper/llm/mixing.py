@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,14 +50,17 @@ def matrix_of(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def fit_steps(members: DataFrame, targets: np.ndarray, most_rounds: int = 60, tolerance: float = 1e-4) -> np.ndarray:
+def fit_steps(members: DataFrame, targets: np.ndarray, most_rounds: int = 300, plain: int = 60, tolerance: float = 1e-4) -> np.ndarray:
     """Steps of projected-gradient least squares: min over rates >= 0 of sum_k (sum_d rate tokens p_k - target_k)^2 / scale_k.
 
     scale_k is the larger of the domain's target and its expected tokens at rate 1, so a domain that hardly any document
     belongs to doesn't outweigh the others. The gradient is taken in the metric of the tokens, so a
     document's rates follow from its posteriors and the steps so far, a rounds x domains matrix: no state per
     document is kept or shuffled. Each round is one pass of partial sums; only domains x domains numbers reach the driver.
-    The step size is 1 over the largest eigenvalue of the scaled second-moment matrix, so the loss never rises.
+    The step size is 1 over the largest eigenvalue of the scaled second-moment matrix, so the loss never rises. After ``plain`` rounds steps
+    are taken in the metric of the second moments of the rows with a rate over 0, halved while the loss would rise. Rounds end when
+    every domain is within ``tolerance`` of all tokens, or when a round changes the totals no more; then, and after
+    ``most_rounds``, a warning names the error that is left.
     """
     k = len(targets)
 
@@ -69,11 +73,13 @@ def fit_steps(members: DataFrame, targets: np.ndarray, most_rounds: int = 60, to
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "x"])
 
     def sums(batches: Iterator[pa.RecordBatch], steps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k)
+        total = np.zeros((k + 1, k))
         for b in batches:
-            p = matrix_of(b.column(1))
-            total += (b.column(0).to_numpy() * rate_after(p, steps)) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(total)], ["i", "x"])
+            p, t = matrix_of(b.column(1)), b.column(0).to_numpy().astype(float)
+            rate = rate_after(p, steps)
+            total[:k] += p.T @ (p * (t * (rate > 0))[:, None])
+            total[k] += (t * rate) @ p
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "x"])
 
     def gathered(fn, n: int) -> np.ndarray:
         out = np.zeros(n)
@@ -87,13 +93,27 @@ def fit_steps(members: DataFrame, targets: np.ndarray, most_rounds: int = 60, to
     steps = np.zeros((0, k))
     if first[k].sum() == 0:
         return steps
-    got = first[k]
-    for _ in range(most_rounds):
-        error = got - targets
+    now, total, damp = first, max(targets.sum(), first[k].sum()), 1.0
+    loss = lambda m: float(((m[k] - targets) ** 2 / scale).sum())
+    for done in range(most_rounds):
+        error = now[k] - targets
         if np.abs(error).max() <= tolerance * targets.sum():
             break
-        steps = np.vstack([steps, error / scale / top])
-        got = gathered(lambda b, s=steps: sums(b, s), k)
+        newton = done >= plain and damp > 1e-3
+        step = damp * (np.linalg.pinv(now[:k], rcond=1e-12) @ error) if newton else error / scale / top
+        tried = np.vstack([steps, step])
+        after = gathered(lambda b, s=tried: sums(b, s), k * (k + 1)).reshape(k + 1, k)
+        if newton and loss(after) >= loss(now):
+            damp /= 2
+            continue
+        damp, moved = 1.0 if newton else damp, np.abs(after[k] - now[k]).max()
+        steps, now = tried, after
+        if not newton and moved <= 1e-9 * total:
+            break
+    got = now[k]
+    left = np.abs(got - targets).max()
+    if left > tolerance * targets.sum():
+        warnings.warn(f"targets not met after {len(steps)} rounds: a domain is {left:.0f} tokens off", stacklevel=2)
     return steps
 
 

@@ -501,6 +501,20 @@ def test_rates_meet_targets(spark):
     assert np.allclose(got, rate, atol=1e-6)
 
 
+def test_rare_domain_meets_its_target(spark):
+    rng = np.random.default_rng(6)
+    own = rng.choice(4, 2000, p=[0.6, 0.3, 0.095, 0.005])
+    p = np.full((2000, 4), 0.002) + 0.992 * np.eye(4)[own]
+    tokens = rng.integers(50, 400, 2000)
+    rows = [(i, int(t), [float(x) for x in q]) for i, (t, q) in enumerate(zip(tokens, p))]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, posteriors array<double>").coalesce(1).cache()
+    target = tokens.sum() * np.array([0.5, 0.25, 0.15, 0.1])
+    rate = mixing.rate_after(p, mixing.fit_steps(members, target))
+    assert np.abs((rate * tokens) @ p - target).max() <= 2e-4 * target.sum()
+    with pytest.warns(UserWarning, match="targets not met"):
+        mixing.fit_steps(members, target, most_rounds=2)
+
+
 def test_mix_of_awkward_rows(spark, odd_docs, no_docs):
     model = subword.train(["aaa bbb", "ccc ddd"] * 10, ["x", "y"] * 10, ["x", "y"])
     mixed, steps = mixing.mix(odd_docs, model, {"x": 1, "y": 1})

@@ -6,17 +6,18 @@ import warnings
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, staged
 from .subword import SubwordModel, fit
+from .tokens import byte_bpe
 
 
-def token_estimate(text: Column) -> Column:
-    """Tokens of a text for mixing: its words between white space."""
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long")
+#: The tokenizer whose ids the packing stages pack.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def domain_model(sample: DataFrame, domain: Column, text_col: str = "text", **options) -> SubwordModel:
@@ -24,16 +25,17 @@ def domain_model(sample: DataFrame, domain: Column, text_col: str = "text", **op
     return fit(sample, domain, text_col, **{"epochs": 4, "buckets": 1 << 15} | options)
 
 
-def memberships(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, posteriors (array, in the order of model.classes) of every row; null texts count as empty."""
+def memberships(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = BYTE_BPE) -> DataFrame:
+    """doc_id, n_tokens (ids of ``tokenizer``), posteriors (array, in the order of model.classes) of every row; null texts count as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), token_estimate(text).alias("n_tokens"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            p = model.posteriors(batch.column(2).to_pylist())
+            texts = batch.column(1).to_pylist()
+            n, p = [len(byte_bpe(tokenizer).ids(t)) for t in texts], model.posteriors(texts)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel(), pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "n_tokens", "posteriors"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), lists], ["doc_id", "n_tokens", "posteriors"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, posteriors array<double>")
 

@@ -515,6 +515,17 @@ def test_rare_domain_meets_its_target(spark):
         mixing.fit_steps(members, target, most_rounds=2)
 
 
+def test_mixing_counts_token_ids(odd_docs):
+    from tokenizers import Tokenizer
+
+    from stallkeeper.llm.queries import BYTE_BPE
+
+    library = Tokenizer.from_file(BYTE_BPE)
+    model = subword.train(["aaa bbb", "ccc ddd"], ["x", "y"], ["x", "y"], epochs=1)
+    got = sorted(((r.doc_id, r.n_tokens) for r in mixing.memberships(odd_docs, model).collect()), key=str)
+    assert got == sorted(((k, len(library.encode(t, add_special_tokens=False).ids)) for k, t in rows_of(odd_docs)), key=str)
+
+
 def test_mix_of_awkward_rows(spark, odd_docs, no_docs):
     model = subword.train(["aaa bbb", "ccc ddd"] * 10, ["x", "y"] * 10, ["x", "y"])
     mixed, steps = mixing.mix(odd_docs, model, {"x": 1, "y": 1})

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,7 @@ class ShardStore:
         self.Path = jvm.org.apache.hadoop.fs.Path
         self.fs = self.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.fs.mkdirs(self.Path(f"{self.path}/manifest"))
+        self.row_type = StructType()  # of the last arrival, for an empty store
 
     def version(self) -> int:
         names = [s.getPath().getName() for s in self.fs.listStatus(self.Path(f"{self.path}/manifest"))]
@@ -66,7 +68,7 @@ class ShardStore:
 
     def append(self, arrival: DataFrame) -> int:
         """Add an arrival, every task's rows as one small shard, and commit. Nothing is shuffled."""
-        base = self.version()
+        base, self.row_type = self.version(), arrival.schema
         row = F.struct(*[F.col(f"`{c}`") for c in arrival.columns]).alias("row")
         new = self._write(arrival.select(row, F.spark_partition_id().alias("shard")), f"a{base + 1}")
         return self.commit(self.manifest(base) + new, base)
@@ -135,13 +137,14 @@ class ShardStore:
         """row (a struct of the columns), run and shard of the live shards, or of those named; None of them: no rows."""
         names = [s.name for s in self.manifest()] if names is None else names
         if not names:
-            return self.spark.createDataFrame([], "row struct<>, run string, shard int")
+            return self.spark.createDataFrame([], StructType().add("row", self.row_type).add("run", "string").add("shard", "integer"))
         return self.spark.read.option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/{n}" for n in names])
 
     def vacuum(self) -> None:
         """Delete the shards that the last version doesn't list."""
         live = {s.name for s in self.manifest()}
-        for run in self.fs.listStatus(self.Path(f"{self.path}/data")):
+        data = self.Path(f"{self.path}/data")
+        for run in self.fs.listStatus(data) if self.fs.exists(data) else []:
             for shard in self.fs.listStatus(run.getPath()):
                 if shard.isDirectory() and f"{run.getPath().getName()}/{shard.getPath().getName()}" not in live:
                     self.fs.delete(shard.getPath(), True)

@@ -559,6 +559,13 @@ def test_compaction(spark, odd_docs, no_docs, tmp_path):
     assert back.columns == odd_docs.columns and same(back) == same(odd_docs)
 
 
+def test_empty_table_has_no_shards(spark, no_docs, tmp_path):
+    from stallkeeper.llm.queries import op10_sharding
+
+    no_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert op10_sharding(spark, str(tmp_path)).count() == 0
+
+
 def test_manifest_commits_once(spark, tmp_path):
     store = ShardStore(spark, f"file://{tmp_path}/m", target=100)
     assert store.commit([Shard("run=a/shard=0", 1, 2)], 0) == 1

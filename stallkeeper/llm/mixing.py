@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import pieces, staged
 from .subword import SubwordModel, fit
@@ -25,26 +27,45 @@ def domain_model(sample: DataFrame, domain: Column, text_col: str = "text", **op
     return fit(sample, domain, text_col, **{"epochs": 4, "buckets": 1 << 15} | options)
 
 
-def memberships(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = BYTE_BPE) -> DataFrame:
-    """doc_id, n_tokens (ids of ``tokenizer``), posteriors (array, in the order of model.classes) of every row; null texts count as empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+def memberships(docs: DataFrame, model: SubwordModel, text_col: str = "text", tokenizer: str = BYTE_BPE) -> DataFrame:
+    """row (a struct of all columns), n_tokens (ids of ``tokenizer``), posteriors (array, in the order of model.classes) of every row.
+
+    Null texts count as empty. The classifier's pass over the words counts the ids too.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = byte_bpe(tokenizer)
         for batch in pieces(batches):
-            texts = batch.column(1).to_pylist()
-            n, p = [len(byte_bpe(tokenizer).ids(t)) for t in texts], model.posteriors(texts)
+            texts = batch.column(0).field(at).fill_null("")
+            p, sums = model.read(texts, encoder.counts)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel(), pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), lists], ["doc_id", "n_tokens", "posteriors"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encoder.totals(texts.to_pylist(), sums), pa.int64()), lists], ["row", "n_tokens", "posteriors"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("posteriors", T.ArrayType(T.DoubleType()))]))
+
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, posteriors array<double>")
+@dataclass(frozen=True)
+class Fit:
+    """``steps``: one row for each round, its momentum and its step for each domain; ``totals``: expected tokens of each domain."""
+
+    steps: np.ndarray
+    totals: np.ndarray
+    targets: np.ndarray
+    met: bool
+
+    @property
+    def left(self) -> float:
+        """The largest distance of a domain to its target, as a share of all target tokens."""
+        return float(np.abs(self.totals - self.targets).max() / max(1.0, self.targets.sum())) if len(self.targets) else 0.0
 
 
 def rate_after(posteriors: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Rates after the projected steps: each moves a rate by -(posterior . step) and cuts it at 0; they start at 1."""
-    rate = np.ones(len(posteriors))
-    for step in steps:
-        rate = np.maximum(0.0, rate - posteriors @ step)
+    """Rates after the projected steps: each goes on with some momentum, moves by -(posterior . step) and is cut at 0; they start at 1."""
+    rate = before = np.ones(len(posteriors))
+    for momentum, *step in steps:
+        rate, before = np.maximum(0.0, rate + momentum * (rate - before) - posteriors @ np.array(step)), rate
     return rate
 
 
@@ -52,71 +73,58 @@ def matrix_of(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def fit_steps(members: DataFrame, targets: np.ndarray, most_rounds: int = 300, plain: int = 60, tolerance: float = 1e-4) -> np.ndarray:
-    """Steps of projected-gradient least squares: min over rates >= 0 of sum_k (sum_d rate tokens p_k - target_k)^2 / scale_k.
+def fit_steps(members: DataFrame, targets: np.ndarray, most_rounds: int = 40, tolerance: float = 1e-4, ridge: float = 1e-3) -> Fit:
+    """Steps of projected-gradient least squares: min over rates >= 0 of (total - target)' W (total - target), total_k = sum_d rate tokens p_k.
 
-    scale_k is the larger of the domain's target and its expected tokens at rate 1, so a domain that hardly any document
-    belongs to doesn't outweigh the others. The gradient is taken in the metric of the tokens, so a
-    document's rates follow from its posteriors and the steps so far, a rounds x domains matrix: no state per
-    document is kept or shuffled. Each round is one pass of partial sums; only domains x domains numbers reach the driver.
-    The step size is 1 over the largest eigenvalue of the scaled second-moment matrix, so the loss never rises. After ``plain`` rounds steps
-    are taken in the metric of the second moments of the rows with a rate over 0, halved while the loss would rise. Rounds end when
-    every domain is within ``tolerance`` of all tokens, or when a round changes the totals no more; then, and after
-    ``most_rounds``, a warning names the error that is left.
+    W is the inverse of the second moments sum_d tokens p p', with ``ridge`` times the domains' tokens on its diagonal, so that a domain that hardly
+    any document belongs to doesn't outweigh the others. The gradient is taken in the metric of the tokens; the step size is then 1, the
+    loss never rises, and without rates cut at 0 the first rounds nearly meet the targets. Momentum (restarted when the loss would rise)
+    speeds up the others. A document's rate follows from its posteriors and the steps so far, a rounds x domains matrix: no state for each
+    document is kept or shuffled. Each round is one pass of partial sums; only numbers by domain reach the driver.
+    Rounds end when every domain is within ``tolerance`` of all tokens; when two rounds in a row move no total by a hundredth of that, as
+    then rates >= 0 can come no nearer; or after ``most_rounds``. Unless the targets are met a warning names the error that is left.
     """
     k = len(targets)
+    rows = members.select("n_tokens", "posteriors")
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k + 1, k))
-        for b in batches:
-            p, t = matrix_of(b.column(1)), b.column(0).to_numpy().astype(float)
-            total[:k] += p.T @ (p * t[:, None])
-            total[k] += t @ p
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "x"])
+    def moments(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return np.concatenate([p.T @ (p * t[:, None]), [t @ p]])
 
-    def sums(batches: Iterator[pa.RecordBatch], steps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k + 1, k))
-        for b in batches:
-            p, t = matrix_of(b.column(1)), b.column(0).to_numpy().astype(float)
-            rate = rate_after(p, steps)
-            total[:k] += p.T @ (p * (t * (rate > 0))[:, None])
-            total[k] += (t * rate) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "x"])
-
-    def gathered(fn, n: int) -> np.ndarray:
-        out = np.zeros(n)
-        for r in members.select("n_tokens", "posteriors").mapInArrow(fn, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+    def gathered(fn, shape: tuple) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(shape)
+            for b in batches:
+                total += fn(matrix_of(b.column(1)), b.column(0).to_numpy().astype(float))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "x"])
+
+        out = np.zeros(int(np.prod(shape)))
+        for r in rows.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
             out[r.i] = r.x
-        return out
-
-    first = gathered(moments, k * (k + 1)).reshape(k + 1, k)
-    scale = np.maximum(np.maximum(first[k], targets), 1e-9 * max(1.0, first[k].sum()))
-    top = np.linalg.eigvalsh(first[:k] / np.sqrt(np.outer(scale, scale)))[-1]
-    steps = np.zeros((0, k))
-    if first[k].sum() == 0:
-        return steps
-    now, total, damp = first, max(targets.sum(), first[k].sum()), 1.0
-    loss = lambda m: float(((m[k] - targets) ** 2 / scale).sum())
-    for done in range(most_rounds):
-        error = now[k] - targets
-        if np.abs(error).max() <= tolerance * targets.sum():
-            break
-        newton = done >= plain and damp > 1e-3
-        step = damp * (np.linalg.pinv(now[:k], rcond=1e-12) @ error) if newton else error / scale / top
-        tried = np.vstack([steps, step])
-        after = gathered(lambda b, s=tried: sums(b, s), k * (k + 1)).reshape(k + 1, k)
-        if newton and loss(after) >= loss(now):
-            damp /= 2
-            continue
-        damp, moved = 1.0 if newton else damp, np.abs(after[k] - now[k]).max()
-        steps, now = tried, after
-        if not newton and moved <= 1e-9 * total:
-            break
-    got = now[k]
-    left = np.abs(got - targets).max()
-    if left > tolerance * targets.sum():
-        warnings.warn(f"targets not met after {len(steps)} rounds: a domain is {left:.0f} tokens off", stacklevel=2)
-    return steps
+        return out.reshape(shape)
+
+    first = gathered(moments, (k + 1, k))
+    have, steps = first[k], np.zeros((0, k + 1))
+    if have.sum() == 0:
+        return Fit(steps, have, targets, not targets.any())
+    weight = np.linalg.pinv(first[:k] + ridge * np.diag(have), hermitian=True)
+    loss = lambda total: float((total - targets) @ weight @ (total - targets))
+    close = tolerance * max(targets.sum(), 1e-9 * have.sum())
+    now = before = have
+    pace, still = 1.0, 0
+    while np.abs(now - targets).max() > close and len(steps) < most_rounds and still < 2:
+        faster = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        momentum = (pace - 1) / faster
+        tried = np.vstack([steps, [momentum, *(weight @ (now + momentum * (now - before) - targets))]])
+        after = gathered(lambda p, t, s=tried: (t * rate_after(p, s)) @ p, (k,))
+        if momentum and loss(after) > loss(now):
+            tried = np.vstack([steps, [0.0, *(weight @ (now - targets))]])
+            after, faster = gathered(lambda p, t, s=tried: (t * rate_after(p, s)) @ p, (k,)), 1.0
+        still = still + 1 if np.abs(after - now).max() <= close / 100 else 0
+        steps, before, now, pace = tried, now, after, faster
+    found = Fit(steps, now, targets, bool(np.abs(now - targets).max() <= close))
+    if not found.met:
+        warnings.warn(f"targets not met after {len(steps)} rounds: a domain is {found.left:.2%} of all tokens off", stacklevel=2)
+    return found
 
 
 def rates(members: DataFrame, steps: np.ndarray) -> DataFrame:
@@ -126,42 +134,48 @@ def rates(members: DataFrame, steps: np.ndarray) -> DataFrame:
         for b in batches:
             yield b.append_column("rate", pa.array(rate_after(matrix_of(b.column(b.schema.get_field_index("posteriors"))), steps)))
 
-    return members.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", rate double")
+    return members.mapInArrow(run, T.StructType([*members.schema.fields, T.StructField("rate", T.DoubleType())]))
 
 
-def token_targets(have: dict, weights: dict, total: float | None = None) -> dict:
-    """Target tokens of each domain: the shares of ``weights`` of ``total`` (by default what there is)."""
-    total, sum_w = sum(have.values()) if total is None else total, sum(weights.get(k, 0) for k in have)
-    return {k: total * weights.get(k, 0) / sum_w for k in have}
+def targets_of(members: DataFrame, classes: list, weights: dict) -> np.ndarray:
+    """Target tokens of each class: its share in ``weights`` (left out: 0) of all tokens."""
+    total = members.agg(F.sum("n_tokens")).first()[0] or 0
+    share = np.array([float(weights.get(c, 0)) for c in classes])
+    return total * share / share.sum() if share.sum() else share
 
 
-def mix(docs: DataFrame, model: SubwordModel, weights: dict, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_tokens, posteriors, rate of every row; the steps that give the rates).
+def mix(docs: DataFrame, model: SubwordModel, weights: dict, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Fit]:
+    """(doc_id, n_tokens, posteriors, rate of every row; the fit that gives the rates).
 
     Rates are nonnegative expected numbers of copies; the expected tokens of each domain, over all rows, meet its share
     in ``weights`` (by class of the model; left out: 0) of all tokens, or come as near as rates >= 0 can. Texts without
-    words weigh nothing; their rate follows from their posterior like any other. Repeated rows get equal rates, null
-    ids are kept, an empty table gives no rows, other columns are not read.
+    words weigh nothing; their rate follows from their posterior like any other. Texts are read whole, however long. Repeated rows get
+    equal rates, null ids are kept, an empty table gives no rows, other columns are not read.
     """
-    members = staged(memberships(docs, model, id_col, text_col), "memberships")
-    total = members.agg(F.sum("n_tokens")).first()[0] or 0
-    share = np.array([float(weights.get(c, 0)) for c in model.classes])
-    steps = fit_steps(members, total * share / share.sum() if share.sum() else share)
-    return rates(members, steps), steps
+    asked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    members = staged(memberships(asked, model).select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "posteriors"), "memberships")
+    found = fit_steps(members, targets_of(members, model.classes, weights))
+    return rates(members, found.steps), found
+
 
+def resample(docs: DataFrame, model: SubwordModel, weights: dict, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> tuple[DataFrame, Fit]:
+    """(``docs`` with every row repeated as its rate says, the fit): the whole part, and once more where a hash of its id and text is under the rest.
 
-def resample(docs: DataFrame, model: SubwordModel, steps: np.ndarray, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
-    """``docs`` with every row repeated as its rate says: the whole part, and once more where a hash of its id and text is under the rest."""
-    at, key = docs.columns.index(text_col), docs.columns.index(id_col)
+    Rates are those of ``mix``. Rows are written with their posteriors, so that texts are scored once. Columns of any name are kept.
+    """
+    members = staged(memberships(docs, model, text_col), "memberships")
+    found = fit_steps(members, targets_of(members, model.classes, weights))
+    names, steps = docs.columns, found.steps
+    at, key = names.index(text_col), names.index(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for b in pieces(batches):
-            texts = [t or "" for t in b.column(at).to_pylist()]
-            rate = rate_after(model.posteriors(texts), steps)
-            u = np.array([xxh64_intdigest(f"{k} {t}", seed) for k, t in zip(b.column(key).to_pylist(), texts)], np.float64) / 2.0**64
-            copies = np.floor(rate).astype(int) + (u < rate % 1)
-            yield b.take(pa.array(np.repeat(np.arange(len(texts)), copies)))
+            columns = b.column(0).flatten()
+            rate = rate_after(matrix_of(b.column(1)), steps)
+            u = np.array([xxh64_intdigest(f"{k} {t or ''}", seed) for k, t in zip(columns[key].to_pylist(), columns[at].to_pylist())], np.float64) / 2.0**64
+            copies = pa.array(np.repeat(np.arange(len(rate)), np.floor(rate).astype(int) + (u < rate % 1)))
+            yield pa.RecordBatch.from_arrays([c.take(copies) for c in columns], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return members.select("row", "posteriors").mapInArrow(run, docs.schema), found

@@ -28,8 +28,9 @@ def quality_model(spark: SparkSession, sf_dir: str) -> subword.SubwordModel:
     return subword.fit(sample, F.col("quality"), epochs=4, rate=1.0)
 
 
-def domain_model(spark: SparkSession, sf_dir: str) -> subword.SubwordModel:
-    labels = table(spark, sf_dir, "labels").filter("quality is not null").select("doc_id", "quality")
+def domain_model(spark: SparkSession, sf_dir: str, asked: str = "quality is not null") -> subword.SubwordModel:
+    """Classifier of language and quality, from the labelled rows that ``asked`` leaves."""
+    labels = table(spark, sf_dir, "labels").filter(asked).select("doc_id", "quality")
     sample = subword.labelled_sample(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), labels, 3000)
     return mixing.domain_model(sample, F.concat("lang", F.lit(" "), F.col("quality").cast("string")), rate=1.0)
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from .common import pieces
 
 #: Character n-gram lengths of a word written between < and >.
 GRAMS = (3, 4, 5)
-#: The bucket of a word that follows itself.
+#: The bucket of a part of a text that follows itself.
 SAME = 0
 
 
@@ -46,49 +48,76 @@ def word_features(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(found), np.concatenate(of)
 
 
+#: What this worker knows of the words it met: for each model its parts and their rows.
+KNOWN: dict[str, tuple[dict, np.ndarray]] = {}
+
+
 @dataclass
 class SubwordModel:
-    """``table``: for each class, every bucket's embedding times the output weights; a document's scores are averages of these."""
+    """``table``: for each class, every bucket's embedding times the output weights; a document's scores are averages of these.
+
+    Texts are read in parts, which single spaces separate; a part is one word, or a few where there is other white space in it.
+    A worker keeps the rows of the parts it met, ``words`` of them at most; the first met, which are the frequent ones, stay.
+    """
 
     classes: list
     table: np.ndarray
     bias: np.ndarray
-    words: int = 200_000
-    ids: dict = field(default_factory=dict)
-    rows: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"ids": {}, "rows": None}
-
-    def _learn(self, new: list[str]) -> None:
-        found, of = word_features(new, self.table.shape[1])
-        sums = [np.bincount(of, row[found], len(new)) for row in self.table] + [np.bincount(of, minlength=len(new))]
-        rows = np.stack(sums, axis=1).astype(np.float32)
-        self.ids.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
-        self.rows = rows if self.rows is None else np.concatenate([self.rows, rows])
-
-    def posteriors(self, texts: list[str]) -> np.ndarray:
-        """Class probabilities of each text, (texts, classes); an empty text has those of the bias alone."""
-        out = np.tile(self.bias, (len(texts), 1)).astype(np.float64)
-        for at in range(0, len(texts), 256):
-            split = [t.split() for t in texts[at : at + 256]]
-            ids = [list(map(self.ids.get, words)) for words in split]
-            new = list({words[i] for words, found in zip(split, ids) for i, v in enumerate(found) if v is None})
-            if len(self.ids) + len(new) > self.words:
-                self.ids, self.rows = {}, None
-                new, ids = list(set().union(*split)), [[None] * len(words) for words in split]
-            if new:
-                self._learn(new)
-                ids = [[self.ids[w] if v is None else v for w, v in zip(words, found)] for words, found in zip(split, ids)]
-            for k, found in enumerate(ids):
-                if found:
-                    place = np.array(found)
-                    total = self.rows[place].sum(0, dtype=np.float64)
-                    same = int((place[1:] == place[:-1]).sum())
-                    total[:-1] += same * self.table[:, SAME]
-                    out[at + k] += total[:-1] / (total[-1] + len(found) - 1)
+    words: int = 400_000
+
+    def __post_init__(self) -> None:
+        self.key = f"{zlib.crc32(self.table.tobytes())}-{zlib.crc32(self.bias.tobytes())}-{self.classes}"
+
+    def rows_of(self, parts: list[str], count: Callable[[list[str]], np.ndarray] | None) -> np.ndarray:
+        """For each part: sums of its features for each class, numbers of features and of words, and ``count`` of it."""
+        split = [p.split() for p in parts]
+        words = [w for ws in split for w in ws]
+        owner = np.repeat(np.arange(len(parts)), [len(ws) for ws in split])
+        found, of = word_features(words, self.table.shape[1])
+        of = owner[of]
+        sums = [np.bincount(of, row[found], len(parts)) for row in self.table] + [np.bincount(x, minlength=len(parts)) for x in (of, owner)]
+        return np.stack(sums + ([count(parts)] if count else []), axis=1).astype(np.float32)
+
+    def learnt(self, parts: list[str], count: Callable[[list[str]], np.ndarray] | None) -> np.ndarray:
+        """``rows_of`` of distinct parts; only those not met before are read."""
+        key, width = f"{self.key} {count is not None}", len(self.classes) + 2 + (count is not None)
+        ids, rows = KNOWN.pop(key, None) or ({}, np.zeros((0, width), np.float32))
+        at = np.array([ids.get(p, -1) for p in parts], np.int64)
+        out = np.empty((len(parts), width), np.float32)
+        out[at >= 0] = rows[at[at >= 0]]
+        new = [parts[i] for i in np.flatnonzero(at < 0)]
+        if new:
+            out[at < 0] = fresh = self.rows_of(new, count)
+            if len(ids) + len(new) > self.words:
+                ids, rows = dict(islice(ids.items(), self.words // 2)), rows[: self.words // 2]
+            if len(ids) + len(new) <= self.words:
+                ids.update(zip(new, range(len(ids), len(ids) + len(new))))
+                rows = np.concatenate([rows, fresh])
+        KNOWN.clear()
+        KNOWN[key] = ids, rows
+        return out
+
+    def read(self, texts: pa.Array, count: Callable[[list[str]], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """(class probabilities of each text, sums of ``count`` over its parts); a text without words has the probabilities of the bias alone."""
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        codes, size = coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
+        rows = self.learnt(coded.dictionary.to_pylist(), count)
+        start, k = np.cumsum(size) - size, len(self.classes)  # every text has a part, the empty one if no other
+        sums = [np.add.reduceat(np.ascontiguousarray(c).take(codes), start, dtype=np.float64) for c in rows.T] if len(size) else [np.zeros(0)] * rows.shape[1]
+        total = np.stack(sums, axis=1)
+        again = np.flatnonzero((codes[1:] == codes[:-1]) & (rows[:, k + 1][codes[1:]] > 0)) + 1
+        text = np.searchsorted(start, again, "right") - 1
+        same, words = np.bincount(text[again > start[text]], minlength=len(size)), total[:, k + 1]
+        out = np.tile(self.bias, (len(size), 1)).astype(np.float64)
+        some = words > 0
+        out[some] += (total[some, :k] + same[some, None] * self.table[:, SAME]) / (total[some, k] + words[some] - 1)[:, None]
         out = np.exp(out - out.max(1, keepdims=True))
-        return out / out.sum(1, keepdims=True)
+        return out / out.sum(1, keepdims=True), total[:, k + 2] if count else None
+
+    def posteriors(self, texts: list[str] | pa.Array) -> np.ndarray:
+        """Class probabilities of each text, (texts, classes)."""
+        return self.read(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))[0]
 
 
 def document_features(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +129,8 @@ def document_features(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     back = np.array([places.setdefault(w, len(places)) for w in words])
     found, of = word_features(list(places), buckets)
     weight = np.bincount(back)[of].astype(np.float64)
-    same = float((back[1:] == back[:-1]).sum())
+    parts = text.split(" ")
+    same = float(sum(a == b and not b.isspace() and b != "" for a, b in zip(parts, parts[1:])))
     idx, place = np.unique(np.concatenate([found, [SAME]]), return_inverse=True)
     share = np.bincount(place, np.concatenate([weight, [same]]), len(idx))
     return idx, share / (weight.sum() + len(words) - 1)
@@ -171,7 +201,7 @@ def scored(docs: DataFrame, model: SubwordModel, positive, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = model.classes.index(positive) if positive in model.classes else None
         for batch in pieces(batches):
-            p = model.posteriors(batch.column(1).to_pylist())
+            p = model.posteriors(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p[:, k] if k is not None else np.zeros(len(p)), pa.float64())], ["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
@@ -184,7 +214,7 @@ def accepted(docs: DataFrame, model: SubwordModel, positive, threshold: float, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = model.classes.index(positive) if positive in model.classes else None
         for batch in pieces(batches):
-            p = model.posteriors([t or "" for t in batch.column(at).to_pylist()])
+            p = model.posteriors(batch.column(at).fill_null(""))
             yield batch.filter(pa.array(p[:, k] >= threshold if k is not None else np.zeros(len(p), bool)))
 
     return docs.mapInArrow(run, docs.schema)

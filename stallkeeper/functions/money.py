@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,11 +12,15 @@ TWD_PER_RMB, RMB_PER_USD, AFTER_FEE = 4.5, 7.2, 0.985
 
 
 def to_twd(amount: Column, currency: Column, policy: str = "cents") -> Column:
-    """Amount in TWD; TWD amounts stay. ``policy``: whole (half to even), cents, truncate."""
-    rmb = F.when(currency == "USD", F.round(amount * RMB_PER_USD, 2)).otherwise(amount)
-    twd = rmb * TWD_PER_RMB
-    value = {"whole": F.bround(twd, 0), "cents": F.round(twd, 2), "truncate": twd.try_cast("long").cast("double")}[policy]
-    return F.when(currency == "TWD", amount).otherwise(value)
+    """Amount in TWD, as decimal(38,2); TWD amounts stay. ``policy``: whole (half to even), cents (half up), truncate.
+
+    Money is counted in decimals of two places, so that a tie is a tie: 1 RMB is 4.5 TWD, 4 by the whole policy, 3 RMB are 14.
+    """
+    money = amount.cast("decimal(18,2)")
+    rmb = F.when(currency == "USD", F.round(money * F.lit(Decimal(str(RMB_PER_USD))), 2)).otherwise(money)
+    twd = rmb * F.lit(Decimal(str(TWD_PER_RMB)))
+    value = {"whole": F.bround(twd, 0), "cents": F.round(twd, 2), "truncate": F.when(twd < 0, F.ceil(twd)).otherwise(F.floor(twd))}[policy]
+    return F.when(currency == "TWD", money).otherwise(value).cast("decimal(38,2)")
 
 
 def economics(price: Column, ask: Column, fee: float = AFTER_FEE) -> Column:

@@ -107,13 +107,17 @@ def extract_price(c: Column, mode: str = "pattern", strip_urls: bool = True) ->
 
     The number after 算 (mode pattern only), else after =, else the last one of three digits or more that follows no digit or dot.
     """
-    text = F.regexp_replace(c, r"https?://\S+", " ") if strip_urls else c
-    text = plain_digits(text)
-    said = F.regexp_extract(text, r"算(?:你|給|到)?\s*([0-9]+)", 1)
-    equal = F.regexp_extract(text, r"=\s*([0-9]+)", 1)
-    last = F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?<![0-9.])([0-9]{3,})"), 1), F.lit(-1))
-    found = [said] * (mode == "pattern") + [equal, last]
-    return F.coalesce(F.coalesce(*[F.nullif(x, F.lit("")) for x in found]).try_cast("long"), F.lit(-1))
+
+    def of(text: Column) -> Column:
+        said = F.regexp_extract(text, r"算(?:你|給|到)?\s*([0-9]+)", 1)
+        equal = F.regexp_extract(text, r"=\s*([0-9]+)", 1)
+        last = F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?<![0-9.])([0-9]{3,})"), 1), F.lit(-1))
+        found = [said] * (mode == "pattern") + [equal, last]
+        return F.coalesce(F.coalesce(*[F.nullif(x, F.lit("")) for x in found]).try_cast("long"), F.lit(-1))
+
+    # transform over a one-element array names the cleaned text, so that it is made once
+    text = plain_digits(F.regexp_replace(c, r"https?://\S+", " ") if strip_urls else c)
+    return F.get(F.transform(F.array(text), of), 0)
 
 
 def safe_number(c: Column, default: int | None = -1) -> Column:

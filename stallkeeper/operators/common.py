@@ -34,11 +34,11 @@ def lookahead_first(df: DataFrame, doc: str, pos: str, marker: Column, value: Co
     return df.withColumn("found", F.first(value, ignorenulls=True).over(frame)).withColumn("__m", marker).filter("__m").drop("__m")
 
 
-def number_rows(df: DataFrame, order: list, prefix: str = "p") -> DataFrame:
-    """``df`` with id: ``prefix`` and the row's place from 0.
+def row_numbers(df: DataFrame, order: list, col: str) -> DataFrame:
+    """``df`` with ``col``: the row's place from 0 by ``order``.
 
     Rows are ordered inside ranges, which are written once so that both uses see the same ranges; only one row for each range
-    is ordered in one task. Keep a real id where there is one.
+    is ordered in one task.
     """
     n = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     dealt = df.repartitionByRange(int(n), *order).sortWithinPartitions(*order).withColumn("__mono", F.monotonically_increasing_id())
@@ -48,7 +48,12 @@ def number_rows(df: DataFrame, order: list, prefix: str = "p") -> DataFrame:
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1))
     joined = dealt.withColumn("__part", part).join(before.drop("__n"), "__part")
-    return joined.withColumn("id", F.concat(F.lit(prefix), (F.col("__before") + inside).cast("string"))).drop("__part", "__mono", "__before")
+    return joined.withColumn(col, F.col("__before") + inside).drop("__part", "__mono", "__before")
+
+
+def number_rows(df: DataFrame, order: list, prefix: str = "p") -> DataFrame:
+    """``df`` with id: ``prefix`` and the row's place from 0. Keep a real id where there is one."""
+    return row_numbers(df, order, "__n0").withColumn("id", F.concat(F.lit(prefix), F.col("__n0").cast("string"))).drop("__n0")
 
 
 def keep_last(df: DataFrame, order: Column, n: int = 5000) -> DataFrame:

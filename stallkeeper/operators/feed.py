@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql import types as T
 
+from ..functions.text import strip
 from .common import lookahead_first
 
 #: The part of a feed body that posts are read from.
@@ -19,30 +22,36 @@ FEED_SCHEMA = """data struct<node: struct<group_feed: struct<edges: array<struct
 >>>>>>"""
 
 
-@udtf(returnType="pos: int, obj: string")
-class SplitJson:
-    """The JSON objects of a string that follow each other, up to the first that isn't valid; none if it starts with white space."""
-
-    def eval(self, body: str):
-        decoder, at, pos = json.JSONDecoder(), 0, 0
-        while body and at < len(body):
-            try:
-                _, end = decoder.raw_decode(body, at)
-            except ValueError:
-                return
-            yield pos, body[at:end]
-            pos, at = pos + 1, end
-            while at < len(body) and body[at].isspace():
-                at += 1
+def json_objects(body: str | None) -> list[str]:
+    """The JSON values of a string that follow each other, up to the first that isn't valid; none if it starts with white space."""
+    decoder, at, out = json.JSONDecoder(), 0, []
+    while body and at < len(body):
+        try:
+            _, end = decoder.raw_decode(body, at)
+        except ValueError:
+            break
+        out.append(body[at:end])
+        at = end
+        while at < len(body) and body[at].isspace():
+            at += 1
+    return out
 
 
 def split_json(df: DataFrame, body: str = "body") -> DataFrame:
     """``df`` with one row for each JSON object of ``body``: pos, obj."""
-    spark = df.sparkSession
-    spark.udtf.register("stallkeeper_split_json", SplitJson)
-    view = "stallkeeper_split_json_input"
-    df.createOrReplaceTempView(view)
-    return spark.sql(f"SELECT t.*, s.pos, s.obj FROM {view} t, LATERAL stallkeeper_split_json(t.{body}) s")
+    where = df.columns.index(body)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                found = [json_objects(x.as_py()) for x in part.column(where)]
+                row = pa.array([i for i, objs in enumerate(found) for _ in objs], pa.int64())
+                pos, objs = [k for objs in found for k in range(len(objs))], [o for objs in found for o in objs]
+                yield pa.RecordBatch.from_arrays([*part.take(row).columns, pa.array(pos, pa.int32()), pa.array(objs, pa.string())], names)
+
+    names = [*df.columns, "pos", "obj"]
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("pos", T.IntegerType()), T.StructField("obj", T.StringType())]))
 
 
 def feed_bodies(df: DataFrame, body: str = "body") -> DataFrame:
@@ -79,32 +88,40 @@ def expand_items(posts: DataFrame) -> DataFrame:
 
 def as_array(text: Column, schema: str) -> Column:
     """Array of structs of a JSON text that holds an array or one object; null otherwise."""
-    kept = F.ltrim(text)
+    kept = strip(text)
     return F.when(kept.startswith("["), F.from_json(text, f"array<struct<{schema}>>")).when(kept.startswith("{"), F.array(F.from_json(text, f"struct<{schema}>")))
 
 
+def append_posts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The posts of two rounds, one after the other; columns that only one has are null in the other."""
+    return old.unionByName(new, allowMissingColumns=True)
+
+
 def prefix_match(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_pos: str, right_text: str, probe: int = 15, span: int = 40) -> DataFrame:
     """left id, right pos: the first right row whose start holds the left's probe, or whose probe the left's start holds.
 
-    A start is the first ``span`` characters, trimmed, a probe the start's first ``probe``. Distinct starts are compared, each of them
-    once: blocked by the first three characters of the probe (one for shorter probes), then verified.
+    A start is the first ``span`` characters, trimmed, a probe the start's first ``probe``. A start holds a probe where one of its runs of
+    that length is the probe: starts are few runs each, so both ways are equal joins of distinct runs and probes, each with its least pos.
     """
     start = lambda c: F.trim(F.substring(c, 1, span))
     a = left.select(F.col(left_id).alias("__l"), start(F.col(left_text)).alias("s")).filter("s <> ''")
     b = right.select(F.col(right_pos).alias("r"), start(F.col(right_text)).alias("s")).filter("s <> ''").groupBy("s").agg(F.min("r").alias("r"))
-    mine, theirs = a.select(F.col("s").alias("sa")).distinct(), b.select(F.col("s").alias("sb"), "r")
-
-    def grams(df: DataFrame, s: str, n: int) -> DataFrame:
-        runs = F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, F.lit(n)))
-        return df.filter(F.length(s) >= n).withColumn("g", F.explode(F.array_distinct(runs)))
-
-    found = []
-    for probes, p, texts, t in ((mine, "sa", theirs, "sb"), (theirs, "sb", mine, "sa")):
-        for n, part in ((3, F.length(p) >= 3), (1, F.length(p) < 3)):
-            keyed = probes.filter(part).withColumn("g", F.substring(p, 1, n))
-            found.append(keyed.join(grams(texts, t, n), "g").filter(F.col(t).contains(F.substring(p, 1, probe))).select("sa", "r"))
-    best = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).groupBy("sa").agg(F.min("r").alias("r"))
-    return a.join(best, F.col("s") == F.col("sa")).select(F.col("__l").alias(left_id), F.col("r").alias(right_pos))
+    mine, head = a.select("s").distinct(), F.substring("s", 1, probe)
+    lengths = lambda df: sorted(r[0] for r in df.select(F.length(head)).distinct().collect())
+
+    def runs_of(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length("s") - n + 1), lambda i: F.substring("s", i, F.lit(n)))
+        return F.when(F.length("s") >= n, each).otherwise(F.array().cast("array<string>"))
+
+    def held(starts: DataFrame, sizes: list[int]) -> DataFrame:
+        every = F.flatten(F.array(*map(runs_of, sizes or [1])))
+        return starts.withColumn("run", F.explode(F.array_distinct(every)))
+
+    runs = held(b, lengths(mine)).groupBy("run").agg(F.min("r").alias("r"))
+    probes = b.groupBy(head.alias("run")).agg(F.min("r").alias("r"))
+    found = mine.withColumn("run", head).join(runs, "run").select("s", "r").unionByName(held(mine, lengths(b)).join(probes, "run").select("s", "r"))
+    best = found.groupBy("s").agg(F.min("r").alias("r"))
+    return a.join(best, "s").select(F.col("__l").alias(left_id), F.col("r").alias(right_pos))
 
 
 def valid_box(top: Column, bottom: Column, least: int = 60) -> Column:

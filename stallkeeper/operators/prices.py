@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import slug_v1
+from ..functions.text import has_id, parse_item_name, slug_v1, strip
+from ..staging import staged
 from .common import first_match, latest
-
-#: Listing names without an exact price, up to this many, go to every task as one automaton.
-MOST_NAMES = 100_000
+from .containment import shortest_holder
 
 
 def upsert_prices(base: DataFrame, updates: DataFrame, key: str = "item", order: list[str] | None = None) -> DataFrame:
@@ -33,64 +29,42 @@ def price_sorted(prices: DataFrame) -> DataFrame:
 
 
 def match_price_exact(listings: DataFrame, prices: DataFrame, name: str = "name") -> DataFrame:
-    """``listings`` with price_twd and volume of the item of exactly that name, null otherwise."""
-    table = prices.select(F.col("item").alias("__item"), "price_twd", "volume")
-    return listings.join(table, F.col(name) == F.col("__item"), "left").drop("__item")
+    """``listings`` with price_twd, volume and matched: whether there is an item of exactly that name, even one without a price."""
+    table = prices.select(F.col("item").alias("__item"), "price_twd", "volume", F.lit(True).alias("matched"))
+    return listings.join(table, F.col(name) == F.col("__item"), "left").drop("__item").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
 def match_price_fuzzy(names: DataFrame, prices: DataFrame, name: str = "name") -> DataFrame:
-    """name, item, price_twd, volume: the shortest price name that contains the name, ASCII case aside; ties by name.
-
-    Distinct names are looked for. Up to ``MOST_NAMES`` of them go to every task as an automaton that reads each price name
-    once; more are joined to the price names' character triples by their first three characters, and verified.
-    """
+    """name, item, price_twd, volume: the shortest, then least price name that contains the name, ASCII case aside; names without one are left out."""
     fold = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     asked = names.select(F.col(name).alias("__name")).filter("__name <> ''").distinct().withColumn("__a", fold(F.col("__name")))
-    table = prices.select("item", "price_twd", "volume", fold(F.col("item")).alias("__b")).filter("item is not null")
-    if asked.limit(MOST_NAMES + 1).count() <= MOST_NAMES:
-        hits = _containing(asked.select("__a").distinct(), table.select("item", "__b"))
-        found = asked.join(hits, "__a").join(table, "item")
-    else:
-        hit = F.col("__b").contains(F.col("__a"))
-        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__b") - 2, F.lit(1))), lambda i: F.substring("__b", i, F.lit(3))))
-        blocked = table.withColumn("__g", F.explode(runs))
-        short = asked.filter(F.length("__a") < 3).join(table, hit)
-        found = asked.filter(F.length("__a") >= 3).withColumn("__g", F.substring("__a", 1, 3)).join(blocked, "__g").filter(hit).drop("__g").unionByName(short)
-    best = first_match(found.select("__name", "item", "price_twd", "volume", F.length("item").alias("__n")), ["__name"], ["__n", "item"])
-    return best.select(F.col("__name").alias(name), "item", "price_twd", "volume")
-
-
-def _containing(asked: DataFrame, table: DataFrame) -> DataFrame:
-    """__a, item: for each task of ``table`` (item, __b) and each asked name the shortest, then least, item that contains it."""
-    sent = asked.sparkSession.sparkContext.broadcast([r[0] for r in asked.collect()])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        machine, best = ahocorasick.Automaton(), {}
-        for a in sent.value:
-            machine.add_word(a, a)
-        if sent.value:
-            machine.make_automaton()
-            for b in batches:
-                for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    for a in {a for _, a in machine.iter(text)}:
-                        best[a] = min(best.get(a, (len(item), item)), (len(item), item))
-        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), pa.array([i for _, i in best.values()], pa.string())], ["__a", "item"])
-
-    return table.mapInArrow(run, "__a string, item string").distinct()
+    table = prices.filter("item is not null").withColumn("__b", fold(F.col("item")))
+    held = shortest_holder(asked.select("__a").distinct(), table)
+    best = first_match(table.select("__b", "item", "price_twd", "volume"), ["__b"], ["item", "price_twd", "volume"])
+    return asked.join(held, "__a").join(best, "__b").select(F.col("__name").alias(name), "item", "price_twd", "volume")
 
 
 def match_price(listings: DataFrame, prices: DataFrame, name: str = "name") -> DataFrame:
-    """``listings`` with matched_item, price_twd, volume, match_kind: exact, else fuzzy, else none."""
+    """``listings`` with matched_item, price_twd, volume, match_kind: exact, else fuzzy, else none.
+
+    An item of exactly the name is taken even if it has no price. Only distinct names without one are looked for inside others.
+    """
     exact = match_price_exact(listings, prices, name)
-    missed = exact.filter("price_twd is null").select(name)
+    items = prices.select(F.col("item").alias("__item"))
+    missed = staged(listings.select(name).distinct().join(items, F.col(name) == F.col("__item"), "left_anti"), "names")
     fuzzy = match_price_fuzzy(missed, prices, name).select(F.col(name).alias("__n"), F.col("item").alias("__i"), F.col("price_twd").alias("__p"), F.col("volume").alias("__v"))
     joined = exact.join(fuzzy, F.col(name) == F.col("__n"), "left")
-    kind = F.when(F.col("price_twd").isNotNull(), "exact").when(F.col("__p").isNotNull(), "fuzzy").otherwise("none")
-    item = F.when(F.col("price_twd").isNotNull(), F.col(name)).otherwise(F.col("__i"))
-    kept = [c for c in listings.columns]
-    return joined.select(*kept, item.alias("matched_item"), F.coalesce("price_twd", "__p").alias("price_twd"), F.coalesce("volume", "__v").alias("volume"), kind.alias("match_kind"))
+    kind = F.when(F.col("matched"), "exact").when(F.col("__i").isNotNull(), "fuzzy").otherwise("none")
+    own = lambda mine, other: F.when(F.col("matched"), F.col(mine)).otherwise(F.col(other))
+    return joined.select(*listings.columns, own(name, "__i").alias("matched_item"), own("price_twd", "__p").alias("price_twd"), own("volume", "__v").alias("volume"), kind.alias("match_kind"))
+
+
+def guarded_price(df: DataFrame, prices: DataFrame, name: str, wanted: Column) -> DataFrame:
+    """``df`` with price_twd of the item named ``name``, looked up only for the rows that are ``wanted``; null for the others, which meet no join."""
+    asked = F.coalesce(wanted & has_id(F.col(name)), F.lit(False))
+    table = prices.select(F.col("item").alias("__item"), F.col("price_twd").alias("__price"))
+    found = df.filter(asked).join(table, F.col(name) == F.col("__item"), "left").drop("__item")
+    return found.unionByName(df.filter(~asked).withColumn("__price", F.lit(None).cast("double"))).withColumnRenamed("__price", "price_twd")
 
 
 def fresh_quote(asks: DataFrame, quotes: DataFrame, key: str, at: str, quoted_at: str, ttl_seconds: int = 300) -> DataFrame:
@@ -134,3 +108,15 @@ def sync_coverage(watch: DataFrame, results: DataFrame, key: str = "item") -> Da
 def wide_pivot(df: DataFrame, key: str, wear: str, wears: list[str], order: Column) -> DataFrame:
     """One row for each key with price and volume columns of each wear; the last row of a cell wins."""
     return df.groupBy(key).pivot(wear, wears).agg(F.max_by("price_twd", order).alias("price"), F.max_by("volume", order).alias("vol"))
+
+
+def with_local_name(df: DataFrame, watch: DataFrame, name: str = "name") -> DataFrame:
+    """``df`` with local_name: the Chinese name, without wear, of the watched item with the same base; empty without one.
+
+    ``watch`` is the fixed watch list (name_en, name_zh), a few rows, hence sent to every task.
+    """
+    base = lambda c: parse_item_name(F.col(c))["base"]
+    bare = strip(F.regexp_replace("name_zh", r"\s*\([^()]*\)$", ""))
+    known = watch.select(base("name_en").alias("__base"), bare.alias("local_name")).groupBy("__base").agg(F.min("local_name").alias("local_name"))
+    joined = df.withColumn("__b", base(name)).join(F.broadcast(known), F.col("__b") == F.col("__base"), "left")
+    return joined.drop("__b", "__base").withColumn("local_name", F.coalesce("local_name", F.lit("")))

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import latest
-
-#: Term tables up to this many rows are sent to every task.
-MOST_TERMS = 200_000
+from .containment import first_term
 
 
 def translate_catalogue(catalogue: DataFrame, source: str = "en") -> DataFrame:
@@ -40,49 +35,10 @@ def term_counts(terms: DataFrame) -> DataFrame:
     return terms.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def match_terms(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, min_len: int = 1, gram: int = 3) -> DataFrame:
-    """id, term, target: for each text the first term (by ord) that it contains; texts without one are left out.
-
-    A term table of at most ``MOST_TERMS`` rows goes to every task as one automaton, which reads each text once however many terms there
-    are; nothing is shuffled. A larger one is blocked: terms by their first ``gram`` characters, texts by their distinct
-    character runs of that length, then verified; its shorter terms keep the first way, as far as their number allows.
-    """
-    terms = terms.filter(F.length("term") >= min_len).select("term", "target", "ord")
-    rows = texts.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter("__text is not null")
-    if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
-        return scan_terms(rows, terms).select(F.col("__id").alias(id_col), "term", "target")
-    short = terms.filter(F.length("term") < gram)
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__text") - gram + 1), lambda i: F.substring("__text", i, F.lit(gram))))
-    blocked = rows.filter(F.length("__text") >= gram).withColumn("__g", F.explode(runs))
-    long = blocked.join(terms.withColumn("__g", F.substring("term", 1, gram)), "__g").filter(F.col("__text").contains(F.col("term")))
-    found = long.select("__id", "term", "target", "ord")
-    if short.limit(1).count():
-        found = found.unionByName(rows.join(short, F.col("__text").contains(F.col("term"))).select("__id", "term", "target", "ord"))
-    pick = F.min_by(F.struct("term", "target"), F.struct("ord", "term")).alias("__t")
-    return found.groupBy("__id").agg(pick).select(F.col("__id").alias(id_col), "__t.term", "__t.target")
-
-
-def scan_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """__id, term, target of rows (__id, __text) by an Aho-Corasick automaton of the counted term table."""
-    ordered = [(r.term, r.target) for r in terms.orderBy("ord", "term").collect()]
-    sent = rows.sparkSession.sparkContext.broadcast(ordered)
-    kind = rows.schema["__id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        names, machine = sent.value, ahocorasick.Automaton()
-        for k in range(len(names) - 1, -1, -1):  # the first of equal terms stays
-            machine.add_word(names[k][0], k)
-        if names:
-            machine.make_automaton()
-        for b in batches:
-            best = [min((k for _, k in machine.iter(t)), default=-1) if names else -1 for t in b.column(1).to_pylist()]
-            hit = [i for i, k in enumerate(best) if k >= 0]
-            found = [names[best[i]] for i in hit]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit, pa.int64())), pa.array([t for t, _ in found], pa.string()), pa.array([g for _, g in found], pa.string())], ["__id", "term", "target"])
-
-    return rows.mapInArrow(run, f"__id {kind}, term string, target string")
+def match_terms(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, min_len: int = 1) -> DataFrame:
+    """id, term, target: for each row of ``texts`` the first term (by ord) that its text contains; rows without one are left out."""
+    asked = terms.filter(F.length("term") >= min_len).select("term", "target", "ord")
+    return first_term(texts.select(id_col, text_col), asked, text_col, ["ord"]).select(id_col, "term", "target")
 
 
 def coverage(terms: DataFrame, required: DataFrame) -> DataFrame:
@@ -92,10 +48,11 @@ def coverage(terms: DataFrame, required: DataFrame) -> DataFrame:
 
 
 def dictionary_lookup(texts: DataFrame, full: DataFrame, patterns: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, mode, term, target: full names first, then patterns of two characters or more for the texts left."""
-    by_full = match_terms(texts, full, id_col, text_col).withColumn("mode", F.lit("full"))
-    rest = texts.join(by_full.select(id_col), id_col, "left_anti")
-    by_pattern = match_terms(rest, patterns, id_col, text_col, min_len=2).withColumn("mode", F.lit("pattern"))
-    return by_full.unionByName(by_pattern).select(id_col, "mode", "term", "target")
-
+    """``texts``' other columns, mode, term, target: for each row the first full name in its text, else the first pattern of two characters or more.
 
+    Both dictionaries are looked up in one pass over the texts; rows without either are left out.
+    """
+    both = full.select("term", "target", F.lit("full").alias("mode"), "ord").unionByName(
+        patterns.filter(F.length("term") >= 2).select("term", "target", F.lit("pattern").alias("mode"), "ord"))
+    ranked = both.withColumn("__rank", F.when(F.col("mode") == "full", 0).otherwise(1))
+    return first_term(texts, ranked, text_col, ["__rank", "ord"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_model_json
-from ..operators import enrich, feed, tiles
+from ..operators import deals, enrich, feed, tiles
 from ..operators.common import first_match, lookahead_first
 from ..sources.readers import explode_candidates, parse_usd_quote, watchlist
 from ..staging import table
@@ -181,3 +181,22 @@ def post_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.when(F.col("page_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(*[F.lit(f"i{k}") for k in range(5)]))
     rows = feed.attach_images(posts, pages.select(F.col("page_id").alias("pos"), F.col("url").alias("text"), found.alias("images")))
     return rows.select("id", F.array_join("images", ",").alias("images"), F.coalesce("alt_text", F.lit("")).alias("alt_text"))
+
+
+@query("""SELECT conv_id, turn, role FROM conversations WHERE role IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role) = 1""")
+def post_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts of two rounds appended: the second brings all posts, those of the first once more; posts are told apart by id."""
+    t = table(spark, sf_dir, "conversations").filter("role is not null")
+    posts = t.groupBy("conv_id", "turn").agg(F.min("role").alias("role")).withColumn("id", F.concat_ws("_", "conv_id", "turn"))
+    first = posts.filter("turn % 2 = 0")
+    second = deals.new_listings(posts.withColumn("alt_text", F.lit("")), first)
+    return feed.append_posts(first, second).select("conv_id", "turn", "role")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 <> 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n FROM events""")
+def object_or_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON texts that hold two objects in an array, one object, or neither: the first object and their number."""
+    part = F.col("event_id") % 3
+    said = F.when(part == 0, F.concat(F.lit(" ["), "props", F.lit(", "), "props", F.lit("]"))).when(part == 1, F.concat(F.lit("\n"), "props")).otherwise("none")
+    rows = table(spark, sf_dir, "events").select("event_id", feed.as_array(said, "k: bigint").alias("a"))
+    return rows.select("event_id", F.get("a", F.lit(0))["k"].alias("k"), F.coalesce(F.size("a"), F.lit(0)).alias("n"))

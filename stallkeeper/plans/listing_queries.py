@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import deals, feed, terms
 from ..operators.common import dedupe, head_by
-from ..sources.readers import quoted_pairs
-from ..staging import table
+from ..sources.readers import quoted_pairs, read_catalogue, write_catalogue
+from ..staging import new_folder, spread, table
 from .registry import query
 
 # Wear wordings that the derived listings take in turn.
@@ -27,7 +27,8 @@ def listing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     ask = F.col("l_extendedprice") / F.col("l_quantity")
     line = F.col("l_linenumber") % 3
     lead = F.when(line == 0, " 算").when(line == 1, " =").otherwise(" 賣 ")
-    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
+    joined = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_partkey").alias("part_key"), ask.alias("ask"),
                          F.concat(F.lit("【售】"), "p_name", F.lit(" "), "p_brand", F.lit(" "), wear, lead, F.floor(ask).cast("string"),
                                   F.when(line == 2, " TWD").otherwise("")).alias("content"))
@@ -56,6 +57,12 @@ PRICE_SQL = r"""coalesce(TRY_CAST(coalesce(nullif(regexp_extract(content, '算(?
   list_extract(regexp_extract_all(content, '(^|[^0-9.])([0-9]{3,})', 2), -1)) AS BIGINT), -1)"""
 
 
+@query(f"""WITH l AS (SELECT id, content || CASE part_key % 3 WHEN 0 THEN ' 暗金' WHEN 1 THEN ' StatTrak' ELSE '' END AS content FROM ({LISTING_SQL})) SELECT id, contains(content, '暗金') OR contains(content, 'StatTrak') AS special FROM l""")
+def special_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = F.when(F.col("part_key") % 3 == 0, " 暗金").when(F.col("part_key") % 3 == 1, " StatTrak").otherwise("")
+    return listing_text(spark, sf_dir).select("id", X.is_special(F.concat("content", mark)).alias("special"))
+
+
 @query(f"WITH l AS ({LISTING_SQL}) SELECT id, {PRICE_SQL} AS price, CAST(floor(ask) AS BIGINT) AS floor_ask, content LIKE '【售】%' AS sells FROM l")
 def price_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("content")
@@ -118,25 +125,34 @@ def slug_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return item_names(spark, sf_dir).select("p_partkey", X.slug_v2(F.col("name")).alias("slug"))
 
 
-@query("""WITH t AS (SELECT item_id AS ord, substr(text, 5, 12) AS term, 'B' || item_id AS target FROM benchmark WHERE length(text) > 16),
+@query("""WITH t AS (SELECT item_id AS ord, text AS term, 'B' || item_id AS target FROM benchmark WHERE text <> ''),
   h AS (SELECT doc_id, term, target, row_number() OVER (PARTITION BY doc_id ORDER BY ord, term) AS rn FROM documents JOIN t ON contains(text, term))
   SELECT doc_id, term, target FROM h WHERE rn = 1""")
 def dict_match_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bench = table(spark, sf_dir, "benchmark").filter(F.length("text") > 16)
-    words = bench.select(F.col("item_id").alias("ord"), F.substring("text", 5, 12).alias("term"), F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("target"))
+    """The first benchmark text that each document contains whole."""
+    words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.col("text").alias("term"), F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("target"))
     return terms.match_terms(table(spark, sf_dir, "documents"), words, "doc_id", "text")
 
 
-@query(f"""WITH l AS ({LISTING_SQL}), f AS (SELECT p_name || ' ' || p_brand AS term, min(p_partkey) AS ord FROM part WHERE p_size <= 25 GROUP BY 1),
+#: Two dictionaries out of part: full names of some parts, patterns of all.
+TERMS_SQL = """f AS (SELECT p_name || ' ' || p_brand AS term, min(p_partkey) AS ord FROM part WHERE p_size <= 25 GROUP BY 1),
   p AS (SELECT p_name AS term, min(p_partkey) AS ord FROM part WHERE length(p_name) >= 2 GROUP BY 1),
-  a AS (SELECT id, 'full' AS mode, term, row_number() OVER (PARTITION BY id ORDER BY ord, term) AS rn FROM l JOIN f ON contains(content, term)),
-  b AS (SELECT id, 'pattern' AS mode, term, row_number() OVER (PARTITION BY id ORDER BY ord, term) AS rn FROM l JOIN p ON contains(content, term) WHERE id NOT IN (SELECT id FROM a))
-  SELECT id, mode, term, upper(term) AS target FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE rn = 1""")
-def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+  d AS (SELECT 'full' AS mode, 0 AS k, term, ord FROM f UNION ALL SELECT 'pattern', 1, term, ord FROM p)"""
+
+
+def dictionaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf_dir, "part")
     named = lambda df, term: df.groupBy(term.alias("term")).agg(F.min("p_partkey").alias("ord")).withColumn("target", F.upper("term"))
-    full = named(part.filter("p_size <= 25"), F.concat_ws(" ", "p_name", "p_brand"))
-    return terms.dictionary_lookup(listing_text(spark, sf_dir), full, named(part, F.col("p_name")), "id", "content")
+    return named(part.filter("p_size <= 25"), F.concat_ws(" ", "p_name", "p_brand")), named(part, F.col("p_name"))
+
+
+@query(f"""WITH l AS MATERIALIZED (SELECT row_number() OVER () AS row, id, content FROM ({LISTING_SQL})), {TERMS_SQL},
+  h AS (SELECT row, id, mode, term, row_number() OVER (PARTITION BY row ORDER BY k, ord, term) AS rn FROM l JOIN d ON contains(content, term))
+  SELECT id, mode, term, upper(term) AS target FROM h WHERE rn = 1""")
+def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each listing row that has a term; an id that comes twice is looked up twice."""
+    listings = listing_text(spark, sf_dir).select("id", "content")
+    return terms.dictionary_lookup(listings, *dictionaries(spark, sf_dir), "id", "content").select("id", "mode", "term", "target")
 
 
 @query("""WITH t AS (SELECT p_name AS term, min(p_brand) AS target FROM part WHERE p_size <= 10 AND p_retailprice > 950 GROUP BY 1), r AS (SELECT DISTINCT p_name AS term FROM part UNION SELECT 'no such term')
@@ -179,6 +195,19 @@ def merge_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.join(counts, "kind").drop("kind")
 
 
+@query("""SELECT 'zh-CN' AS lang, CAST(p_partkey AS VARCHAR) AS id, p_brand || ' ' || p_partkey AS term, p_name AS target FROM part WHERE p_partkey % 4 <> 0 AND p_name <> ''
+  UNION ALL SELECT 'zh-TW', CAST(p_partkey AS VARCHAR), p_type, p_name FROM part WHERE p_partkey % 5 <> 0 AND p_name <> '' AND p_type <> ''""")
+def catalogue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogues in three languages written as JSON arrays, read back and joined by id; names that are empty are left out."""
+    part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    named = lambda lang, name: part.select(F.lit(lang).alias("lang"), key.cast("string").alias("id"), name.alias("name"))
+    rows = named("en", F.col("p_name")).unionByName(named("zh-CN", F.when(key % 4 == 0, "").otherwise(F.concat_ws(" ", "p_brand", key.cast("string")))))
+    rows = rows.unionByName(named("zh-TW", F.when(key % 5 == 0, "").otherwise(F.col("p_type"))))
+    path = new_folder(spark, "catalogue")
+    write_catalogue(rows, path, F.floor(F.col("id").cast("long") / 100))
+    return terms.translate_catalogue(read_catalogue(spark, path, whole_files=False)).select("lang", "id", "term", "target")
+
+
 @query("""WITH e AS (SELECT p_size AS id, arg_max(p_name, p_partkey) AS target FROM part WHERE p_brand = 'Brand#1' GROUP BY 1),
   o AS (SELECT p_brand AS lang, p_size AS id, arg_max(p_name, p_partkey) AS term FROM part WHERE p_brand <> 'Brand#1' GROUP BY 1, 2)
   SELECT o.lang, o.id, o.term, e.target FROM o JOIN e USING (id)""")

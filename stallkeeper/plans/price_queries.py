@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money as M
+from ..functions import text as X
 from ..functions.text import WEARS, falsy_coalesce, safe_number, wear_rank
 from ..operators import deals, prices
 from ..operators.common import keep_last, latest, number_rows
 from ..sources import readers
 from ..sources.schemas import DEALS
-from ..staging import new_folder, table
-from .listing_queries import NAMES_SQL, item_names
+from ..staging import new_folder, staged, table
+from .listing_queries import LISTED_WEARS, LISTING_SQL, NAMES_SQL, PRICE_SQL, TERMS_SQL, WEAR_SQL, dictionaries, item_names, listing_text
 from .registry import query
 
 PRICES_SQL = """SELECT p_partkey AS item, p_retailprice AS price_twd, CAST(coalesce(v, 0) AS BIGINT) AS volume, u AS last_updated FROM part
@@ -105,15 +109,24 @@ def add_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deals.add_processed(old, new, "k")
 
 
-@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice) * 2 AS x, CASE l_linenumber % 3 WHEN 0 THEN 'RMB' WHEN 1 THEN 'USD' ELSE 'TWD' END AS c FROM lineitem),
-  r AS (SELECT *, CASE WHEN c = 'USD' THEN round(x * 7.2::DOUBLE, 2) ELSE x END * 4.5::DOUBLE AS t FROM l)
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN c = 'TWD' THEN x ELSE round_even(t, 0) END AS whole, CASE WHEN c = 'TWD' THEN x ELSE round(t, 2) END AS cents, CASE WHEN c = 'TWD' THEN x ELSE trunc(t) END AS truncated FROM r""")
+_CENTS = "CAST(CAST(round(l_extendedprice * 100) AS BIGINT) % 1000 AS BIGINT) * CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 100 END"
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_CENTS} AS x, CASE (l_orderkey + l_linenumber) % 3 WHEN 0 THEN 'RMB' WHEN 1 THEN 'USD' ELSE 'TWD' END AS c FROM lineitem),
+  r AS (SELECT *, CASE WHEN c = 'USD' THEN (x * 72 + 5) // 10 ELSE x END AS rmb FROM l), t AS (SELECT *, rmb * 45 AS m FROM r),
+  w AS (SELECT *, m // 1000 AS q, m % 1000 AS rest, (m + 5) // 10 AS cent FROM t)
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN c = 'TWD' THEN x ELSE 100 * (q + CASE WHEN rest > 500 OR rest = 500 AND q % 2 = 1 THEN 1 ELSE 0 END) END AS whole, CASE WHEN c = 'TWD' THEN x ELSE cent END AS cents,
+  CASE WHEN c = 'TWD' THEN x ELSE 100 * q END AS truncated, c <> 'TWD' AND rest = 500 AS tie FROM w""")
 def fx_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines converted by the three rounding policies, on amounts whose cents are no ties (engines round binary ties apart)."""
-    currency = F.get(F.array(F.lit("RMB"), F.lit("USD"), F.lit("TWD")), F.col("l_linenumber") % 3)
-    amount = F.floor("l_extendedprice").cast("double") * 2
-    to = lambda policy: M.to_twd(amount, currency, policy)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", to("whole").alias("whole"), to("cents").alias("cents"), to("truncate").alias("truncated"))
+    """Amounts with cents converted by the three rounding policies, in hundredths; ``tie`` marks those halfway between whole ones."""
+    currency = F.get(F.array(F.lit("RMB"), F.lit("USD"), F.lit("TWD")), ((F.col("l_orderkey") + F.col("l_linenumber")) % 3).cast("int"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long") % 1000 * F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(100)
+    amount = (cents.cast("decimal(18,2)") / 100).cast("decimal(18,2)")
+    to = lambda policy: (M.to_twd(amount, currency, policy) * 100).cast("long")
+    half = F.abs(M.to_twd(amount, currency, "cents") - M.to_twd(amount, currency, "truncate")) == 0.5
+    exact = F.when(currency == "USD", F.round(amount * F.lit(Decimal("7.2")), 2)).otherwise(amount) * F.lit(Decimal("4.5"))
+    tie = half & (currency != "TWD") & (exact * 2 == F.floor(exact * 2))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", to("whole").alias("whole"), to("cents").alias("cents"), to("truncate").alias("truncated"), tie.alias("tie"))
 
 
 _NAMED = "SELECT p_partkey, p_brand || ' ' || p_name || ' ' || p_partkey AS item, p_retailprice AS price_twd, CAST(p_size AS BIGINT) AS volume FROM part"
@@ -283,3 +296,77 @@ def term_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     readers.write_terms(kind("full", "p_name", "p_brand").unionByName(kind("weapon", "p_brand", "p_type")), path)
     return readers.read_terms(spark, path).select("kind", "term", "target", "ord")
+
+
+@query(f"SELECT CAST(item AS VARCHAR) AS item, price_twd, volume FROM ({PRICES_SQL}) ORDER BY price_twd DESC, item")
+def price_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price table created (twice: the second does nothing), filled, read back and sorted."""
+    path, name = new_folder(spark, "prices"), f"stallkeeper_prices_{uuid.uuid4().hex}"
+    readers.create_prices(spark, name, path)
+    rows = price_table(spark, sf_dir).select(F.col("item").cast("string").alias("item"), "price_twd", "volume", F.col("last_updated").cast("timestamp").alias("last_updated"))
+    rows.write.insertInto(name)
+    readers.create_prices(spark, name, path)
+    spark.sql(f"DROP TABLE {name}")  # the files under ``path`` stay
+    return prices.price_sorted(readers.read_prices(spark, path).select("item", "price_twd", "volume"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS run, count(*) AS n FROM orders GROUP BY 1, 2""")
+def scan_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over the orders: each handles those that no run before it has stored as processed, then stores them."""
+    path = new_folder(spark, "processed")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_orderkey")
+    handled = []
+    for run, seen in ((1, orders.filter("o_orderkey % 3 = 0")), (2, orders)):
+        new = staged(deals.new_listings(seen, readers.read_processed(spark, path)).withColumn("run", F.lit(run)), "run")
+        readers.append_processed(new, path, run)
+        handled.append(new)
+    return handled[0].unionByName(handled[1]).groupBy("id", "run").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 AND value < 50 THEN p_retailprice END AS price_twd FROM events LEFT JOIN part ON user_id = p_partkey""")
+def guarded_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices looked up only for the rows that are checked and have no answer of their own."""
+    table_ = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("item"), F.col("p_retailprice").alias("price_twd"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("name"), "value")
+    return prices.guarded_price(rows, table_, "name", (F.col("event_id") % 3 == 0) & (F.col("value") < 50)).select("event_id", "price_twd")
+
+
+@query(f"""WITH n AS ({NAMES_SQL}) SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN 'AK-47 | 火蛇' WHEN p_partkey % 3 = 1 THEN 'AK-47 | 红线' ELSE '' END AS local_name FROM n""")
+def local_names_by_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Localised names by the base of full names, whatever wear and prefix they have; names without a wear have none."""
+    key = F.col("p_partkey")
+    base = F.get(F.array(F.lit("AK-47 | Fire Serpent"), F.lit("AK-47 | Redline"), F.lit("P90 | None")), (key % 3).cast("int"))
+    wear = F.get(F.array(*map(F.lit, WEARS)), (key % 5).cast("int"))
+    start = F.when(key % 2 == 0, "StatTrak™ ").otherwise("")
+    name = F.when(key % 7 == 0, "unknown").otherwise(F.concat(start, base, F.lit(" ("), wear, F.lit(")")))
+    rows = prices.with_local_name(table(spark, sf_dir, "part").select("p_partkey", name.alias("name")), readers.watchlist(spark))
+    return rows.select("p_partkey", "local_name")
+
+
+_WEAR_EN = "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(["Factory New", "Minimal Wear", "Field-Tested", "Battle-Scarred", "Well-Worn", "Field-Tested"])) + " END"
+_MARK = "CASE WHEN part_key % 5 = 0 THEN ' 暗金' ELSE '' END"
+#: Prices by canonical name: of the full names and of the patterns of all parts, each in the part's wear and edition.
+_NAMED_PRICES_SQL = f"""SELECT item, max(price) AS price_twd, CAST(sum(size) AS BIGINT) AS volume FROM (SELECT unnest([CASE WHEN p_partkey % 5 = 0 THEN 'StatTrak™ ' ELSE '' END || upper(p_name || ' ' || p_brand) || ' (' || {_WEAR_EN} || ')',
+  CASE WHEN p_partkey % 5 = 0 THEN 'StatTrak™ ' ELSE '' END || upper(p_name) || ' (' || {_WEAR_EN} || ')']) AS item, p_retailprice * 2 AS price, p_size AS size FROM part) GROUP BY 1"""
+
+
+def canonical_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    wear = X.wear_to_en(F.get(F.array(*map(F.lit, LISTED_WEARS)), (key % 6).cast("int")))
+    named = lambda target, mode: X.canonical_name(F.upper(target), F.lit(None).cast("string"), wear, key % 5 == 0, mode)
+    names = F.array(named(F.concat_ws(" ", "p_name", "p_brand"), "full"), named(F.col("p_name"), "pattern"))
+    rows = table(spark, sf_dir, "part").select(F.explode(names).alias("item"), (F.col("p_retailprice") * 2).alias("price"), "p_size")
+    return rows.groupBy("item").agg(F.max("price").alias("price_twd"), F.sum("p_size").cast("long").alias("volume"))
+
+
+@query(f"""WITH l AS MATERIALIZED (SELECT row_number() OVER () AS row, id, content || {_MARK} AS content, part_key % 5 = 0 AS special, {PRICE_SQL} AS said FROM ({LISTING_SQL})), {TERMS_SQL},
+  h AS (SELECT row, id, content, special, said, mode, term, row_number() OVER (PARTITION BY row ORDER BY k, ord, term) AS rn FROM l JOIN d ON contains(content, term)),
+  n AS (SELECT id, CASE WHEN special THEN 'StatTrak™ ' ELSE '' END || upper(term) || ' (' || {WEAR_SQL} || ')' AS name, mode, CAST(CASE WHEN contains(content, 'TWD') THEN said * 100 ELSE said * 450 END AS DOUBLE) / 100 AS ask FROM h WHERE rn = 1 AND said > 0),
+  s AS (SELECT id, name, mode, ask, price_twd, volume, price_twd * 0.985::DOUBLE - ask AS profit, (price_twd * 0.985::DOUBLE - ask) / ask * 100 AS margin FROM n JOIN ({_NAMED_PRICES_SQL}) ON item = name)
+  SELECT id, name, mode, ask, price_twd, volume, round(profit, 6) AS profit, round(margin, 6) AS margin FROM s WHERE margin > 5 AND volume > 50""")
+def text_to_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a listing's text to a deal: dictionaries, wear, edition, asking price and currency, canonical name, price, economics, screen."""
+    mark = F.when(F.col("part_key") % 5 == 0, " 暗金").otherwise("")
+    listings = listing_text(spark, sf_dir).select("id", F.concat("content", mark).alias("content"))
+    found = deals.deals_of_texts(listings, *dictionaries(spark, sf_dir), canonical_prices(spark, sf_dir))
+    return found.select("id", "name", "mode", "ask", "price_twd", "volume", F.round("profit", 6).alias("profit"), F.round("margin", 6).alias("margin"))

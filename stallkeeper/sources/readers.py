@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import falsy_coalesce, strip
+from ..functions.text import falsy_coalesce, has_id, strip
 from .schemas import CANDIDATES, CATALOGUE, DEALS, PRICES, TERMS, USD_QUOTE, WATCHLIST
 
 
@@ -18,14 +19,35 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PRICES).parquet(path)
 
 
-def create_prices(spark: SparkSession, name: str) -> None:
-    """Create the price table if it isn't there."""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({PRICES}) USING parquet")
+def create_prices(spark: SparkSession, name: str, path: str | None = None) -> None:
+    """Create the price table if it isn't there, in the warehouse or under ``path``."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({PRICES}) USING parquet" + (f" LOCATION '{path}'" if path else ""))
 
 
-def read_catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """lang, id, name of catalogues: one JSON array file for each language, in folders lang=<code>."""
-    return spark.read.schema("id string, name string, lang string").option("multiLine", True).json(folder).select("lang", *CATALOGUE.names)
+def read_catalogue(spark: SparkSession, folder: str, whole_files: bool = True) -> DataFrame:
+    """lang, id, name of catalogues in folders lang=<code>: files of one JSON array each, or (``whole_files`` false) of an array in each line."""
+    return spark.read.schema("id string, name string, lang string").option("multiLine", whole_files).json(folder).select("lang", *CATALOGUE.names)
+
+
+def write_catalogue(catalogue: DataFrame, folder: str, block: Column) -> None:
+    """Write lang, id, name as JSON arrays, one line for each language and ``block``."""
+    arrays = catalogue.groupBy("lang", block.alias("__b")).agg(F.to_json(F.collect_list(F.struct("id", "name"))).alias("value"))
+    arrays.select("lang", "value").write.partitionBy("lang").text(folder)
+
+
+def read_processed(spark: SparkSession, path: str) -> DataFrame:
+    """id of all listings that earlier runs have handled; none before the first run."""
+    try:
+        return spark.read.schema("id string, run int").parquet(path).select("id").distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "id string")
+
+
+def append_processed(ids: DataFrame, path: str, run: int) -> None:
+    """Remember the ids that a run handled; a run that is repeated replaces its own."""
+    ids.filter(has_id(F.col("id"))).select("id").distinct().write.mode("overwrite").parquet(f"{path}/run={run}")
 
 
 def read_quoted_pairs(spark: SparkSession, path: str) -> DataFrame:

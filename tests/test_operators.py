@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from stallkeeper.operators import deals, feed, prices, terms, tiles
+from stallkeeper.functions import money
+from stallkeeper.operators import containment, deals, feed, prices, terms, tiles
 from stallkeeper.operators.common import dedupe, keep_last, number_rows
 from stallkeeper.sources import readers
 from stallkeeper.streaming import streams
@@ -16,16 +18,28 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-def test_term_designs_agree(spark, monkeypatch):
+@pytest.mark.parametrize("most", [8 << 20, 0])
+def test_terms_are_brute_force(spark, monkeypatch, most):
+    """One row for each text row, with repeated and null ids, at every size of the dictionary."""
+    monkeypatch.setattr(containment, "MOST_BYTES", most)
     rng = random.Random(3)
-    texts = [(i, "".join(rng.choice("ab中c") for _ in range(rng.randrange(0, 30)))) for i in range(80)] + [(80, None), (81, "")]
-    words = list({"".join(rng.choice("ab中c") for _ in range(rng.randrange(1, 6))) for _ in range(30)})
-    want = sorted((i, t) for i, x in texts for t in [next((w for w in words if x and w in x), None)] if t)
+    texts = [(i // 2 if i % 7 else None, "".join(rng.choice("ab中c🙂") for _ in range(rng.randrange(0, 60)))) for i in range(80)] + [(80, None), (81, ""), (3, "ab" * 40), (3, "ab" * 40)]
+    words = list({"".join(rng.choice("ab中c🙂") for _ in range(rng.randrange(1, 8))) for _ in range(40)} - {""}) + [texts[5][1][3:20], texts[9][1][2:16], "ab" * 9]
+    words = [w for w in dict.fromkeys(words) if w]
+    want = sorted(((i, t) for i, x in texts for t in [next((w for w in words if x and w in x), None)] if t), key=str)
     df = spark.createDataFrame(texts, "id int, text string")
-    t = spark.createDataFrame([(w, w.upper(), k) for k, w in enumerate(words)], "term string, target string, ord int")
-    assert sorted((r.id, r.term) for r in terms.match_terms(df, t, "id", "text").collect()) == want
-    monkeypatch.setattr(terms, "MOST_TERMS", 1)
-    assert sorted((r.id, r.term) for r in terms.match_terms(df, t, "id", "text").collect()) == want
+    t = spark.createDataFrame([(w, w.upper(), k) for k, w in enumerate(words)] + [("", "", -1)], "term string, target string, ord int")
+    assert sorted(((r.id, r.term) for r in terms.match_terms(df, t, "id", "text").collect()), key=str) == want
+    found = containment.first_term(df, t, "text", ["ord"], span=9)
+    assert sorted(((r.id, r.term) for r in found.collect()), key=str) == want
+    full, patterns = t.filter("ord % 2 = 0"), t.filter("ord % 2 = 1")
+    want = []
+    for i, x in texts:
+        hits = [(k % 2, k, w) for k, w in enumerate(words) if x and w in x and (k % 2 == 0 or len(w) >= 2)]
+        want += [(i, "pattern" if min(hits)[0] else "full", min(hits)[2])] if hits else []
+    got = terms.dictionary_lookup(df, full, patterns, "id", "text").collect()
+    assert sorted(((r.id, r.mode, r.term) for r in got), key=str) == sorted(want, key=str)
+    assert terms.match_terms(df, t.limit(0), "id", "text").count() == 0
 
 
 def test_merge_is_dict_update(spark):
@@ -45,13 +59,45 @@ def test_upsert_is_idempotent(spark):
     assert rows(once) == [("a", 9.0, 1), ("b", 2.0, 1), ("c", 3.0, 2)] and rows(prices.upsert_prices(once, new)) == rows(once)
 
 
-def test_fuzzy_designs_agree(spark, monkeypatch):
-    names = spark.createDataFrame([("red%",), ("Fade",), ("ak",), ("zz",), ("",), ("_",)], "name string")
-    table = spark.createDataFrame([("AK | FADE", 1.0, 1), ("M4 | Fade", 2.0, 2), ("AK-47 | Red%line", 3.0, 3)], "item string, price_twd double, volume int")
-    want = [("Fade", "AK | FADE", 1.0, 1), ("ak", "AK | FADE", 1.0, 1), ("red%", "AK-47 | Red%line", 3.0, 3)]
-    assert rows(prices.match_price_fuzzy(names, table)) == want
-    monkeypatch.setattr(prices, "MOST_NAMES", 0)
-    assert rows(prices.match_price_fuzzy(names, table)) == want
+def test_fuzzy_is_brute_force(spark):
+    rng = random.Random(4)
+    items = [("AK | FADE", 1.0, 1), ("M4 | Fade", 2.0, 2), ("AK-47 | Red%line", 3.0, 3), ("no price", None, None)] + [("".join(rng.choice("abAB c") for _ in range(rng.randrange(1, 14))), float(i), i) for i in range(60)]
+    items = list({i[0]: i for i in items}.values())
+    names = ["red%", "Fade", "ak", "zz", "", "_", None, "no price", "O PRICE"] + ["".join(rng.choice("abAB c") for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    df, table = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(items, "item string, price_twd double, volume int")
+    known, want = {i[0]: i for i in items}, []
+    for n in names:
+        hits = sorted((len(i[0]), i[0].lower(), i[0]) for i in items if n and n.lower() in i[0].lower())
+        hit = known[n] if n in known else known[hits[0][2]] if hits else (None, None, None)
+        want.append((n, *hit, "exact" if n in known else "fuzzy" if hits else "none"))
+    assert rows(prices.match_price(df, table).select("name", "matched_item", "price_twd", "volume", "match_kind")) == sorted(want, key=str)
+
+
+def test_guarded_price(spark):
+    df = spark.createDataFrame([(1, "a", True), (2, "a", False), (3, None, True), (4, "x", True), (5, "a", None)], "k int, name string, checked boolean")
+    table = spark.createDataFrame([("a", 5.0)], "item string, price_twd double")
+    assert rows(prices.guarded_price(df, table, "name", F.col("checked")).select("k", "price_twd")) == [(1, 5.0), (2, None), (3, None), (4, None), (5, None)]
+
+
+def test_money_ties(spark):
+    """Half-even whole amounts, cents half up, truncation; TWD amounts stay."""
+    df = spark.createDataFrame([(1.0, "RMB"), (3.0, "RMB"), (0.01, "RMB"), (1.0, "USD"), (7.25, "TWD"), (None, "RMB")], "x double, c string")
+    got = df.select(*[money.to_twd(F.col("x"), F.col("c"), p).cast("double") for p in ("whole", "cents", "truncate")]).collect()
+    assert list(map(tuple, got)) == [(4.0, 4.5, 4.0), (14.0, 13.5, 13.0), (0.0, 0.05, 0.0), (32.0, 32.4, 32.0), (7.25, 7.25, 7.25), (None, None, None)]
+
+
+def test_sample_listings_to_deals(spark):
+    """Six listings of a feed without network, from text to deal."""
+    texts = [("s1", "【售】火蛇 略有磨损 算9,200 TWD"), ("s2", "賣 咆哮 久經沙場 =3000 TWD http://h.example/p/001"), ("s3", "售 暗金 火蛇 FN 賣 1000 TWD"), ("s4", "收 紅線 FT 賣 500"), ("s5", "沒有名字 賣 800 TWD"), ("s6", "售 咆哮 崭新出厂 無價")]
+    listings = spark.createDataFrame(texts, "id string, content string")
+    full = spark.createDataFrame([("火蛇", "AK-47 | Fire Serpent", 0), ("咆哮", "M4A4 | Howl", 1)], "term string, target string, ord int")
+    patterns = spark.createDataFrame([("紅線", "Redline", 0)], "term string, target string, ord int")
+    table = spark.createDataFrame([("AK-47 | Fire Serpent (Minimal Wear)", 10000.0, 100), ("M4A4 | Howl (Field-Tested)", 4000.0, 60), ("StatTrak™ AK-47 | Fire Serpent (Factory New)", 9999.0, 3), ("Redline (Field-Tested)", 3000.0, 900)],
+                                  "item string, price_twd double, volume int")
+    got = {r.id: r for r in deals.deals_of_texts(listings, full, patterns, table).collect()}
+    assert set(got) == {"s1", "s2", "s4"}  # s3 is hardly traded, s5 has no name, s6 no price
+    assert (got["s1"].name, got["s1"].ask, round(got["s1"].profit, 6)) == ("AK-47 | Fire Serpent (Minimal Wear)", 9200.0, 650.0)
+    assert (got["s2"].name, got["s2"].ask, got["s4"].name, got["s4"].ask) == ("M4A4 | Howl (Field-Tested)", 3000.0, "Redline (Field-Tested)", 2250.0)
 
 
 def test_prefix_match(spark):

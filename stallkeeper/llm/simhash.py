@@ -379,14 +379,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of ``near_copies``: that of the smallest id (null ids last).
 
-    Rows that agree in every column count as one. The columns are those of ``docs``; a null text is an empty one; an empty table
-    gives no rows.
+    Rows that agree in every column count as one. The columns are those of ``docs``, of any name; a null text is an empty one; an empty table
+    gives no rows. Texts are read whole, however long.
     """
-    key = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    keyed = docs.withColumns({"__id": F.col(id_col), "__row": key})
-    rows = keyed.select(F.struct(F.col("__id").isNull().alias("none"), "__id", "__row").alias("doc_id"), F.col(text_col).alias("text"))
+    marked = [x for c in docs.columns for x in (F.col(f"`{c}`").cast("string"), F.col(f"`{c}`").isNull())]  # hashes skip nulls
+    key = F.struct(F.xxhash64(F.lit(1), *marked).alias("a"), F.xxhash64(F.lit(2), *marked).alias("b"))
+    keyed = docs.select(key.alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = keyed.select(F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("doc_id"), "text")
     found, roots = copy_roots(rows, "doc_id", "text", **options)
     first = found.groupBy("c").agg(F.min("doc_id").alias("doc_id")).join(roots, "c", "left")
-    first = first.groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id.__id").alias("__k"), F.col("doc_id.__row").alias("__r"))
-    kept = keyed.join(first, F.col("__id").eqNullSafe(F.col("__k")) & (F.col("__row") == F.col("__r")), "left_semi")
-    return kept.dropDuplicates(["__id", "__row"]).select(*[f"`{c}`" for c in docs.columns])
+    first = first.groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id.row").alias("row"))
+    kept = keyed.select("row", "doc").join(first, "row", "left_semi").dropDuplicates(["row"])  # one shuffle by row serves both
+    return kept.select("doc.*")

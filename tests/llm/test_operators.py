@@ -432,6 +432,9 @@ def test_keep_one(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((k for k, _ in want), key=str)
     assert simhash.keep_one(no_docs).count() == 0
+    # nulls in different columns are different rows; an id may come with several texts
+    odd = spark.createDataFrame([(1, None, "a"), (1, "a", None), (1, "other text of some words", "a"), (1, "other text of some words", "a"), (None, "x", "x")], "doc_id long, text string, row string")
+    assert sorted(map(tuple, simhash.keep_one(odd).collect()), key=str) == sorted([(1, None, "a"), (1, "a", None), (1, "other text of some words", "a"), (None, "x", "x")], key=str)
 
 
 # quality classifier

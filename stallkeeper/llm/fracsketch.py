@@ -54,38 +54,50 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def next_key(keys: DataFrame, col: str, width: int = 1000) -> DataFrame:
-    """(col, next): the next larger of distinct long keys, the least one after the largest.
+def key_of(id_: Column, text: Column) -> Column:
+    """What rows are ordered by: null ids first, then by id, rows of one id by a hash of their texts."""
+    return F.struct(id_.isNotNull().alias("some"), id_.alias("id"), F.xxhash64(text).alias("h"))
 
-    A lead inside ranges of ``width``; only one row for each range is ordered in one task.
-    """
-    part = F.floor(F.col(col) / width)
-    inner = Window.partitionBy("part").orderBy(col)
-    led = keys.select(col, part.alias("part")).withColumn("next", F.lead(col).over(inner))
-    firsts = keys.groupBy(part.alias("part")).agg(F.min(col).alias("first"))
-    outer = Window.partitionBy(F.lit(0)).orderBy("part")
-    firsts = firsts.select("part", F.lead("first").over(outer).alias("after"), F.min("first").over(outer).alias("least"))
-    return led.join(firsts, "part").select(col, F.coalesce("next", "after", "least").alias("next"))
+
+def range_edges(keyed: DataFrame, most: int, seed: int = 5) -> list:
+    """Keys (column ``key``) at which ranges of about equally many rows begin, ``most`` at most, from a sample of about 50 keys for each."""
+    n = keyed.count()
+    some = keyed.select("key").sample(min(1.0, 50 * most / max(1, n)), seed) if n > 50 * most else keyed.select("key")
+    dealt = some.repartitionByRange(most, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key"))
+    return [r.key for r in dealt.orderBy("key").collect()]
+
+
+def range_of(key: Column, edges: list, kind) -> Column:
+    """Number of the range that ``key`` lies in: the edges up to it, counted in groups of the square root of their number."""
+    size = max(1, int(len(edges) ** 0.5))
+    groups = [edges[i : i + size] for i in range(0, len(edges), size)]
+    if not groups:
+        return F.lit(0)
+    value = lambda e: F.struct(F.lit(e.some).alias("some"), F.lit(e.id).cast(kind).alias("id"), F.lit(e.h).alias("h"))
+    upto = lambda es: F.size(F.filter(es, lambda e: e <= key))
+    group = F.greatest(upto(F.array(*[value(g[0]) for g in groups])) - 1, F.lit(0))
+    return group * size + upto(F.get(F.array(*[F.array(*map(value, g)) for g in groups]), group))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 128) -> DataFrame:
-    """doc_id, text, next_text: each row with the text of the next row by (id, text); after the last comes the first.
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None, **how) -> DataFrame:
+    """doc_id, text, own, next_text, next_own: each row and its sketch with those of the next row; after the last comes the first.
 
-    Rows are dealt by ranges of ids that hold about ``rows`` rows each, so each text is shuffled once and a task orders
-    one range; the first text of each range goes to the range before. Null ids come first. Null texts are empty.
+    Rows are ordered by id of any type that has an order (null ids first), those of one id by a hash of their texts. They are dealt to
+    ranges of about equally many rows, ``most`` of them at most, so each text is shuffled once and sketched once; the first row of each range goes to the
+    range before. Null texts are empty.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low, high, n = base.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    width = max(1, (high - low + 1) * rows // max(1, n))
-    range_ = F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("long")
-    base = base.withColumn("range", range_)
-    firsts = base.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text")).alias("f"))
-    links = next_key(firsts.select("range"), "range")
-    after = links.join(firsts.select(F.col("range").alias("next"), F.col("f.text").alias("first_text")), "next").select("range", "first_text")
-    order = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    led = base.withColumn("led", F.lead("text").over(order))
-    return led.join(after, "range").select("doc_id", "text", F.coalesce("led", "first_text").alias("next_text"))
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    base = base.withColumn("key", key_of(F.col("doc_id"), F.col("text")))
+    most = most or min(4096, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    base = base.withColumn("range", range_of(F.col("key"), range_edges(base, most), base.schema["doc_id"].dataType))
+    firsts = base.groupBy("range").agg(F.min_by("text", "key").alias("first_text"))
+    every = Window.partitionBy(F.lit(0))  # over ``most`` numbers
+    links = firsts.select("range").select(F.coalesce(F.lead("range").over(every.orderBy("range")), F.min("range").over(every)).alias("next"), "range")
+    after = links.join(firsts.withColumnRenamed("range", "next"), "next").select("range", F.struct(F.col("first_text").alias("text"), sketch(F.col("first_text"), **how).alias("own")).alias("first"))
+    own = base.repartition("range").withColumn("own", sketch(F.col("text"), **how))
+    led = own.withColumn("led", F.lead(F.struct("text", "own")).over(Window.partitionBy("range").orderBy("key")))
+    both = led.join(after, "range").withColumn("following", F.coalesce("led", "first"))
+    return both.select("doc_id", "text", "own", F.col("following.text").alias("next_text"), F.col("following.own").alias("next_own"))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -99,10 +111,9 @@ def sketch_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns doc_id, n_chars, edited_text, own, changed (sketches), near_edited, near_next. Texts without words have the empty
     sketch, which is like another empty one only. Equal texts have equal sketches. Repeated rows and null ids are
-    kept; with one row the next document is itself; an empty table gives no rows; other columns are not read.
+    kept; with one row the next document is itself; an empty table gives no rows; texts are read whole, however long; other columns are not read.
     """
-    rows = with_next(docs, id_col, text_col).withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "edited_text", sketch(F.col("text"), shingle, fraction).alias("own"),
-                       sketch(F.col("edited_text"), shingle, fraction).alias("changed"), sketch(F.col("next_text"), shingle, fraction).alias("following"))
+    rows = with_next(docs, id_col, text_col, shingle=shingle, fraction=fraction).withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), "edited_text", "own", sketch(F.col("edited_text"), shingle, fraction).alias("changed"), "next_own")
     return rows.select("doc_id", "n_chars", "edited_text", "own", "changed", likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-                       likeness(F.col("own"), F.col("following")).alias("near_next"))
+                       likeness(F.col("own"), F.col("next_own")).alias("near_next"))

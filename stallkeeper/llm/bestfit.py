@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import id_and_text, new_folder
 from .tokens import byte_bpe
@@ -70,14 +72,19 @@ def id_matrices(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
     nothing is lost. Each task packs its documents in blocks of about ``block_windows`` windows. Returns
     matrix_row (unique), n_tokens, ids (binary, capacity little-endian unsigned ids of ``id_bytes`` bytes, padded with
     ``pad_id``), cu_seqlens (0 and the end of each segment), position_resets (where position ids start at 0 again),
-    doc_ids and doc_starts of the segments. A null text is the empty one (its end id only); an empty table gives no rows;
-    repeated rows are packed as often as they come.
+    doc_ids (of the type of the ids that come in) and doc_starts of the segments. A null text is the empty one (its end id only); an empty
+    table gives no rows; null ids are kept; repeated rows are packed as often as they come; texts are packed whole, however long; other columns are
+    not read. A vocabulary with ids that don't fit ``id_bytes`` is refused.
     """
-    rows = id_and_text(docs, id_col, text_col).selectExpr("cast(doc_id as bigint) doc_id", "text")
-    schema = ("matrix_row long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, "
-              "doc_ids array<long>, doc_starts array<long>")
+    rows = id_and_text(docs, id_col, text_col)
+    most = max(byte_bpe(tokenizer).library.get_vocab(True).values(), default=0)
+    if max(most, end_id, pad_id) >> 8 * id_bytes:
+        raise ValueError(f"ids up to {max(most, end_id, pad_id)} don't fit {id_bytes} bytes")
+    key = rows.schema["doc_id"].dataType
+    schema = T.StructType.fromDDL("matrix_row long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>")
+    schema = schema.add("doc_ids", T.ArrayType(key)).add("doc_starts", T.ArrayType(T.LongType()))
     unit = f"<u{id_bytes}"
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(to_arrow_type(key)), pa.list_(pa.int64()))
     names = ["matrix_row", "n_tokens", "ids", "cu_seqlens", "position_resets", "doc_ids", "doc_starts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

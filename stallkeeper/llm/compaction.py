@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -19,93 +21,122 @@ class Shard:
     size: int
 
 
+#: One line of a version's file: a shard that the version adds, or (with ``gone``) one that it takes away.
+CHANGE = "name string, rows long, size long, gone boolean"
+
+
 class ShardStore:
-    """Shards under ``path``: data/run=R/shard=S folders, and manifest/v-N files that list the live ones.
+    """Shards under ``path``: data/run=R/shard=S folders, and log/v-N files, each with what version N adds and takes away.
 
     Repeated rows, nulls and any column names are kept as they come; an empty arrival adds a version without new shards.
-    Writers add data first and commit by renaming a finished manifest file to the next version, which fails if another
-    writer took it; readers see the last committed version. All file names, sizes and counts are metadata: rows stay in Spark.
+    Writers add data first and then commit the changes as the next version, which exactly one writer can get; readers see the last
+    committed version. What is live is worked out by Spark from the log: from the last snapshot (one in ``every`` versions) and the
+    changes since. Only a version's own changes, and the bounded plan of one round of merges, pass the driver; rows stay in Spark.
     """
 
-    def __init__(self, spark: SparkSession, path: str, target: int, fan_in: int = 4, size_col: str = "text"):
-        self.spark, self.path, self.target, self.fan_in, self.size_col = spark, path.rstrip("/"), target, fan_in, size_col
+    def __init__(self, spark: SparkSession, path: str, target: int, fan_in: int = 4, size_col: str = "text", every: int = 16):
+        self.spark, self.path, self.target, self.fan_in, self.size_col, self.every = spark, path.rstrip("/"), target, fan_in, size_col, every
         jvm = spark.sparkContext._jvm
         self.Path = jvm.org.apache.hadoop.fs.Path
         self.fs = self.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.fs.mkdirs(self.Path(f"{self.path}/manifest"))
+        self.fs.mkdirs(self.Path(f"{self.path}/log"))
         self.row_type = StructType()  # of the last arrival, for an empty store
 
+    def _numbers(self, folder: str, done: str = "") -> list[int]:
+        at = self.Path(f"{self.path}/{folder}")
+        names = [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
+        return sorted(int(n[2:]) for n in names if n.startswith("v-") and (not done or self.fs.exists(self.Path(f"{self.path}/{folder}/{n}/{done}"))))
+
     def version(self) -> int:
-        names = [s.getPath().getName() for s in self.fs.listStatus(self.Path(f"{self.path}/manifest"))]
-        return max([int(n[2:]) for n in names if n.startswith("v-")], default=0)
+        return max(self._numbers("log"), default=0)
 
-    def manifest(self, version: int | None = None) -> list[Shard]:
+    def live(self, version: int | None = None) -> DataFrame:
+        """name, rows, size of the shards of a version, the last one by default."""
         version = self.version() if version is None else version
-        if not version:
-            return []
-        text = "".join(r.value for r in self.spark.read.text(f"{self.path}/manifest/v-{version}", wholetext=True).collect())
-        return [Shard(**s) for s in json.loads(text)]
+        snapshot = max((n for n in self._numbers("snapshots", "_SUCCESS") if n <= version), default=0)
+        changes = self.spark.createDataFrame([], CHANGE)
+        if snapshot:
+            changes = self.spark.read.schema(CHANGE).parquet(f"{self.path}/snapshots/v-{snapshot}")
+        if files := [f"{self.path}/log/v-{n}" for n in range(snapshot + 1, version + 1)]:
+            changes = changes.unionByName(self.spark.read.schema(CHANGE).json(files))
+        found = changes.groupBy("name").agg(F.max("rows").alias("rows"), F.max("size").alias("size"), F.max("gone").alias("gone"))
+        return found.filter("not gone").select("name", "rows", "size")
 
-    def commit(self, shards: list[Shard], base: int) -> int:
-        """Make ``shards`` version base + 1; raises if that version is there already."""
-        draft = self.Path(f"{self.path}/manifest/.draft-{self.spark.sparkContext._jvm.java.util.UUID.randomUUID()}")
+    def manifest(self, version: int | None = None) -> list[Shard]:
+        """The shards of a version as a list, for small stores."""
+        return [Shard(*r) for r in self.live(version).orderBy("name").collect()]
+
+    def commit(self, added: list[Shard], removed: list[str], base: int) -> int:
+        """Make version base + 1 of ``base`` and the changes; raises if another writer has made that version.
+
+        The finished file takes the version's name only if no file has it: by a hard link on a local file system, by a rename, which
+        HDFS refuses then, elsewhere. An object store without such a rename needs a lock of its own.
+        """
+        jvm, lines = self.spark.sparkContext._jvm, [asdict(s) | {"gone": False} for s in added] + [{"name": n, "gone": True} for n in removed]
+        draft, to = (self.Path(f"{self.path}/log/{n}") for n in (f".draft-{jvm.java.util.UUID.randomUUID()}", f"v-{base + 1}"))
         out = self.fs.create(draft, False)
-        out.write(bytearray(json.dumps([asdict(s) for s in shards]).encode()))
+        out.write(bytearray("".join(json.dumps(x) + "\n" for x in lines).encode()))
         out.close()
-        to = self.Path(f"{self.path}/manifest/v-{base + 1}")
-        if self.fs.exists(to) or not self.fs.rename(draft, to):
+        if self.fs.getUri().getScheme() == "file":
+            file = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            try:
+                jvm.java.nio.file.Files.createLink(file(to), file(draft))
+                made = True
+            except Py4JJavaError as e:
+                if not e.java_exception.getClass().getName().endswith("FileAlreadyExistsException"):
+                    raise
+                made = False
+            self.fs.delete(draft, False)
+        else:
+            made = self.fs.rename(draft, to)
+        if not made:
             raise RuntimeError(f"version {base + 1} was committed by another writer")
+        if (base + 1) % self.every == 0:
+            self.live(base + 1).withColumn("gone", F.lit(False)).write.mode("overwrite").parquet(f"{self.path}/snapshots/v-{base + 1}")
         return base + 1
 
     def _write(self, df: DataFrame, run: str) -> list[Shard]:
-        """Write ``df`` (row: struct, shard: int) and list what was written."""
-        df.write.option("compression", "zstd").partitionBy("shard").parquet(f"{self.path}/data/run={run}")
+        """Write ``df`` (row: struct, shard: int) and list what was written; only the rows' sizes are read back."""
+        size = F.coalesce(F.octet_length(F.col("row")[self.size_col]), F.lit(0)).cast("long")
+        df.withColumn("size", size).write.option("compression", "zstd").partitionBy("shard").parquet(f"{self.path}/data/run={run}")
         if not any(s.isDirectory() for s in self.fs.listStatus(self.Path(f"{self.path}/data/run={run}"))):
             return []
-        size = F.coalesce(F.octet_length(F.col("row")[self.size_col]), F.lit(0)).cast("long")
-        got = self.spark.read.parquet(f"{self.path}/data/run={run}").groupBy("shard").agg(F.count("*").alias("n"), F.sum(size).alias("b")).collect()
+        got = self.spark.read.schema("size long, shard int").parquet(f"{self.path}/data/run={run}").groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()
         return sorted((Shard(f"run={run}/shard={r.shard}", r.n, r.b) for r in got), key=lambda s: s.name)
 
     def append(self, arrival: DataFrame) -> int:
         """Add an arrival, every task's rows as one small shard, and commit. Nothing is shuffled."""
         base, self.row_type = self.version(), arrival.schema
         row = F.struct(*[F.col(f"`{c}`") for c in arrival.columns]).alias("row")
-        new = self._write(arrival.select(row, F.spark_partition_id().alias("shard")), f"a{base + 1}")
-        return self.commit(self.manifest(base) + new, base)
+        run = f"a{base + 1}-{uuid.uuid4().hex[:8]}"  # another writer of this version has another run
+        return self.commit(self._write(arrival.select(row, F.spark_partition_id().alias("shard")), run), [], base)
 
-    def tier(self, shard: Shard) -> int:
-        """How often the size of the smallest shards grows ``fan_in``-fold up to this one."""
-        low, t = max(1, self.target // self.fan_in**3), 0
-        while shard.size >= low * self.fan_in and t < 3:
-            low, t = low * self.fan_in, t + 1
-        return t
+    def tier(self, size: Column) -> Column:
+        """How often the size of the smallest shards grows ``fan_in``-fold up to this one, 3 at most."""
+        low = max(1, self.target // self.fan_in**3)
+        return sum((size >= low * self.fan_in ** (k + 1)).cast("int") for k in range(3))
 
-    def plan(self, most: int = 50_000) -> dict[str, int]:
+    def plan(self, version: int | None = None, most: int = 50_000) -> dict[str, int]:
         """Shard name -> number of its merge: runs of one tier, filled to the target in order of size.
 
         A tier is merged when it holds at least ``fan_in`` shards under half the target; a merge of one shard is left out.
-        One round takes ``most`` shards, the smallest first; ``compact`` goes on with the rest.
+        One round takes the first such tier, and ``most`` of its shards at most, the smallest first; ``compact`` goes on with the rest.
         """
-        merges, number = {}, 0
-        tiers: dict[int, list[Shard]] = {}
-        for s in self.manifest():
-            if s.size < self.target // 2:
-                tiers.setdefault(self.tier(s), []).append(s)
-        for t in sorted(tiers):
-            if len(tiers[t]) < self.fan_in or len(merges) + len(tiers[t]) > most and merges:
-                continue
-            groups, held = [[]], 0
-            for s in sorted(tiers[t], key=lambda s: (s.size, s.name))[:most]:
-                if groups[-1] and held + s.size > self.target:
+        small = self.live(version).filter(F.col("size") < self.target // 2).withColumn("tier", self.tier(F.col("size")))
+        full = [r.tier for r in small.groupBy("tier").agg(F.count("*").alias("n")).filter(F.col("n") >= self.fan_in).collect()]
+        for t in sorted(full):
+            groups, held, merges = [[]], 0, {}
+            for r in small.filter(F.col("tier") == t).orderBy("size", "name").limit(most).collect():
+                if groups[-1] and held + r.size > self.target:
                     groups.append([])
                     held = 0
-                groups[-1].append(s)
-                held += s.size
-            for group in groups:
-                if len(group) > 1:
-                    merges |= {x.name: number for x in group}
-                    number += 1
-        return merges
+                groups[-1].append(r.name)
+                held += r.size
+            for number, group in enumerate(g for g in groups if len(g) > 1):
+                merges |= dict.fromkeys(group, number)
+            if merges:
+                return merges
+        return {}
 
     def slots(self, n: int) -> list[int]:
         """For each of ``n`` partitions a number that Spark's hash sends there."""
@@ -118,33 +149,34 @@ class ShardStore:
 
         Every merge is one partition of one shuffle, and one file. The plan of a round is bounded, so it is sent to every task.
         """
-        while merges := self.plan():
-            base = self.version()
-            live = self.manifest(base)
-            old, n = [s for s in live if s.name in merges], len(set(merges.values()))
+        while merges := self.plan(base := self.version()):
+            n = len(set(merges.values()))
             slots = self.slots(n)
             moves = [(name[4:].split("/shard=")[0], int(name.split("/shard=")[1]), k, slots[k]) for name, k in merges.items()]
             lookup = self.spark.createDataFrame(moves, "run string, shard int, merge int, slot int")
-            rows = self.rows([s.name for s in old]).join(F.broadcast(lookup), ["run", "shard"])
+            old = self.spark.read.option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/{m}" for m in merges])
+            rows = old.join(F.broadcast(lookup), ["run", "shard"])
             rows = rows.select("row", "merge", "slot").repartition(n, "slot").select("row", F.col("merge").alias("shard"))
-            new = self._write(rows, f"m{base + 1}")
-            if sum(s.rows for s in new) != sum(s.rows for s in old):
+            new = self._write(rows, f"m{base + 1}-{uuid.uuid4().hex[:8]}")
+            asked = self.spark.createDataFrame([(m,) for m in merges], "name string")
+            if sum(s.rows for s in new) != self.live(base).join(F.broadcast(asked), "name").agg(F.sum("rows")).first()[0]:
                 raise RuntimeError("a merge changed the number of rows")
-            self.commit([s for s in live if s.name not in merges] + new, base)
+            self.commit(new, list(merges), base)
         return self.version()
 
-    def rows(self, names: list[str] | None = None) -> DataFrame:
-        """row (a struct of the columns), run and shard of the live shards, or of those named; None of them: no rows."""
-        names = [s.name for s in self.manifest()] if names is None else names
-        if not names:
+    def rows(self) -> DataFrame:
+        """row (a struct of the columns), run and shard of all rows of the last version."""
+        live = self.live()
+        if live.isEmpty():
             return self.spark.createDataFrame([], StructType().add("row", self.row_type).add("run", "string").add("shard", "integer"))
-        return self.spark.read.option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/{n}" for n in names])
+        stored = self.spark.read.parquet(f"{self.path}/data").drop("size")
+        parts = live.select(F.regexp_extract("name", "run=([^/]*)", 1).alias("run"), F.regexp_extract("name", "shard=(.*)", 1).cast("int").alias("shard"))
+        return stored.join(parts, ["run", "shard"], "left_semi").select("row", "run", "shard")
 
     def vacuum(self) -> None:
-        """Delete the shards that the last version doesn't list."""
-        live = {s.name for s in self.manifest()}
-        data = self.Path(f"{self.path}/data")
-        for run in self.fs.listStatus(data) if self.fs.exists(data) else []:
-            for shard in self.fs.listStatus(run.getPath()):
-                if shard.isDirectory() and f"{run.getPath().getName()}/{shard.getPath().getName()}" not in live:
-                    self.fs.delete(shard.getPath(), True)
+        """Delete the shards that were live in some version and aren't in the last; runs that no version names are left to their writers."""
+        last = self.live().select("name")
+        if files := [f"{self.path}/log/v-{n}" for n in self._numbers("log")]:
+            gone = self.spark.read.schema(CHANGE).json(files).filter("gone").select("name").distinct().join(last, "name", "left_anti")
+            for r in gone.toLocalIterator():
+                self.fs.delete(self.Path(f"{self.path}/data/{r.name}"), True)

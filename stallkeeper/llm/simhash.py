@@ -274,7 +274,7 @@ def group_links(dealt: DataFrame, similarity: float) -> DataFrame:
                 if at != of:
                     yield from found(held)
                     held, of = [], at
-                held.append((c, s.values.to_numpy().view(np.uint64).copy()))
+                held.append((c, s.values.to_numpy().view(np.uint64).copy()))  # a copy, so that the batch can go
         yield from found(held)
 
     def found(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +312,7 @@ def common_hashes(rows: DataFrame, shingle: int, sample: int, most: int = 200_00
 
 
 def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-               part: int = 2_000_000, bits: int = 1 << 25, sample: int = 4000) -> tuple[DataFrame, DataFrame]:
+               part: int = 1_000_000, bits: int = 1 << 25, sample: int = 4000) -> tuple[DataFrame, DataFrame]:
     """(doc_id, c) of every row, c its content, and (c, root): equal roots for contents joined by chains of pairs whose shingle
     sets have at least that Jaccard index. Contents like no other have no root.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import islice
 
 import numpy as np
@@ -48,25 +48,22 @@ def word_features(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(found), np.concatenate(of)
 
 
-#: What this worker knows of the words it met: for each model its parts and their rows.
-KNOWN: dict[str, tuple[dict, np.ndarray]] = {}
-
-
 @dataclass
 class SubwordModel:
     """``table``: for each class, every bucket's embedding times the output weights; a document's scores are averages of these.
 
     Texts are read in parts, which single spaces separate; a part is one word, or a few where there is other white space in it.
-    A worker keeps the rows of the parts it met, ``words`` of them at most; the first met, which are the frequent ones, stay.
+    A task keeps the rows of the parts it met, ``words`` of them at most; the first met, which are the frequent ones, stay.
     """
 
     classes: list
     table: np.ndarray
     bias: np.ndarray
-    words: int = 400_000
+    words: int = 200_000
+    known: dict = field(default_factory=dict)
 
-    def __post_init__(self) -> None:
-        self.key = f"{zlib.crc32(self.table.tobytes())}-{zlib.crc32(self.bias.tobytes())}-{self.classes}"
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
 
     def rows_of(self, parts: list[str], count: Callable[[list[str]], np.ndarray] | None) -> np.ndarray:
         """For each part: sums of its features for each class, numbers of features and of words, and ``count`` of it."""
@@ -80,8 +77,8 @@ class SubwordModel:
 
     def learnt(self, parts: list[str], count: Callable[[list[str]], np.ndarray] | None) -> np.ndarray:
         """``rows_of`` of distinct parts; only those not met before are read."""
-        key, width = f"{self.key} {count is not None}", len(self.classes) + 2 + (count is not None)
-        ids, rows = KNOWN.pop(key, None) or ({}, np.zeros((0, width), np.float32))
+        width = len(self.classes) + 2 + (count is not None)
+        ids, rows = self.known.pop(width, None) or ({}, np.zeros((0, width), np.float32))
         at = np.array([ids.get(p, -1) for p in parts], np.int64)
         out = np.empty((len(parts), width), np.float32)
         out[at >= 0] = rows[at[at >= 0]]
@@ -93,8 +90,7 @@ class SubwordModel:
             if len(ids) + len(new) <= self.words:
                 ids.update(zip(new, range(len(ids), len(ids) + len(new))))
                 rows = np.concatenate([rows, fresh])
-        KNOWN.clear()
-        KNOWN[key] = ids, rows
+        self.known = {width: (ids, rows)}
         return out
 
     def read(self, texts: pa.Array, count: Callable[[list[str]], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:

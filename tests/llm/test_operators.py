@@ -120,6 +120,14 @@ def test_id_matrices(odd_docs, no_docs):
     assert bestfit.id_matrices(no_docs, BPE).count() == 0
 
 
+def test_ids_of_any_type_that_fit(spark):
+    df = spark.createDataFrame([("a", "one two"), (None, "three"), ("b", None)], "doc_id string, text string")
+    got = [k for r in bestfit.id_matrices(df, BPE).collect() for k in r.doc_ids]
+    assert sorted(got, key=str) == [None, "a", "b"]
+    with pytest.raises(ValueError, match="don't fit"):
+        bestfit.id_matrices(df, BPE, id_bytes=1)
+
+
 # token counts
 
 
@@ -178,10 +186,48 @@ def test_sketches_merge_and_contain(spark):
     assert 0.2 < len(r.a) / 2996 < 0.3
 
 
-def test_next_text_over_many_ranges(spark):
-    ids = sorted(random.Random(6).sample(range(10**6), 500))
-    got = fracsketch.with_next(spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string"), rows=3).collect()
-    assert {(r.doc_id, r.next_text) for r in got} == {(a, f"t{b}") for a, b in zip(ids, ids[1:] + ids[:1])} and len(got) == 500
+@pytest.mark.parametrize("kind", ["spread", "outlier", "string", "repeats"])
+def test_next_text_over_many_ranges(spark, kind):
+    rng = random.Random(6)
+    ids = {"spread": sorted(rng.sample(range(10**6), 500)), "outlier": [*range(499), 10**15], "string": sorted(f"doc-{rng.randrange(10**9)}" for _ in range(500)), "repeats": [*range(200), *[200] * 300]}[kind]
+    df = spark.createDataFrame([(i, f"t{i}" if kind != "repeats" else f"t{i}-{k}") for k, i in enumerate(ids)], f"doc_id {'string' if kind == 'string' else 'long'}, text string")
+    got = fracsketch.with_next(df.repartition(3), most=20).collect()
+    if kind == "repeats":  # rows of one id follow each other in some order, each text but one is the next of one
+        assert len(got) == 500 and len({r.next_text for r in got}) == 500 and all(r.next_text.startswith("t200-" if r.doc_id == 200 else f"t{r.doc_id + 1}-") for r in got if r.next_text != "t0-0")
+        assert len({r.text for r in got if r.doc_id == 200 and r.next_text == "t0-0"}) == 1
+    else:
+        assert {(r.doc_id, r.next_text) for r in got} == {(a, f"t{b}") for a, b in zip(ids, ids[1:] + ids[:1])} and len(got) == 500
+    keyed = df.select(fracsketch.key_of(F.col("doc_id"), F.col("text")).alias("key"))
+    edges = fracsketch.range_edges(keyed, 20)
+    ranges = keyed.groupBy(fracsketch.range_of(F.col("key"), edges, df.schema["doc_id"].dataType).alias("r")).count().collect()
+    assert len(ranges) >= 15 and max(r["count"] for r in ranges) < 100  # no range holds all rows
+
+
+def test_sketches_are_brute_force(spark, odd_docs):
+    """Sketches, fingerprints and both likenesses from Spark's own hash, one shingle at a time."""
+    def slow(texts):
+        rows, want = [], {}
+        for t in texts:
+            w = t.lower().split()
+            rows += [(t, i, *(w[i : i + 5] + [None] * 5)[:5]) for i in range(max(1, len(w) - 4)) if w]
+        df = spark.createDataFrame(rows, "t string, i int, a string, b string, c string, d string, e string")
+        one = lambda h: F.xxhash64(h)
+        full = F.xxhash64(*[one(F.col(x)) for x in "abcde"])
+        few = F.aggregate(F.transform(F.filter(F.array(*"abcd"), lambda x: x.isNotNull()), one), F.lit(42).cast("long"), lambda acc, x: F.xxhash64(acc, x))
+        for r in df.select("t", F.when(F.col("e").isNull(), few).otherwise(full).alias("h")).collect():
+            want.setdefault(r.t, set()).add(r.h)
+        bound = -(1 << 63) + (1 << 62)
+        return {t: sorted(x for x in h if x < bound) or [min(h)] for t, h in want.items()}
+
+    plain = [(i, t) for i, t in rows_of(odd_docs) if t.isascii() and not any(c in t for c in "\x01\x0b\x1c")][:14]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(plain)], "doc_id long, text string")
+    got = fracsketch.sketch_report(df).collect()
+    known = slow({t for _, t in plain} | {r.edited_text for r in got})
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+    for r in got:
+        text, following = plain[r.doc_id][1], plain[(r.doc_id + 1) % len(plain)][1]
+        assert r.own == known.get(text, []) and r.changed == known.get(r.edited_text, [])
+        assert abs(r.near_edited - like(r.own, r.changed)) < 1e-12 and abs(r.near_next - like(r.own, known.get(following, []))) < 1e-12
 
 
 # media
@@ -591,16 +637,52 @@ def test_empty_table_has_no_shards(spark, no_docs, tmp_path):
     assert op10_sharding(spark, str(tmp_path)).count() == 0
 
 
-def test_manifest_commits_once(spark, tmp_path):
-    store = ShardStore(spark, f"file://{tmp_path}/m", target=100)
-    assert store.commit([Shard("run=a/shard=0", 1, 2)], 0) == 1
-    with pytest.raises(RuntimeError):
-        store.commit([], 0)
-    assert store.manifest() == [Shard("run=a/shard=0", 1, 2)]
+def test_one_writer_gets_a_version(spark, tmp_path):
+    a, b = (ShardStore(spark, f"file://{tmp_path}/m", target=100, every=3) for _ in range(2))
+    assert a.commit([Shard("run=a/shard=0", 1, 2)], [], 0) == 1
+    with pytest.raises(RuntimeError, match="another writer"):
+        b.commit([Shard("run=b/shard=0", 5, 5)], [], 0)
+    assert a.manifest() == b.manifest() == [Shard("run=a/shard=0", 1, 2)]
+
+    from concurrent.futures import ThreadPoolExecutor
 
+    def race(k):
+        try:
+            return (a, b)[k % 2].commit([Shard(f"run=r{k}/shard=0", k, k)], ["run=a/shard=0"], 1)
+        except RuntimeError:
+            return None
 
-def test_plan_is_size_tiered(spark, tmp_path):
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(race, range(8)))
+    assert won.count(2) == 1 and won.count(None) == 7 and [s.rows for s in a.manifest()] == [won.index(2)]
+    assert not [p for p in (tmp_path / "m/log").iterdir() if p.name.startswith(".draft")]
+    for k in range(2, 9):  # versions are read from snapshots and the changes after them
+        a.commit([Shard(f"run=s{k}/shard=0", k, k)], [f"run=s{k - 1}/shard=0"] if k > 2 else [], k)
+    assert {s.name for s in b.manifest()} == {f"run=r{won.index(2)}/shard=0", "run=s8/shard=0"} and (tmp_path / "m/snapshots/v-9").exists()
+    assert {s.name for s in b.manifest(4)} == {f"run=r{won.index(2)}/shard=0", "run=s3/shard=0"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_plan_is_brute_force(spark, tmp_path, seed):
+    """The first tier that is full, its shards in order of size, filled up to the target."""
+    rng = random.Random(seed)
+    shards = [Shard(f"run=a/shard={i}", 1, rng.choice([rng.randrange(1, 100), rng.randrange(100, 3000), rng.randrange(3000, 7000)])) for i in range(rng.randrange(1, 40))]
     store = ShardStore(spark, f"file://{tmp_path}/p", target=6400, fan_in=4)
-    store.commit([Shard(f"run=a/shard={i}", 1, 50) for i in range(5)] + [Shard(f"run=b/shard={i}", 1, 1000) for i in range(3)] + [Shard("run=c/shard=0", 1, 6000)], 0)
-    plan = store.plan()
-    assert set(plan) == {f"run=a/shard={i}" for i in range(5)} and len(set(plan.values())) == 1
+    store.commit(shards, [], 0)
+    tiers = {}
+    for s in shards:
+        if s.size < 3200:
+            tiers.setdefault(sum(s.size >= 100 * 4**k for k in (1, 2, 3)), []).append(s)
+    want = set()
+    for t in sorted(tiers):
+        if len(tiers[t]) >= 4 and not want:
+            groups = [[]]
+            for s in sorted(tiers[t], key=lambda s: (s.size, s.name)):
+                if groups[-1] and sum(x.size for x in groups[-1]) + s.size > 6400:
+                    groups.append([])
+                groups[-1].append(s)
+            want = {frozenset(x.name for x in g) for g in groups if len(g) > 1}
+    got = {}
+    for name, k in store.plan().items():
+        got.setdefault(k, set()).add(name)
+    assert set(map(frozenset, got.values())) == want

@@ -21,6 +21,8 @@ class Shard:
     size: int
 
 
+#: Names of live shards (some tens of bytes each) that are sent to every task; more are joined.
+MOST_SENT = 100_000
 #: One line of a version's file: a shard that the version adds, or (with ``gone``) one that it takes away.
 CHANGE = "name string, rows long, size long, gone boolean"
 
@@ -167,11 +169,12 @@ class ShardStore:
     def rows(self) -> DataFrame:
         """row (a struct of the columns), run and shard of all rows of the last version."""
         live = self.live()
-        if live.isEmpty():
+        n = live.limit(MOST_SENT + 1).count()
+        if not n:
             return self.spark.createDataFrame([], StructType().add("row", self.row_type).add("run", "string").add("shard", "integer"))
         stored = self.spark.read.parquet(f"{self.path}/data").drop("size")
         parts = live.select(F.regexp_extract("name", "run=([^/]*)", 1).alias("run"), F.regexp_extract("name", "shard=(.*)", 1).cast("int").alias("shard"))
-        return stored.join(parts, ["run", "shard"], "left_semi").select("row", "run", "shard")
+        return stored.join(F.broadcast(parts) if n <= MOST_SENT else parts, ["run", "shard"], "left_semi").select("row", "run", "shard")
 
     def vacuum(self) -> None:
         """Delete the shards that were live in some version and aren't in the last; runs that no version names are left to their writers."""

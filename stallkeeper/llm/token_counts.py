@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -13,19 +13,35 @@ from pyspark.sql import functions as F
 
 from .common import pieces
 
-#: Marks a word that follows a newline, so has no space before it.
-LINE = "\x01"
-SEGMENT = re.compile(r" *[^ \n]+| +|\n")
-#: A reset lies before a space that follows another character, and on both sides of a newline.
-RESET = re.compile(r"(?<=[^ \n]) |\n")
+
+class State(dict):
+    """One state: character -> (next state, tokens emitted), filled as characters are met.
+
+    ``word`` is the longest end of the text read that begins a longer piece. ``live`` has, for each such end and last for
+    the empty one, its length, the last token before it (None where no piece could reach across) and the tokens up to
+    there, less the fewest of all. ``due`` is what is still to be emitted if the text ends here.
+    """
+
+    __slots__ = ("machine", "key", "word", "live", "due")
+
+    def __init__(self, machine: CountTransducer, key: tuple):
+        self.machine, self.key, (self.word, self.live) = machine, key, key
+        self.due = self.live[-1][2]
+
+    def __missing__(self, char: str) -> tuple[State, int]:
+        found = self[char] = self.machine.step(self, char)
+        return found
+
+    def dump(self) -> str:
+        return json.dumps(self.key, ensure_ascii=False)
 
 
 @dataclass
 class StateMap:
-    """What a chunk does to the state, the word read so far.
+    """What a chunk does to the state.
 
-    Closed: from any state s it emits count(s + head) + body and ends in state tail. Open (no reset inside; tail is
-    None): it emits nothing and ends in s + head.
+    Closed: from any state it emits what ``head`` emits from there, then ``body``, and ends in state ``tail``. Open (tail
+    is None): it emits what ``head``, the whole chunk, emits.
     """
 
     head: str
@@ -34,69 +50,158 @@ class StateMap:
 
 
 class CountTransducer:
-    """Deterministic transducer of a sentencepiece BPE model: reads characters, emits numbers of tokens.
+    """Deterministic transducer over the characters of a text for a sentencepiece BPE model; outputs are numbers of tokens.
 
-    States are the words read since the last reset; no piece of the vocabulary crosses a reset (checked when compiled),
-    so all entry states meet there. Transitions are compiled on demand and path-compressed: one for each word, from
-    reset to reset, annotated with the tokens it emits. The table is bounded and starts afresh when full.
+    A sequence of pieces is what the model gives for their text if it is so for each two neighbours. So the last token of
+    every prefix follows from the last tokens of shorter ones: it is the longest piece ending there that goes with the last
+    token before it. A state keeps these for the places where a piece may still begin, which are fewer than the longest
+    piece has characters; so states are finitely many. They are compiled as they are met; beyond ``most`` the table starts afresh.
     """
 
-    def __init__(self, path: str, words: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000, words: int = 500_000):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        kept = "".join(self.model.encode("a  b ", out_type=str)) == "▁a▁▁b▁"
-        if not kept or any("\n" in p or "▁" in p.lstrip("▁") for p in pieces):
-            raise ValueError("this model changes white space or has pieces across a word's start, so words can't be counted alone")
-        self.before = len(self.model.encode("\n"))
-        self.words, self.emits = words, {"\n": len(self.model.encode("\n\n")) - self.before}
-
-    def count(self, text: str) -> int:
-        """Tokens of a string that begins and ends at resets, without the library's own leading space."""
-        if not text:
-            return 0
-        if LINE in text:
-            return len(self.model.encode("\n" + text)) - self.before
-        if "  " in text or " \n" in text or text[-1] == " ":
-            parts = [s if s == "\n" else s[1:] if s[0] == " " and s[1:2] not in ("", " ") else LINE + s for s in SEGMENT.findall(text)]
-        else:
-            parts = (text[1:] if text[0] == " " else LINE + text).replace("\n", f" \n {LINE}").split(" ")
-        found = list(map(self.emits.get, parts))
-        if None in found:
-            new = list({w for w, n in zip(parts, found) if n is None})
-            ids = self.model.encode(["\n" + (w[1:] if w[0] == LINE else " " + w) for w in new], num_threads=1)
-            if len(self.emits) > self.words:
-                self.emits = {"\n": self.emits["\n"]}
-            known = {w: len(i) - self.before for w, i in zip(new, ids)}
-            self.emits.update((w, n) for w, n in known.items() if len(w) <= 60)
-            return sum(known[w] if n is None else n for w, n in zip(parts, found))
-        return sum(found)
+        self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
+        plain = [(i, m.id_to_piece(i)) for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
+        self.before = m.encode("\n")
+        own = m.encode(["\n" + p for _, p in plain])
+        if "".join(m.encode("a  b ", out_type=str)) != "▁a▁▁b▁" or any("\n" in p for _, p in plain) or not any(map(m.is_byte, self.before)):
+            raise ValueError("this model changes white space, has pieces across lines or no bytes for other characters")
+        self.pieces = {p: i for (i, p), ids in zip(plain, own) if ids == [*self.before, i]}
+        self.begins = {p[:k] for p in self.pieces for k in range(1, len(p))}
+        self.chars = {c for p in self.pieces for c in p}
+        self.joins = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        self.longest, self.most = max(map(len, self.pieces)), most
+        self.agree: dict[tuple[str, str], bool] = {}
+        self.states: dict[tuple, State] = {}
+        self.start = self.state("", ((0, None, 0),))
+        self.space, self.words, self.most_words = self.step(self.start, "▁")[0], {}, words
+
+    def state(self, word: str, live: tuple) -> State:
+        key = word, live
+        found = self.states.get(key)
+        if found is None:
+            if len(self.states) >= self.most:
+                for s in self.states.values():
+                    s.clear()
+                self.states, self.agree = {}, {}
+            found = self.states[key] = State(self, key)
+        return found
+
+    def goes(self, a: str | None, b: str) -> bool:
+        """Whether the model leaves pieces a and b as they are, side by side."""
+        if a is None or a[-1] + b[0] not in self.joins:
+            return True
+        found = self.agree.get((a, b))
+        if found is None:
+            found = self.agree[a, b] = self.model.encode("\n" + a + b) == [*self.before, self.pieces[a], self.pieces[b]]
+        return found
+
+    def step(self, state: State, char: str) -> tuple[State, int]:
+        if char not in self.chars:  # its bytes, each a token
+            return self.start, state.due + len(char.encode())
+        kept, ended, across = [], None, False
+        for size, last, n in state.live:
+            end = state.word[len(state.word) - size :] + char
+            longer, piece = end in self.begins, end in self.pieces
+            across = across or (size > 0 and (longer or piece))
+            last = last if size or across else None
+            if piece and ended is None and self.goes(last, end):
+                ended = (end, n + 1)
+            if longer:
+                kept.append((size + 1, last, n))
+        kept.append((0, *ended))
+        least = min(n for _, _, n in kept)
+        word = (state.word + char)[-kept[0][0] :] if kept[0][0] else ""
+        return self.state(word, tuple((size, last, n - least) for size, last, n in kept)), least
+
+    def walk(self, state: State, text: str) -> tuple[State, int]:
+        total = 0
+        for char in text:
+            state, n = state[char]
+            total += n
+        return state, total
+
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        """Where a text leads and what it emits. Ways from the state after a space over a word and back to it are one transition."""
+        if len(self.words) > self.most_words:
+            self.words = {}
+        total, space, known = 0, self.space.key, self.words
+        *parts, rest = text.split("▁")
+        for word in parts:
+            n = known.get(word) if state.key == space else None
+            if n is None:
+                there, n = self.walk(state, word + "▁")
+                if there.key == state.key == space and len(word) <= 60:
+                    known[word] = n
+                state = there
+            total += n
+        state, n = self.walk(state, rest)
+        return state, total + n
+
+    def load(self, dumped: str) -> State:
+        word, live = json.loads(dumped)
+        return self.state(word, tuple(map(tuple, live)))
+
+    def meeting(self, text: str) -> tuple[int, State] | None:
+        """The first place of a chunk where the state is the same whatever came before, with that state.
+
+        A token that reaches into the chunk ends among its first ``longest`` characters, so a run started after each of
+        these stands for all that may have come before. Where all runs give a prefix the same last token, that token is
+        known. The state is known once every live place leads back over known tokens to one place common to all, or
+        to a place that no piece can reach across.
+        """
+        runs, known = {}, {}
+        for at, char in enumerate(text):
+            if at < self.longest:
+                runs[self.start.key] = self.start
+            runs = {s.key: s for s in (r[char][0] for r in runs.values())}
+            ends = {s.live[-1][1] for s in runs.values()}
+            here = at + 1
+            if here >= self.longest and len(ends) == 1:
+                known[here] = len(ends.pop() or char)
+            if len(runs) > 1 or here < 2 * self.longest:
+                continue
+            state = next(iter(runs.values()))
+            size, last, _ = state.live[0]
+            if last is None and here - size >= self.longest:
+                return here, state
+            chains = []
+            for size, _, _ in state.live:
+                place, chain = here - size, set()
+                if place in known:
+                    chain.add(place)
+                while place in known:
+                    place -= known[place]
+                    chain.add(place)
+                chains.append(chain)
+            if set.intersection(*chains):
+                return here, state
+        return None
 
     def map_of(self, chunk: str, first: bool) -> StateMap:
-        """State map of a chunk; the first of a text begins with the library's leading space, at a reset."""
-        text = (" " + chunk if first and chunk else chunk).replace("▁", " ")
-        found = RESET.search(text)
+        """State map of a chunk; the first of a text begins in the start state, with the library's leading space."""
+        text = chunk.replace(" ", "▁")
+        if first:
+            state, n = self.run(self.start, "▁" + text if text else "")
+            return StateMap("", n, state.dump())
+        found = self.meeting(text)
         if not found:
             return StateMap(text)
-        run = len(text[: text.rfind(" ") + 1].rstrip(" "))  # where the last run of spaces starts
-        last = max(text.rfind("\n") + 1, run if run and run < len(text) else 0)
-        return StateMap(text[: found.start()], self.count(text[found.start() : last]), text[last:])
+        state, n = self.run(found[1], text[found[0] :])
+        return StateMap(text[: found[0]], n, state.dump())
 
     def compose(self, a: StateMap, b: StateMap) -> StateMap:
-        if a.tail is None and b.tail is None:
-            return StateMap(a.head + b.head)
         if a.tail is None:
             return StateMap(a.head + b.head, b.body, b.tail)
-        if b.tail is None:
-            return StateMap(a.head, a.body, a.tail + b.head)
-        return StateMap(a.head, a.body + self.count(a.tail + b.head) + b.body, b.tail)
+        state, n = self.run(self.load(a.tail), b.head)
+        return StateMap(a.head, a.body + n + b.body, state.dump() if b.tail is None else b.tail)
 
     def total(self, maps: list[StateMap]) -> int:
-        """Tokens of a whole text: neighbours are composed pairwise until one map is left, which is applied to the start state."""
+        """Tokens of a whole text: neighbours are composed pairwise, level by level, until one map is left, which ends the text."""
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return sum(self.count(x) for x in (maps[0].head, maps[0].tail or "")) + maps[0].body if maps else 0
+        return maps[0].body + self.load(maps[0].tail).due
 
 
 @lru_cache(maxsize=4)
@@ -108,9 +213,11 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                  chunk_chars: int = 1 << 16) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, n_chunks of every row.
 
-    Texts are cut into chunks of ``chunk_chars``; each chunk's state map is made by the task that reads it, only the maps
-    (three short fields) are shuffled, by row, and composed. A null or empty text has 0 tokens; special strings inside a text are
-    ordinary text; repeated rows are counted each; null ids are kept; an empty table gives no rows.
+    Texts of any length are cut into chunks of ``chunk_chars``; each chunk's state map is made by the task that reads it, and only
+    maps are shuffled, by row, and composed: at most 32,768 a row, as a string has at most 2 GB. A map is a few dozen characters
+    unless no place of the chunk has a known state (one character over and over); then it is the chunk, and the count stays right.
+    A null or empty text has 0 tokens; special strings inside a text are ordinary text; repeated rows are counted each; null ids
+    are kept; other columns are not read, whatever their names; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())

@@ -154,6 +154,41 @@ def test_state_maps_are_associative():
             assert machine.total([left]) == machine.total([right]) == len(machine.model.encode(text))
 
 
+ALPHABETS = ["ab", "acgt", "etaoinshr", "=-", "▁ a", "日本語の", "abcdefghijklmnopqrstuvwxyz0123/+", ["in", "ing", "er", "tion", "Th"], ["\x01", "🙂", "x", " ", "\n"]]
+
+
+@pytest.mark.parametrize("letters", ALPHABETS)
+def test_transducer_is_the_library_however_cut(letters):
+    machine, rng = token_counts.CountTransducer(PIECES, most=5000, words=50), random.Random(3)
+    for k in (1, 5, 40, 100, 1000) * 4:
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(400)))
+        cuts = [text[i : i + k] for i in range(0, max(1, len(text)), k)]
+        maps = [machine.map_of(c, i == 0) for i, c in enumerate(cuts)]
+        one_by_one = maps[0]
+        for m in maps[1:]:
+            one_by_one = machine.compose(one_by_one, m)
+        assert machine.total(maps) == machine.total([one_by_one]) == len(machine.model.encode(text))
+    assert len(machine.states) <= 5000
+
+
+@pytest.mark.parametrize("letters", ["acgt", "etaoinshr", "日本語の"])
+def test_maps_of_a_text_without_spaces_are_small(spark, letters):
+    rng = random.Random(4)
+    text = "".join(rng.choices(letters, k=1_000_000))
+    machine = token_counts.CountTransducer(PIECES)
+    maps = [machine.map_of(text[i : i + 65536], i == 0) for i in range(0, len(text), 65536)]
+    assert len(maps) == 16 and all(m.tail is not None and len(m.head) <= 200 and len(m.tail) <= 400 for m in maps)
+    (row,) = token_counts.count_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), PIECES).collect()
+    assert (row.n_tokens, row.n_chunks) == (len(machine.model.encode(text)), 16)
+
+
+def test_one_character_over_and_over_is_counted(spark):
+    texts = [c * 70_000 for c in "a= \n日"]
+    got = token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PIECES, chunk_chars=9_973)
+    model = token_counts.transducer(PIECES).model
+    assert {r.doc_id: r.n_tokens for r in got.collect()} == {i: len(model.encode(t)) for i, t in enumerate(texts)}
+
+
 # sketches
 
 

@@ -171,7 +171,7 @@ def test_transducer_is_the_library_however_cut(letters):
     assert len(machine.states) <= 5000
 
 
-@pytest.mark.parametrize("letters", ["acgt", "etaoinshr", "日本語の"])
+@pytest.mark.parametrize("letters", ["acgt", "日本語の"])
 def test_maps_of_a_text_without_spaces_are_small(spark, letters):
     rng = random.Random(4)
     text = "".join(rng.choices(letters, k=1_000_000))

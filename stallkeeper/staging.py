@@ -29,13 +29,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = new_folder(df.sparkSession, name)
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    With a ``path`` of its own (from ``new_folder``) a caller can ``delete`` the table once nothing reads it any more.
+    """
+    path = path or new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``new_folder`` named."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once for each application, whatever folder the driver was started in."""
     sc, package = spark.sparkContext, Path(__file__).parent

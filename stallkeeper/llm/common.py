@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import new_folder, shared_dir, staged, table
+from ..staging import delete, new_folder, shared_dir, staged, table
 
-__all__ = ["id_and_text", "new_folder", "pieces", "shared_dir", "staged", "table"]
+__all__ = ["delete", "id_and_text", "new_folder", "pieces", "shared_dir", "staged", "table"]
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, pieces, staged
+from .common import delete, id_and_text, new_folder, pieces, staged
 
 #: Shingles hashed at once in a task.
 STEP = 100_000
@@ -126,9 +126,10 @@ def links(fps: DataFrame, distance: int, blocks: int, bucket: int) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each node's component, by alternating large and small stars.
 
-    Every round is written to the shared folder; only a sum per round reaches the driver.
+    Every round is written to the shared folder, and the round before it deleted; only a sum per round reaches the driver.
     """
-    pairs = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    spark, path = edges.sparkSession, new_folder(edges.sparkSession, "edges")
+    pairs = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", path)
     before = None
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -136,7 +137,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        pairs = staged(small.filter("u <> v").distinct(), "edges")
+        old, path = path, new_folder(spark, "edges")
+        pairs = staged(small.filter("u <> v").distinct(), "edges", path)
+        delete(spark, old)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -302,10 +305,11 @@ def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = keyed.select("c", F.min("c").over(Window.partitionBy("key")).alias("low")).filter("c <> low").distinct()
     groups = components(joined.select(F.col("c").alias("a"), F.col("low").alias("b")))
     groups = groups.union(groups.select("root", "root").distinct()).toDF("c", "g")
-    members = staged(groups.join(found.filter("keys is not null").select("c", "n").distinct(), "c"), "near-groups")
-    parts = members.groupBy("g").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts")).filter("parts > 1")
-    members = members.join(parts, "g", "left").select("c", "g", F.coalesce("parts", F.lit(1)).alias("parts"))
-    mask = docs.sparkSession.sparkContext.broadcast(content_filter(members, bits).tobytes())
+    spark, path = docs.sparkSession, new_folder(docs.sparkSession, "near-groups")
+    groups = staged(groups.join(found.filter("keys is not null").select("c", "n").distinct(), "c"), "near-groups", path)
+    parts = groups.groupBy("g").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts")).filter("parts > 1")
+    members = groups.join(parts, "g", "left").select("c", "g", F.coalesce("parts", F.lit(1)).alias("parts"))
+    mask = spark.sparkContext.broadcast(content_filter(members, bits).tobytes())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, seen = np.frombuffer(mask.value, np.uint64), set()
@@ -324,7 +328,9 @@ def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mine = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, mine).alias("i"), F.greatest(q, mine).alias("j")))
     dealt = whole.select("g", "c", "s", F.explode(pairs).alias("p")).select("g", "p.i", "p.j", "c", "s")
-    return found.select("doc_id", "c"), components(group_links(dealt, similarity)).withColumnRenamed("node", "c")
+    roots = components(group_links(dealt, similarity)).withColumnRenamed("node", "c")
+    delete(spark, path)
+    return found.select("doc_id", "c"), roots
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ from .tokens import byte_bpe
 
 #: The tokenizer whose ids the packing stages pack.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+#: Bytes of text that leave a task at once when rows are repeated.
+BATCH = 16 << 20
 
 
 def domain_model(sample: DataFrame, domain: Column, text_col: str = "text", **options) -> SubwordModel:
@@ -158,10 +161,26 @@ def mix(docs: DataFrame, model: SubwordModel, weights: dict, id_col: str = "doc_
     return rates(members, found.steps), found
 
 
+def batches_of(times: np.ndarray, size: np.ndarray) -> Iterator[pa.Array]:
+    """Places of rows, each as often as ``times`` says, in order, in parts of about ``BATCH`` by the rows' ``size``."""
+    at, done, n = 0, 0, len(times)
+    while at < n:
+        part, room = [], BATCH
+        while at < n and (room > 0 or not part):
+            take = min(int(times[at]) - done, max(1, room // int(size[at])))
+            part += [at] * take
+            room -= take * int(size[at])
+            done += take
+            if done == times[at]:
+                at, done = at + 1, 0
+        yield pa.array(part, pa.int64())
+
+
 def resample(docs: DataFrame, model: SubwordModel, weights: dict, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> tuple[DataFrame, Fit]:
     """(``docs`` with every row repeated as its rate says, the fit): the whole part, and once more where a hash of its id and text is under the rest.
 
     Rates are those of ``mix``. Rows are written with their posteriors, so that texts are scored once. Columns of any name are kept.
+    Copies leave a task in batches of about ``BATCH`` bytes of text, however high a rate is.
     """
     members = staged(memberships(docs, model, text_col), "memberships")
     found = fit_steps(members, targets_of(members, model.classes, weights))
@@ -175,7 +194,8 @@ def resample(docs: DataFrame, model: SubwordModel, weights: dict, id_col: str =
             columns = b.column(0).flatten()
             rate = rate_after(matrix_of(b.column(1)), steps)
             u = np.array([xxh64_intdigest(f"{k} {t or ''}", seed) for k, t in zip(columns[key].to_pylist(), columns[at].to_pylist())], np.float64) / 2.0**64
-            copies = pa.array(np.repeat(np.arange(len(rate)), np.floor(rate).astype(int) + (u < rate % 1)))
-            yield pa.RecordBatch.from_arrays([c.take(copies) for c in columns], names)
+            times, size = np.floor(rate).astype(int) + (u < rate % 1), pc.binary_length(columns[at]).fill_null(0).to_numpy().astype(int) + 64
+            for copies in batches_of(times, size):
+                yield pa.RecordBatch.from_arrays([c.take(copies) for c in columns], names)
 
     return members.select("row", "posteriors").mapInArrow(run, docs.schema), found

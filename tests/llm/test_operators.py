@@ -684,6 +684,19 @@ def test_mix_of_awkward_rows(spark, odd_docs, no_docs):
     assert empty.count() == 0 and mixing.resample(no_docs, model, {"x": 1})[0].count() == 0
 
 
+def test_copies_leave_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(mixing, "BATCH", 1000)
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        n = int(rng.integers(0, 30))
+        times, size = rng.integers(0, 40, n), rng.integers(1, 400, n)
+        parts = [p.to_numpy() for p in mixing.batches_of(times, size)]
+        assert [x for p in parts for x in p] == np.repeat(np.arange(n), times).tolist()
+        assert all(size[p].sum() <= 1000 + 400 for p in parts)
+    parts = list(mixing.batches_of(np.array([3, 0, 2]), np.array([5000, 1, 5000])))
+    assert [len(p) for p in parts] == [1] * 5
+
+
 # compaction
 
 

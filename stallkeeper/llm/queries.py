@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and the corpus pipeline, with SQL where it can express them."""
+"""Registered queries of the operators and the corpus pipeline, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, chat, fracsketch, media, mixing, packing, simhash, subword, token_counts
+from . import bestfit, chat, fracsketch, media, mixing, packing, periodic, simhash, spelling, subword, token_counts
 from .common import new_folder, table
 from .compaction import ShardStore
+from .exact import DedupStore
 
 BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Shares of the expected tokens by domain (language and quality); domains left out get none.
@@ -106,9 +107,53 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                                "row.lang", "row.source", "row.n_chars")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of at least six letters and five occurrences, their usual spelling and the last one of it."""
+    return spelling.spelling_forms(spelling.word_counts(table(spark, sf_dir, "documents")).filter("n >= 5"))
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """doc_id, text of the documents; in one of ten, told by the id's crc32, the words from some place on repeat the few that come first there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, words = F.floor(h / 10), F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    again = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get(F.col("words"), place(i)))
+    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic.periodic_runs(repeating(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), sha(F.array_join(F.transform("runs", line), "")).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"))
+    length = -F.col("b.less")
+    return rows.select("doc_id", "n_runs", "b.start", length.alias("length"), "b.period", F.floor(1000 * length / F.col("b.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three arrivals added to a store; every document with the row of its text that stays."""
+    store, docs = DedupStore(spark, new_folder(spark, "dedup")), table(spark, sf_dir, "documents")
+    for k in range(3):
+        store.add(docs.filter(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(3)), F.lit(0)) == k))
+    return store.report().select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), k AS (SELECT doc_id, length(t) AS n, regexp_replace(t, '[\x20\x09-\x0D]', '', 'g') AS norm FROM d),
+w AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+  row_number() OVER (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST) = 1 AS kept FROM k)
+SELECT doc_id, keep_id, group_size, kept, sha256(norm) AS text_sha256 FROM w
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_packing, op3_token_counts, op4_fingerprints, op5_id_matrices, op6_media, op7_chat, op8_simhash, op9_quality, op10_sharding)}
+    every = (op1_mixing, op2_packing, op3_token_counts, op4_fingerprints, op5_id_matrices, op6_media, op7_chat, op8_simhash, op9_quality, op10_sharding,
+             op11_spelling, op12_runs, op13_exact_dedup)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": OP7_SQL}
+    return {"op7_chat": OP7_SQL, "op13_exact_dedup": OP13_SQL}

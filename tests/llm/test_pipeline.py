@@ -50,4 +50,4 @@ def test_mixture_meets_its_targets(spark):
 
 def test_labels_reach_every_stage(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "mixture", "packed"] and corpus_pipeline.ORACLE_SQL is None
-    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 10
+    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 13

@@ -102,7 +102,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(4):
         store.append(docs.filter(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(4)), F.lit(0)) == k))
         store.compact()
-    store.vacuum()
+    store.vacuum(0)  # nobody else uses this store
     return store.rows().select("row.doc_id", F.concat_ws("/", "run", "shard").alias("shard"), F.sha2(F.encode("row.text", "UTF-8"), 256).alias("text_sha256"),
                                "row.lang", "row.source", "row.n_chars")
 

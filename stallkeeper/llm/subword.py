@@ -17,6 +17,8 @@ from .common import pieces
 
 #: Character n-gram lengths of a word written between < and >.
 GRAMS = (3, 4, 5)
+#: Characters of a part whose row is kept.
+PART = 60
 #: The bucket of a part of a text that follows itself.
 SAME = 0
 
@@ -53,7 +55,8 @@ class SubwordModel:
     """``table``: for each class, every bucket's embedding times the output weights; a document's scores are averages of these.
 
     Texts are read in parts, which single spaces separate; a part is one word, or a few where there is other white space in it.
-    A task keeps the rows of the parts it met, ``words`` of them at most; the first met, which are the frequent ones, stay.
+    A task keeps the rows of the parts of up to ``PART`` characters it met, ``words`` of them at most (with their keys under 100 MB); the first met, which are
+    the frequent ones, stay. Longer parts, such as texts without spaces, are read anew each time.
     """
 
     classes: list
@@ -73,18 +76,20 @@ class SubwordModel:
         found, of = word_features(words, self.table.shape[1])
         of = owner[of]
         sums = [np.bincount(of, row[found], len(parts)) for row in self.table] + [np.bincount(x, minlength=len(parts)) for x in (of, owner)]
-        return np.stack(sums + ([count(parts)] if count else []), axis=1).astype(np.float32)
+        return np.stack(sums + ([count(parts)] if count else []), axis=1).astype(np.float64)  # counts are whole numbers up to 2 ** 53
 
     def learnt(self, parts: list[str], count: Callable[[list[str]], np.ndarray] | None) -> np.ndarray:
         """``rows_of`` of distinct parts; only those not met before are read."""
         width = len(self.classes) + 2 + (count is not None)
-        ids, rows = self.known.pop(width, None) or ({}, np.zeros((0, width), np.float32))
+        ids, rows = self.known.pop(width, None) or ({}, np.zeros((0, width)))
         at = np.array([ids.get(p, -1) for p in parts], np.int64)
-        out = np.empty((len(parts), width), np.float32)
+        out = np.empty((len(parts), width))
         out[at >= 0] = rows[at[at >= 0]]
         new = [parts[i] for i in np.flatnonzero(at < 0)]
         if new:
             out[at < 0] = fresh = self.rows_of(new, count)
+            short = np.fromiter((len(p) <= PART for p in new), bool, len(new))
+            new, fresh = [p for p, s in zip(new, short) if s], fresh[short]
             if len(ids) + len(new) > self.words:
                 ids, rows = dict(islice(ids.items(), self.words // 2)), rows[: self.words // 2]
             if len(ids) + len(new) <= self.words:

@@ -279,3 +279,61 @@ def test_dedup_query(spark):
     want = c.execute(queries.OP13_SQL).fetchall()
     rows = queries.op13_exact_dedup(spark, DATA).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
     assert sorted(map(tuple, rows)) == sorted(want)
+
+
+# shards of different columns, caches
+
+
+def test_store_keeps_every_column(spark):
+    from stallkeeper.llm.compaction import ShardStore
+
+    store = ShardStore(spark, new_folder(spark, "shards"), target=1 << 20)
+    part = lambda rows, columns: spark.createDataFrame(rows, columns).repartition(2)
+    for k in range(3):
+        store.append(part([(k, f"t{k}"), (k + 10, None)], "doc_id long, text string"))
+    store.append(part([(3, "t3", "en"), (4, "t4", None)], "doc_id long, text string, lang string"))  # a column more
+    store.append(part([("fr", 5)], "lang string, doc_id long"))  # one less, in another order
+    want = sorted([(k, f"t{k}", None) for k in range(3)] + [(k + 10, None, None) for k in range(3)] + [(3, "t3", "en"), (4, "t4", None), (5, None, "fr")], key=str)
+    read = lambda: sorted(map(tuple, store.rows().select("row.*").collect()), key=str)
+    assert store.rows().select("row.*").columns == ["doc_id", "text", "lang"] and read() == want
+    with pytest.raises(ValueError, match="doc_id"):
+        store.append(part([("x", "t")], "doc_id string, text string"))  # another type
+    with pytest.raises(ValueError, match="Text"):
+        store.append(part([(9, "t")], "doc_id long, Text string"))
+    before = store.version()
+    store.compact()
+    assert store.version() > before and read() == want
+    store.vacuum()
+    assert read() == want
+    kept = len(store.fs.listStatus(store.Path(f"{store.path}/data")))
+    spark.range(3).write.parquet(f"{store.path}/data/run=a99-dead/shard=0")  # a writer died here
+    assert len(store.fs.listStatus(store.Path(f"{store.path}/data"))) == kept + 1
+    store.vacuum()
+    assert len(store.fs.listStatus(store.Path(f"{store.path}/data"))) == kept + 1  # all younger than a week
+    store.vacuum(0)
+    assert read() == want and not store.fs.exists(store.Path(f"{store.path}/data/run=a99-dead"))
+    assert ShardStore(spark, store.path, 1 << 20).columns() == store.columns()
+
+
+def test_cache_of_texts_without_spaces():
+    from stallkeeper.llm import subword
+
+    rng = random.Random(4)
+    model = subword.train(["good text", "bad text"], [1, 0], [0, 1], buckets=256, dim=2, least_steps=20)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(80)) for _ in range(20_000)]
+    first = model.posteriors(texts[:100])
+    for at in range(0, len(texts), 2000):
+        model.posteriors(texts[at : at + 2000])
+    assert all(not ids for ids, _ in model.known.values())  # nothing is kept of them
+    assert np.array_equal(model.posteriors(texts[:100]), first)
+    model.posteriors([" ".join(f"w{i}" for i in range(at, at + 1000)) for at in range(0, 300_000, 1000)])
+    (ids, rows), = model.known.values()
+    assert len(ids) == len(rows) <= model.words and sum(map(len, ids)) <= model.words * subword.PART
+    counted = model.read(np_array(["x y", "z"]), lambda parts: np.array([40_000_001] * len(parts)))[1]
+    assert counted.tolist() == [80_000_002, 40_000_001]
+
+
+def np_array(texts):
+    import pyarrow as pa
+
+    return pa.array(texts, pa.string())

@@ -1,14 +1,20 @@
-"""Which texts contain which terms: joins on character runs, verified; no text meets a term with which it shares no run."""
+"""Which texts contain which terms: window hashes for tables that fit into a task, joins on character runs beyond; every hit is verified."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..staging import staged
 from .common import row_numbers
+from .rolling import TermScan
 
-#: A term table of up to this many bytes goes to every task; texts are then read once and not shuffled.
+#: A term table of up to this many bytes, its other columns included, goes to every task; texts are then read once and not shuffled.
 MOST_BYTES = 8 << 20
 
 
@@ -69,18 +75,50 @@ def indexed_terms(terms: DataFrame) -> DataFrame:
 def first_term(texts: DataFrame, terms: DataFrame, text_col: str, order: list[str], span: int = 8192) -> DataFrame:
     """``texts`` with the columns of the first of ``terms`` (by ``order``, then term) that each row's text contains; one row for each such row.
 
-    Texts are cut into chunks of about ``span`` characters, which overlap by the longest term. Their runs at every stride are
-    joined with those that the terms are found by (``indexed_terms``), and what meets is verified. Terms are numbered by their order, so
-    a row keeps its least number. Rows are told apart by a number of their own: repeated and null ids are rows like any other.
-    Null texts and empty terms match nothing. Terms of up to ``MOST_BYTES`` are broadcast; beyond that only runs are shuffled, and
-    chunks once, to be verified.
+    Rows are answered by themselves: repeated and null ids are rows like any other. Null texts and empty terms match nothing. Terms of up to
+    ``MOST_BYTES`` in all go to every task, where texts are scanned by window hashes (``TermScan``); nothing is shuffled. Larger term tables are joined
+    with the texts' character runs (``joined_terms``).
     """
     names = [c for c in terms.columns if c not in ("term", *order)]
+    asked = terms.filter("term <> ''").select("term", *[f"`{c}`" for c in names], *[f"`{c}`" for c in order])
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in names), F.octet_length("term") + 64)
+    bytes_ = asked.agg(F.sum(width.cast("long"))).first()[0] or 0
+    if bytes_ > MOST_BYTES:
+        return joined_terms(texts, asked, text_col, order, names, span)
+    known = asked.orderBy(*order, "term", *names).select("term", *[f"`{c}`" for c in names])
+    return scanned_terms(texts, known, text_col)
+
+
+def scanned_terms(texts: DataFrame, known: DataFrame, text_col: str) -> DataFrame:
+    """``first_term`` for a small table ``known`` in order of preference: each task scans its texts."""
+    spark, fields = texts.sparkSession, known.schema.fields
+    rest, at = [f for f in texts.schema.fields if f.name != text_col], texts.columns.index(text_col)
+    table = known.toArrow()
+    sent = spark.sparkContext.broadcast((table, TermScan(table.column(0).to_pylist())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, scan = sent.value
+        for b in batches:
+            k = scan.first(b.column(at))
+            hit = np.flatnonzero(k >= 0)
+            kept, found = b.take(pa.array(hit)), table.take(pa.array(k[hit])).combine_chunks()
+            told = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in found.columns]
+            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(kept.columns) if i != at], *told], names)
+
+    names = [f.name for f in (*rest, *fields)]
+    return texts.mapInArrow(run, StructType([*rest, *fields]))
+
+
+def joined_terms(texts: DataFrame, terms: DataFrame, text_col: str, order: list[str], names: list[str], span: int) -> DataFrame:
+    """``first_term`` for any number of terms.
+
+    Texts are cut into chunks of about ``span`` characters, which overlap by the longest term. Their runs at every stride are joined with those that
+    the terms are found by (``indexed_terms``); runs are shuffled, and chunks once, to be verified. Terms are numbered by their order, so a
+    row keeps its least number.
+    """
     rest = [f"`{c}`" for c in texts.columns if c != text_col]
-    terms = staged(row_numbers(terms.filter("term <> ''"), [*order, "term", *names], "__k").select("term", *names, "__k"), "terms")
-    bytes_, longest = terms.agg(F.sum(F.octet_length("term") + 64), F.max(F.length("term"))).first()
-    if not longest:
-        return texts.limit(0).crossJoin(terms.limit(0)).select(*rest, "term", *names)
+    terms = staged(row_numbers(terms, [*order, "term", *names], "__k").select("term", *names, "__k"), "terms")
+    longest = terms.agg(F.max(F.length("term"))).first()[0]
     index = staged(indexed_terms(terms.select("term", "__k")), "term-index")
     sizes = sorted(r[0] for r in index.select("__size").distinct().collect())  # at most one for each class
     index = index.drop("__size")
@@ -88,16 +126,13 @@ def first_term(texts: DataFrame, terms: DataFrame, text_col: str, order: list[st
     cuts = F.transform(F.sequence(F.lit(0), F.floor((F.length("__text") - 1) / step).cast("int")), lambda i: F.substring("__text", i * step + 1, F.lit(step + longest - 1)))
     rows = texts.select(*rest, F.col(text_col).alias("__text")).filter("__text <> ''").withColumn("__row", F.monotonically_increasing_id())
     chunks = rows.select("__row", *rest, F.posexplode(F.when(F.length("__text") <= span, F.array("__text")).otherwise(cuts)).alias("__part", "__chunk"))
+    chunks = staged(chunks, "chunks")
     every = F.explode(F.flatten(F.array(*[strided_runs(F.col("__chunk"), n, stride) for _, n, stride in CLASSES if n in sizes]))).alias("__g")
-    holds = F.col("__chunk").contains(F.col("term"))
-    if bytes_ <= MOST_BYTES:
-        met = chunks.select("__row", *rest, "__chunk", every).join(F.broadcast(index), "__g").filter(holds)
-    else:
-        chunks = staged(chunks, "chunks")
-        pairs = chunks.select("__row", "__part", every).join(index, "__g").select("__row", "__part", "term", "__k").distinct()
-        met = pairs.join(chunks, ["__row", "__part"]).filter(holds)
-    found = met.groupBy("__row", *rest).agg(F.min("__k").alias("__k"))
-    return found.join(terms, "__k").select(*rest, "term", *names)
+    pairs = chunks.select("__row", "__part", every).join(index, "__g").select("__row", "__part", "term", "__k").distinct()
+    met = pairs.join(chunks.select("__row", "__part", "__chunk"), ["__row", "__part"]).filter(F.col("__chunk").contains(F.col("term")))
+    found = met.groupBy("__row").agg(F.min("__k").alias("__k"))
+    heads = chunks.filter("__part = 0").select("__row", *rest)
+    return found.join(heads, "__row").join(terms, "__k").select(*rest, "term", *names)
 
 
 def shortest_holder(names: DataFrame, texts: DataFrame, gram: int = 5) -> DataFrame:

@@ -131,7 +131,7 @@ def slug_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dict_match_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first benchmark text that each document contains whole."""
     words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.col("text").alias("term"), F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("target"))
-    return terms.match_terms(table(spark, sf_dir, "documents"), words, "doc_id", "text")
+    return terms.match_terms(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), words, "doc_id", "text")
 
 
 #: Two dictionaries out of part: full names of some parts, patterns of all.

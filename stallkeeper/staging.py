@@ -58,7 +58,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a file's row group, the least that a scan can split.
+ROW_GROUP = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df``; where it comes from fewer files than there are cores, its rows are dealt over all cores, as few files may be few tasks."""
+    """``df``; where there is less than a row group for each core, its rows are dealt over all cores, as one row group is one task. Large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # Catalyst's estimate, no job
+    return df.repartition(cores) if size < cores * ROW_GROUP else df

@@ -2,11 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from stallkeeper.functions import money
-from stallkeeper.operators import containment, deals, feed, prices, terms, tiles
+from stallkeeper.operators import containment, deals, feed, prices, rolling, terms, tiles
 from stallkeeper.operators.common import dedupe, keep_last, number_rows
 from stallkeeper.sources import readers
 from stallkeeper.streaming import streams
@@ -42,6 +43,23 @@ def test_terms_are_brute_force(spark, monkeypatch, most):
     assert terms.match_terms(df, t.limit(0), "id", "text").count() == 0
 
 
+@pytest.mark.parametrize("span", [1, 5, 1 << 19])
+def test_term_scan(monkeypatch, span):
+    """Window hashes find what a search of each text finds, whatever the lengths, shared windows, spans and slices."""
+    monkeypatch.setattr(rolling, "SPAN", span)
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("ab中🙂") for _ in range(n))
+    words = list(dict.fromkeys([letters(rng.randrange(2, 12)) for _ in range(60)] + ["x" * n for n in range(1, 40)] + ["AK-47 | Redline (" + letters(2) for _ in range(9)] + ["é"]))
+    rng.shuffle(words)
+    texts = [letters(rng.randrange(0, 50)) for _ in range(60)] + [None, "", "x" * 7, "yxxxy" * 3, "é", "AK-47 | Redline (ab AK-47 | Redline", "a", "\U0001f642"]
+    want = [next((k for k, w in enumerate(words) if t and w in t), -1) for t in texts]
+    scan = rolling.TermScan(words)
+    for kind in (pa.string(), pa.large_string()):
+        assert scan.first(pa.array(texts, kind)).tolist() == want
+        assert scan.first(pa.array(texts, kind).slice(3, 40)).tolist() == want[3:43]
+    assert rolling.TermScan([]).first(pa.array(["a", None])).tolist() == [-1, -1] and scan.first(pa.array([None], pa.string())).tolist() == [-1]
+
+
 def test_merge_is_dict_update(spark):
     sources = [[("a", "1"), ("b", "2")], [("b", "3"), ("c", "4")], [("a", "5")]]
     want = {}

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,6 +46,33 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def commit_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Make the file ``path`` of ``text`` if nobody has made it: whole or not at all. Returns whether this call made it.
+
+    The finished file takes its name by a hard link on a local file system, elsewhere by a rename, which HDFS refuses where the name is taken. An
+    object store without such a rename needs a lock of its own.
+    """
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    draft = jvm.org.apache.hadoop.fs.Path(to.getParent(), f".draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.getUri().getScheme() != "file":
+        return fs.rename(draft, to)
+    local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+    try:
+        jvm.java.nio.file.Files.createLink(local(to), local(draft))
+        return True
+    except Py4JJavaError as e:
+        if not e.java_exception.getClass().getName().endswith("FileAlreadyExistsException"):
+            raise
+        return False
+    finally:
+        fs.delete(draft, False)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once for each application, whatever folder the driver was started in."""
     sc, package = spark.sparkContext, Path(__file__).parent

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_id, parse_item_name, slug_v1, strip
+from ..sources.versioned import VersionedTable
 from ..staging import staged
+from .asof import asof
 from .common import first_match, latest
 from .containment import shortest_holder
 
+Source = Callable[[DataFrame], DataFrame]
+
 
 def upsert_prices(base: DataFrame, updates: DataFrame, key: str = "item", order: list[str] | None = None) -> DataFrame:
     """Latest row of each key over both; among equals the update wins."""
@@ -67,17 +74,10 @@ def guarded_price(df: DataFrame, prices: DataFrame, name: str, wanted: Column) -
     return found.unionByName(df.filter(~asked).withColumn("__price", F.lit(None).cast("double"))).withColumnRenamed("__price", "price_twd")
 
 
-def fresh_quote(asks: DataFrame, quotes: DataFrame, key: str, at: str, quoted_at: str, ttl_seconds: int = 300) -> DataFrame:
-    """``asks`` with the columns of the newest quote of the same key that is not later and younger than the time to live.
-
-    Quotes are bucketed by the time to live, so an ask meets two buckets of its key only.
-    """
-    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (ttl_seconds * 1_000_000))
-    left = asks.withColumn("__row", F.monotonically_increasing_id()).withColumn("__b", F.explode(F.array(bucket(at), bucket(at) - 1)))
-    right = quotes.withColumn("__b", bucket(quoted_at)).withColumnRenamed(key, "__key")
+def fresh_quote(asks: DataFrame, quotes: DataFrame, key: str, at: str, quoted_at: str, ttl_seconds: int = 300, tie: list[str] | None = None) -> DataFrame:
+    """``asks`` with the columns of the newest quote of the same key (ties: the greatest by ``tie``) that is not later and younger than the time to live."""
     age = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col(quoted_at).cast("timestamp"))
-    hits = left.join(right, (left[key] == right["__key"]) & (left["__b"] == right["__b"])).filter((age >= 0) & (age < ttl_seconds * 1_000_000))
-    return hits.drop("__b", "__key")
+    return asof(asks, quotes, key, at, quoted_at, tie).filter(age < ttl_seconds * 1_000_000)
 
 
 def resolve_price(listings: DataFrame, ranked: DataFrame, name: str = "name") -> DataFrame:
@@ -87,6 +87,31 @@ def resolve_price(listings: DataFrame, ranked: DataFrame, name: str = "name") ->
     return listings.join(best, F.col(name) == F.col("__item"), "left").drop("__item")
 
 
+def price_cascade(listings: DataFrame, prices: VersionedTable, sources: list[tuple[str, Source]], name: str = "name") -> DataFrame:
+    """``listings`` with price_twd, volume, source: from the price table, else from the first of ``sources`` that has the item; null without any.
+
+    A source is a function from missed names (a column item, distinct) to quotes (item, price_twd); it gets only what the table and the sources before
+    missed, and isn't asked when nothing is left. Of several quotes for an item it gives, the least price is taken. What sources found is
+    merged into the price table without a volume, so the next lookup finds it there.
+    """
+    known = prices.read().select("item", "price_twd", "volume").filter("price_twd is not null")
+    names = staged(listings.select(F.col(name).alias("item")).filter(has_id(F.col(name).cast("string"))).distinct(), "names")
+    found = [names.join(known, "item").withColumn("source", F.lit("table"))]
+    missed = staged(names.join(known, "item", "left_anti"), "missed")
+    for label, source in sources:
+        if missed.isEmpty():
+            break
+        got = source(missed).filter("price_twd is not null").join(missed, "item", "left_semi").groupBy("item").agg(F.min("price_twd").alias("price_twd"))
+        got = staged(got.select("item", "price_twd", F.lit(None).cast("long").alias("volume"), F.lit(label).alias("source")), "found")
+        missed = staged(missed.join(got, "item", "left_anti"), "missed")
+        found.append(got)
+    every = staged(reduce(DataFrame.unionByName, found), "prices-found")
+    new = every.filter("source <> 'table'")
+    if not new.isEmpty():
+        prices.merge(new.select("item", "price_twd", "volume", F.current_timestamp().alias("last_updated")), ["last_updated"])
+    return listings.join(every.withColumnRenamed("item", "__item"), F.col(name) == F.col("__item"), "left").drop("__item")
+
+
 def best_candidate(watch: DataFrame, candidates: DataFrame, name: str = "name") -> DataFrame:
     """For each watched name its candidate: the one of the same name (case aside), else the first by pos."""
     both = watch.join(candidates, name).withColumn("exact", F.lower(F.col(name)) == F.lower("candidate"))
@@ -113,10 +138,10 @@ def wide_pivot(df: DataFrame, key: str, wear: str, wears: list[str], order: Colu
 def with_local_name(df: DataFrame, watch: DataFrame, name: str = "name") -> DataFrame:
     """``df`` with local_name: the Chinese name, without wear, of the watched item with the same base; empty without one.
 
-    ``watch`` is the fixed watch list (name_en, name_zh), a few rows, hence sent to every task.
+    ``watch`` is a table like the watch list (name_en, name_zh), of any size.
     """
     base = lambda c: parse_item_name(F.col(c))["base"]
     bare = strip(F.regexp_replace("name_zh", r"\s*\([^()]*\)$", ""))
     known = watch.select(base("name_en").alias("__base"), bare.alias("local_name")).groupBy("__base").agg(F.min("local_name").alias("local_name"))
-    joined = df.withColumn("__b", base(name)).join(F.broadcast(known), F.col("__b") == F.col("__base"), "left")
+    joined = df.withColumn("__b", base(name)).join(known, F.col("__b") == F.col("__base"), "left")
     return joined.drop("__b", "__base").withColumn("local_name", F.coalesce("local_name", F.lit("")))

@@ -5,16 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import latest
+from ..functions.text import extract_pattern
+from .common import row_numbers
 from .containment import first_term
 
 
 def translate_catalogue(catalogue: DataFrame, source: str = "en") -> DataFrame:
-    """lang, id, term, target: names of other languages joined to those of ``source`` by id; a later repeat of an id wins."""
-    named = catalogue.filter("name is not null and name <> ''")
-    named = latest(named, ["lang", "id"], ["pos"]) if "pos" in named.columns else named.dropDuplicates(["lang", "id"])
+    """lang, id, term, target, pos of a catalogue (lang, id, name, pos): names of other languages joined to those of ``source`` by id.
+
+    Of repeated ids the last place gives the name, the first one ``pos``. Ids whose last name is null or empty on either side are left out.
+    """
+    named = catalogue.groupBy("lang", "id").agg(F.max_by(F.struct("name"), "pos")["name"].alias("name"), F.min("pos").alias("pos")).filter("name <> ''")
     target = named.filter(F.col("lang") == source).select("id", F.col("name").alias("target"))
-    return named.filter(F.col("lang") != source).select("lang", "id", F.col("name").alias("term")).join(target, "id")
+    return named.filter(F.col("lang") != source).select("lang", "id", F.col("name").alias("term"), "pos").join(target, "id").select("lang", "id", "term", "target", "pos")
+
+
+def catalogue_terms(translated: DataFrame, priorities: dict[str, int]) -> DataFrame:
+    """kind, term, target, priority, pos of ``translate_catalogue``'s rows: each name as a full term, and its pattern where both have one and they differ.
+
+    Languages with a higher priority win over others; ``priorities`` names those that are taken.
+    """
+    ranked = translated.withColumn("priority", F.try_element_at(F.create_map(*[F.lit(x) for kv in priorities.items() for x in kv]), F.col("lang"))).filter("priority is not null")
+    full = ranked.select(F.lit("full").alias("kind"), "term", "target", "priority", "pos")
+    pattern = ranked.select(F.lit("pattern").alias("kind"), extract_pattern(F.col("term")).alias("term"), extract_pattern(F.col("target")).alias("target"), "priority", "pos")
+    return full.unionByName(pattern.filter("term <> '' and target <> '' and term <> target"))
+
+
+def stored_terms(merged: DataFrame, sources: dict[int, str]) -> DataFrame:
+    """``merge_terms``' rows as the term store has them: source by priority, ord the place among the terms of the kind from 0."""
+    label = F.try_element_at(F.create_map(*[F.lit(x) for kv in sources.items() for x in kv]), F.col("first_priority"))
+    kinds = [row_numbers(merged.filter(F.col("kind") == k), ["first_priority", "first_pos", "term"], "ord") for k in ("full", "pattern")]
+    return kinds[0].unionByName(kinds[1]).select("kind", "term", "target", label.alias("source"), F.col("first_priority").alias("priority"), "ord")
 
 
 def union_terms(*sources: DataFrame) -> DataFrame:

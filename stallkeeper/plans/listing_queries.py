@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import deals, feed, terms
 from ..operators.common import dedupe, head_by
-from ..sources.readers import quoted_pairs, read_catalogue, write_catalogue
+from ..sources.readers import quoted_pairs, read_catalogue, read_placed_pairs, read_terms, write_catalogue, write_terms
 from ..staging import new_folder, spread, table
 from .registry import query
 
@@ -208,6 +208,36 @@ def catalogue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.translate_catalogue(read_catalogue(spark, path, whole_files=False)).select("lang", "id", "term", "target")
 
 
+@query("""WITH n AS (SELECT p_partkey AS k, p_brand || ' | ' || p_name AS target, CASE WHEN p_partkey % 5 = 0 THEN '新' ELSE '' END AS mark, '品' || p_partkey % 50 || ' | ' || CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_type END AS name FROM part),
+  x AS (SELECT 2 AS priority, k, mark || name AS term, target FROM n WHERE k % 4 <> 0 UNION ALL SELECT 3, k, CASE WHEN k % 7 = 0 THEN name ELSE '繁' || name END, target FROM n WHERE k % 2 = 0),
+  m AS (SELECT 'full' AS kind, term, target, priority, k FROM x UNION ALL
+    SELECT 'pattern', trim(split_part(term, '|', 2)), trim(split_part(target, '|', 2)), priority, k FROM x WHERE trim(split_part(term, '|', 2)) <> trim(split_part(target, '|', 2)) UNION ALL
+    SELECT 'full', name, upper(target), 1, k FROM n WHERE k % 3 = 1 UNION ALL SELECT 'pattern', p_type, min(upper(p_name)), 4, min(p_partkey) FROM part WHERE p_size = 7 GROUP BY 2),
+  g AS (SELECT kind, term, arg_max(target, priority * 1000000000000 + k) AS target, min(priority * 1000000000000 + k) AS f FROM m GROUP BY 1, 2)
+  SELECT kind, term, target, CASE f // 1000000000000 WHEN 1 THEN 'pairs' WHEN 2 THEN 'zh-CN' WHEN 3 THEN 'zh-TW' ELSE 'own' END AS source, CAST(f // 1000000000000 AS INTEGER) AS priority,
+    row_number() OVER (PARTITION BY kind ORDER BY f, term) - 1 AS ord FROM g""")
+def catalogue_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogues in three languages (ids that come twice, arrays and objects) and quoted pairs, read from files and merged with own terms into the term store."""
+    part, k, path = table(spark, sf_dir, "part"), F.col("p_partkey"), new_folder(spark, "dictionary")
+    name = F.concat(F.lit("品"), (k % 50).cast("string"), F.lit(" | "), F.when(k % 3 == 0, F.col("p_name")).otherwise(F.col("p_type")))
+    target = F.concat("p_brand", F.lit(" | "), "p_name")
+    entry = lambda lang, name, at=0: part.select(F.lit(lang).alias("lang"), F.format_string("%012d", k).alias("id"), name.alias("name"), (2 * k + at).alias("at"))
+    rows = entry("en", F.lit("old")).unionByName(entry("en", target, 1)).unionByName(entry("zh-CN", name).filter("at % 8 <> 0")).unionByName(entry("zh-CN", F.concat(F.lit("新"), name), 1).filter("at % 10 = 1 and at % 8 <> 1"))
+    write_catalogue(rows, f"{path}/catalogue", F.floor(F.col("at") / 200), "at")
+    block = part.filter(k % 2 == 0).select(F.floor(k / 100).alias("b"), k.alias("k"), F.format_string("%012d", k).alias("id"), F.when(k % 7 == 0, name).otherwise(F.concat(F.lit("繁"), name)).alias("name"))
+    objects = block.groupBy("b").agg(F.to_json(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("k", "id", "name"))), lambda x: F.struct(x["id"], x["name"])))).alias("value"))
+    objects.repartitionByRange(4, "b").sortWithinPartitions("b").select("value").write.text(f"{path}/catalogue/lang=zh-TW")
+    pairs = part.filter(k % 3 == 1).select(k.alias("k"), F.concat(F.lit(" '"), name, F.lit("': '"), F.upper(target), F.lit("',")).alias("value"))
+    pairs.repartitionByRange(4, "k").sortWithinPartitions("k").select("value").write.text(f"{path}/pairs")
+    api = terms.catalogue_terms(terms.translate_catalogue(read_catalogue(spark, f"{path}/catalogue", whole_files=False)), {"zh-CN": 2, "zh-TW": 3})
+    said = read_placed_pairs(spark, f"{path}/pairs").select(F.lit("full").alias("kind"), "term", "target", F.lit(1).alias("priority"), "pos")
+    place = F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("block"), F.min(k).cast("long").alias("line"), F.lit(0).alias("entry"))
+    own = part.filter("p_size = 7").groupBy(F.col("p_type").alias("term")).agg(F.min(F.upper("p_name")).alias("target"), place.alias("pos"))
+    merged = terms.merge_terms(api, said, own.select(F.lit("pattern").alias("kind"), "term", "target", F.lit(4).alias("priority"), "pos"))
+    write_terms(terms.stored_terms(merged, {1: "pairs", 2: "zh-CN", 3: "zh-TW", 4: "own"}), f"{path}/terms")
+    return read_terms(spark, f"{path}/terms")
+
+
 @query("""WITH e AS (SELECT p_size AS id, arg_max(p_name, p_partkey) AS target FROM part WHERE p_brand = 'Brand#1' GROUP BY 1),
   o AS (SELECT p_brand AS lang, p_size AS id, arg_max(p_name, p_partkey) AS term FROM part WHERE p_brand <> 'Brand#1' GROUP BY 1, 2)
   SELECT o.lang, o.id, o.term, e.target FROM o JOIN e USING (id)""")

@@ -15,6 +15,7 @@ from ..operators import deals, prices
 from ..operators.common import keep_last, latest, number_rows
 from ..sources import readers
 from ..sources.schemas import DEALS
+from ..sources.versioned import VersionedTable
 from ..staging import new_folder, staged, table
 from .listing_queries import LISTED_WEARS, LISTING_SQL, NAMES_SQL, PRICE_SQL, TERMS_SQL, WEAR_SQL, dictionaries, item_names, listing_text
 from .registry import query
@@ -160,6 +161,23 @@ def price_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prices.resolve_price(part.select(F.col("p_partkey").alias("name")), own.unionByName(quotes)).withColumn("volume", F.coalesce("volume", F.lit(-1)))
 
 
+@query("""WITH t AS (SELECT p_partkey AS item, p_retailprice AS price FROM part WHERE p_size <= 25),
+  q AS (SELECT user_id AS item, event_type, min(value) AS price FROM events GROUP BY 1, 2),
+  f AS (SELECT p_partkey AS name, coalesce(t.price, a.price, b.price) AS price_twd, CASE WHEN t.price IS NOT NULL THEN 'table' WHEN a.price IS NOT NULL THEN 'purchase' WHEN b.price IS NOT NULL THEN 'click' END AS source
+    FROM part LEFT JOIN t ON t.item = p_partkey LEFT JOIN q a ON a.item = p_partkey AND a.event_type = 'purchase' LEFT JOIN q b ON b.item = p_partkey AND b.event_type = 'click')
+  SELECT 1 AS run, * FROM f UNION ALL SELECT 2, name, price_twd, CASE WHEN source IS NOT NULL THEN 'table' END FROM f""")
+def price_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part priced from the table, else from purchases, else from clicks, twice: the second time all that was found is in the table."""
+    part, events = table(spark, sf_dir, "part"), table(spark, sf_dir, "events")
+    own = VersionedTable(spark, new_folder(spark, "prices"), "item int, price_twd double, volume long, last_updated timestamp")
+    known = part.filter("p_size <= 25").select(F.col("p_partkey").cast("int").alias("item"), F.col("p_retailprice").alias("price_twd"), F.col("p_size").cast("long").alias("volume"))
+    own.merge(known.withColumn("last_updated", F.lit("2000-01-01").cast("timestamp")), ["last_updated"])
+    quotes = lambda kind: (kind, lambda missed: missed.join(events.filter(F.col("event_type") == kind), F.col("item") == F.col("user_id")).select("item", F.col("value").alias("price_twd")))
+    asked = part.select(F.col("p_partkey").cast("int").alias("name"))
+    runs = [staged(prices.price_cascade(asked, own, [quotes("purchase"), quotes("click")]).withColumn("run", F.lit(k)), "run") for k in (1, 2)]
+    return runs[0].unionByName(runs[1]).select("run", "name", "price_twd", "source")
+
+
 def _fresh_sql(seconds: int) -> str:
     return f"""WITH h AS (SELECT a.event_id, q.event_id AS quote_id, q.value AS quote, row_number() OVER (PARTITION BY a.event_id ORDER BY q.ts DESC, q.event_id DESC) AS rn
       FROM events a JOIN events q ON a.user_id = q.user_id AND q.event_type <> 'purchase' AND q.ts <= a.ts AND epoch_us(a.ts) - epoch_us(q.ts) < {seconds * 1000000} WHERE a.event_type = 'purchase')
@@ -170,8 +188,7 @@ def _fresh(spark: SparkSession, sf_dir: str, seconds: int) -> DataFrame:
     events = table(spark, sf_dir, "events")
     asks = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
     quotes = events.filter("event_type <> 'purchase'").select("user_id", F.col("ts").alias("quoted_at"), F.col("event_id").alias("quote_id"), F.col("value").alias("quote"))
-    hits = prices.fresh_quote(asks, quotes, "user_id", "ts", "quoted_at", seconds)
-    return latest(hits.select("event_id", "quote_id", "quote", "quoted_at"), ["event_id"], ["quoted_at", "quote_id"]).drop("quoted_at")
+    return prices.fresh_quote(asks, quotes, "user_id", "ts", "quoted_at", seconds, ["quote_id"]).select("event_id", "quote_id", "quote")
 
 
 @query(_fresh_sql(300))

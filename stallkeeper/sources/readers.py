@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import falsy_coalesce, has_id, strip
-from .schemas import CANDIDATES, CATALOGUE, DEALS, PRICES, TERMS, USD_QUOTE, WATCHLIST
+from .schemas import CANDIDATES, DEALS, PRICES, TERMS, USD_QUOTE, WATCHLIST
 
 
 def parse_timestamp(c: Column) -> Column:
@@ -24,15 +24,44 @@ def create_prices(spark: SparkSession, name: str, path: str | None = None) -> No
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({PRICES}) USING parquet" + (f" LOCATION '{path}'" if path else ""))
 
 
+def placed(lines: DataFrame) -> Column:
+    """The place of a line of text files: file, block, number inside; lines sort as they are read."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+
+def json_entries(lines: DataFrame, body: str) -> DataFrame:
+    """``lines`` with one row for each element of the JSON array, or member of the object, in ``body``: entry (its number), key (null in arrays), entry_value (a variant).
+
+    An object with an id of its own is one entry. Texts that aren't JSON, and scalars, give none.
+    """
+    value = F.try_parse_json(body)
+    single = F.try_variant_get(value, "$.id", "string").isNotNull() & F.try_variant_get(value, "$.name", "string").isNotNull()
+    parsed = lines.withColumn("__v", F.try_parse_json(F.when(single, F.concat(F.lit("["), body, F.lit("]"))).otherwise(F.col(body))))
+    exploded = parsed.lateralJoin(lines.sparkSession.tvf.variant_explode(F.col("__v").outer()))
+    return exploded.select(*[exploded[c] for c in lines.columns], F.col("pos").alias("entry"), "key", F.col("value").alias("entry_value"))
+
+
 def read_catalogue(spark: SparkSession, folder: str, whole_files: bool = True) -> DataFrame:
-    """lang, id, name of catalogues in folders lang=<code>: files of one JSON array each, or (``whole_files`` false) of an array in each line."""
-    return spark.read.schema("id string, name string, lang string").option("multiLine", whole_files).json(folder).select("lang", *CATALOGUE.names)
+    """lang, id, name, pos of catalogues in folders lang=<code>: one JSON value in each file, or (``whole_files`` false) in each line.
+
+    A value is an array of objects with id and name, one such object, or an object with names, or objects with a name, by id. ``pos`` is the
+    place of an entry: file, block, line, entry.
+    """
+    lines = spark.read.schema("value string, lang string").option("wholetext", whole_files).text(folder)
+    lines = lines.select("lang", F.col("value").alias("body"), placed(lines).alias("place"))
+    rows = json_entries(lines, "body")
+    of = lambda path: F.try_variant_get("entry_value", path, "string")
+    named = rows.select("lang", F.coalesce(of("$.id"), "key").alias("id"), F.coalesce(of("$.name"), F.when(F.schema_of_variant("entry_value") == "STRING", of("$"))).alias("name"),
+                        F.struct("place.*", "entry").alias("pos"))
+    return named.filter("id is not null")
 
 
-def write_catalogue(catalogue: DataFrame, folder: str, block: Column) -> None:
-    """Write lang, id, name as JSON arrays, one line for each language and ``block``."""
-    arrays = catalogue.groupBy("lang", block.alias("__b")).agg(F.to_json(F.collect_list(F.struct("id", "name"))).alias("value"))
-    arrays.select("lang", "value").write.partitionBy("lang").text(folder)
+def write_catalogue(catalogue: DataFrame, folder: str, block: Column, order: str = "id") -> None:
+    """Write lang, id, name as JSON arrays in the order of ``order``, one line for each language and ``block``."""
+    blocks = catalogue.groupBy("lang", block.alias("__b")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), "id", "name"))).alias("__a"))
+    arrays = blocks.select("lang", "__b", F.to_json(F.transform("__a", lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name")))).alias("value"))
+    n = int(catalogue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    arrays.repartitionByRange(n, "__b").sortWithinPartitions("lang", "__b").select("lang", "value").write.partitionBy("lang").text(folder)
 
 
 def read_processed(spark: SparkSession, path: str) -> DataFrame:
@@ -55,10 +84,17 @@ def read_quoted_pairs(spark: SparkSession, path: str) -> DataFrame:
     return quoted_pairs(spark.read.text(path))
 
 
-def quoted_pairs(lines: DataFrame, col: str = "value") -> DataFrame:
+def read_placed_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """``read_quoted_pairs`` with pos, the place of the line; entry is 0."""
+    lines = spark.read.text(path)
+    lines = lines.select("value", placed(lines).alias("place"))
+    return quoted_pairs(lines, "value", F.struct("place.*", F.lit(0).alias("entry")).alias("pos"))
+
+
+def quoted_pairs(lines: DataFrame, col: str = "value", *also: Column) -> DataFrame:
     line = F.regexp_replace(strip(F.col(col)), ",$", "")
     part = lambda k: F.regexp_replace(strip(F.get(F.split(line, "': '"), F.lit(k))), "^'|'$", "")
-    return lines.select(part(0).alias("term"), part(1).alias("target")).filter("term <> '' and target <> ''")
+    return lines.select(part(0).alias("term"), part(1).alias("target"), *also).filter("term <> '' and target <> ''")
 
 
 def write_terms(terms: DataFrame, path: str) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.versioned import VersionedTable
 from ..staging import new_folder, table
 from ..streaming import streams as S
+from ..streaming.state import dedupe_newest, fresh_quotes_live, kept_ids, newest_quote
 from .registry import query
 
 
@@ -87,3 +88,29 @@ def stream_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
         arrive(k)
         found = S.run_available(stream(), each=lambda b, n: deals(b.withColumn("ask", F.col("value")), n), path=path, then=S.merging(prices, ["at"], "scan", quotes_of))
     return found.select("event_id", "user_id", F.col("batch").cast("long").alias("batch"), "ask", "price_twd", F.round("margin", 6).alias("margin"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, epoch_us(ts) AS at FROM events ORDER BY ts DESC, id DESC LIMIT 5000")
+def stream_newest_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5,000 newest event ids, as a stream with bounded state keeps them."""
+    path = new_folder(spark, "stream")
+    S.run_available(dedupe_newest(event_stream(spark, sf_dir), "event_id", "ts", shards=4), path=path)
+    return kept_ids(spark, f"{path}/checkpoint")
+
+
+@query("""WITH h AS (SELECT a.event_id, q.event_id AS quote_id, q.value AS quote, row_number() OVER (PARTITION BY a.event_id ORDER BY q.ts DESC, q.event_id DESC) AS rn
+  FROM events a JOIN events q ON a.user_id = q.user_id AND q.event_type <> 'purchase' AND q.ts <= a.ts AND epoch_us(a.ts) - epoch_us(q.ts) < 86400000000 WHERE a.event_type = 'purchase')
+  SELECT event_id, quote_id, quote FROM h WHERE rn = 1""")
+def stream_fresh_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases and the newest quote of their user within a day, both streamed: files come in order of time, but for rows up to 12 hours late."""
+    folder, events = new_folder(spark, "arriving"), table(spark, sf_dir, "events")
+    comes = F.unix_timestamp(F.col("ts").cast("timestamp")) + F.col("event_id") % 3 * 21600
+    least, most = events.agg(F.min(comes), F.max(comes)).first()
+    part = F.floor((comes - least) * 4 / ((most or 0) - (least or 0) + 1))
+    for k in range(4):
+        events.filter(part == k).coalesce(1).write.parquet(f"{folder}/part={k}")
+    stream = lambda: S.stream_listings(spark, f"{folder}/part=*", events.schema, "ts", 1)
+    asks = stream().filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    quotes = stream().filter("event_type <> 'purchase'").select("user_id", F.col("ts").alias("quoted_at"), F.col("event_id").alias("quote_id"), F.col("value").alias("quote"))
+    newest = lambda pairs, n=0: newest_quote(pairs.select("event_id", "quoted_at", "quote_id", "quote"), "event_id", ["quoted_at", "quote_id"])
+    return newest(S.run_available(fresh_quotes_live(asks, quotes, "user_id", "ts", "quoted_at", 86400), each=newest)).drop("quoted_at")

@@ -17,10 +17,10 @@ from ..staging import new_folder
 LATENESS = "1 day"
 
 
-def stream_listings(spark: SparkSession, path: str, schema: StructType, ts: str = "posted_at") -> DataFrame:
-    """Stream of the files under ``path`` (a folder, one file or a pattern), with a watermark on ``ts``."""
+def stream_listings(spark: SparkSession, path: str, schema: StructType, ts: str = "posted_at", files: int = 1000) -> DataFrame:
+    """Stream of the files under ``path`` (a folder, one file or a pattern), up to ``files`` in a batch, with a watermark on ``ts``."""
     pattern = path if "*" in path else f"{path[:-1]}[{path[-1]}]"  # a pattern may name a file, a plain path only a folder
-    rows = spark.readStream.schema(schema).parquet(pattern)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(pattern)
     return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, LATENESS)
 
 

@@ -67,16 +67,21 @@ def run_summary(deals: DataFrame, batch: str, ts: str) -> DataFrame:
     return deals.groupBy(batch).agg(F.count("*").alias("deals"), F.max(ts).alias("last"))
 
 
-def deals_of_texts(listings: DataFrame, full: DataFrame, patterns: DataFrame, prices: DataFrame, text_col: str = "content", min_margin: float = 5, min_volume: float = 50) -> DataFrame:
-    """Screened deals of listings (id, text): name, mode, ask (TWD), price_twd, volume, net, profit, margin beside their other columns.
+def named_listings(listings: DataFrame, full: DataFrame, patterns: DataFrame, text_col: str = "content") -> DataFrame:
+    """Listings (id, text) whose text has a term and a number: name, mode, ask (TWD) beside their other columns.
 
     The name comes from the dictionaries (``full``, then ``patterns``), wear, edition and category of the text, the ask from the number in it,
-    in RMB unless the text says TWD. Texts without a term or a number, and names without a price, are no deals.
+    in RMB unless the text says TWD.
     """
     found = dictionary_lookup(listings.withColumn("__read", F.col(text_col)), full, patterns, "id", text_col)
     text = F.col("__read")
     read = found.withColumns({"wear": wear_to_en(text), "special": is_special(text), "category": match_category(text), "said": extract_price(text), "currency": F.when(text.contains("TWD"), "TWD").otherwise("RMB")})
     name = F.when(F.col("mode") == "full", canonical_name(F.col("target"), F.col("category"), F.col("wear"), F.col("special"), "full")).otherwise(
         canonical_name(F.col("target"), F.col("category"), F.col("wear"), F.col("special")))
-    named = read.withColumns({"name": name, "ask": to_twd(F.col("said"), F.col("currency")).cast("double")}).drop("__read")
-    return screen(score(match_price_exact(priced(named), prices).filter("matched")), min_margin, min_volume)
+    return priced(read.withColumns({"name": name, "ask": to_twd(F.col("said"), F.col("currency")).cast("double")}).drop("__read"))
+
+
+def deals_of_texts(listings: DataFrame, full: DataFrame, patterns: DataFrame, prices: DataFrame, text_col: str = "content", min_margin: float = 5, min_volume: float = 50) -> DataFrame:
+    """Screened deals of ``named_listings`` at the prices of their very names: price_twd, volume, net, profit, margin beside their columns."""
+    named = named_listings(listings, full, patterns, text_col)
+    return screen(score(match_price_exact(named, prices).filter("matched")), min_margin, min_volume)

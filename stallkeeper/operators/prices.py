@@ -87,14 +87,16 @@ def resolve_price(listings: DataFrame, ranked: DataFrame, name: str = "name") ->
     return listings.join(best, F.col(name) == F.col("__item"), "left").drop("__item")
 
 
-def price_cascade(listings: DataFrame, prices: VersionedTable, sources: list[tuple[str, Source]], name: str = "name") -> DataFrame:
+def price_cascade(listings: DataFrame, prices: VersionedTable, sources: list[tuple[str, Source]], name: str = "name", version: int | None = None,
+                  writer: str = "", batch: int | None = None) -> DataFrame:
     """``listings`` with price_twd, volume, source: from the price table, else from the first of ``sources`` that has the item; null without any.
 
     A source is a function from missed names (a column item, distinct) to quotes (item, price_twd); it gets only what the table and the sources before
     missed, and isn't asked when nothing is left. Of several quotes for an item it gives, the least price is taken. What sources found is
-    merged into the price table without a volume, so the next lookup finds it there.
+    merged into the price table without a volume, so the next lookup finds it there. ``version`` is the table's version to look in, the last one by
+    default; a ``batch`` of a ``writer`` is merged once.
     """
-    known = prices.read().select("item", "price_twd", "volume").filter("price_twd is not null")
+    known = prices.read(version).select("item", "price_twd", "volume").filter("price_twd is not null")
     names = staged(listings.select(F.col(name).alias("item")).filter(has_id(F.col(name).cast("string"))).distinct(), "names")
     found = [names.join(known, "item").withColumn("source", F.lit("table"))]
     missed = staged(names.join(known, "item", "left_anti"), "missed")
@@ -108,7 +110,7 @@ def price_cascade(listings: DataFrame, prices: VersionedTable, sources: list[tup
     every = staged(reduce(DataFrame.unionByName, found), "prices-found")
     new = every.filter("source <> 'table'")
     if not new.isEmpty():
-        prices.merge(new.select("item", "price_twd", "volume", F.current_timestamp().alias("last_updated")), ["last_updated"])
+        prices.merge(new.select("item", "price_twd", "volume", F.current_timestamp().alias("last_updated")), ["last_updated"], writer, batch)
     return listings.join(every.withColumnRenamed("item", "__item"), F.col(name) == F.col("__item"), "left").drop("__item")
 
 

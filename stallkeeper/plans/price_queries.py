@@ -12,6 +12,7 @@ from ..functions import money as M
 from ..functions import text as X
 from ..functions.text import WEARS, falsy_coalesce, safe_number, wear_rank
 from ..operators import deals, prices
+from ..operators.scan import scan
 from ..operators.common import keep_last, latest, number_rows
 from ..sources import readers
 from ..sources.schemas import DEALS
@@ -387,3 +388,38 @@ def text_to_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     listings = listing_text(spark, sf_dir).select("id", F.concat("content", mark).alias("content"))
     found = deals.deals_of_texts(listings, *dictionaries(spark, sf_dir), canonical_prices(spark, sf_dir))
     return found.select("id", "name", "mode", "ask", "price_twd", "volume", F.round("profit", 6).alias("profit"), F.round("margin", 6).alias("margin"))
+
+
+def _scan_sql(run: int, listings: str, prices: str) -> str:
+    """CTEs of a run: asks aR, priced rows pR and the sources' prices wR that it writes back."""
+    return f"""l{run} AS MATERIALIZED (SELECT row_number() OVER () AS row, id, content, special, said FROM ({listings})),
+  h{run} AS (SELECT row, id, content, special, said, mode, term, row_number() OVER (PARTITION BY row ORDER BY k, ord, term) AS rn FROM l{run} JOIN d ON contains(content, term)),
+  a{run} AS (SELECT id, CASE WHEN special THEN 'StatTrak™ ' ELSE '' END || upper(term) || ' (' || {WEAR_SQL} || ')' AS name, mode, CAST(CASE WHEN contains(content, 'TWD') THEN said * 100 ELSE said * 450 END AS DOUBLE) / 100 AS ask FROM h{run} WHERE rn = 1 AND said > 0),
+  n{run} AS (SELECT DISTINCT name FROM a{run}), t{run} AS ({prices}),
+  f{run} AS (SELECT name, item, price_twd, volume, row_number() OVER (PARTITION BY name ORDER BY item <> name, length(item), lower(item), item) AS rn FROM n{run} JOIN t{run} ON item = name OR contains(lower(item), lower(name))),
+  w{run} AS (SELECT name AS item, price AS price_twd FROM n{run} JOIN (SELECT item, min(price) AS price FROM q GROUP BY 1) ON item = name WHERE name NOT IN (SELECT name FROM f{run})),
+  p{run} AS (SELECT {run} AS run, id, a.name, mode, ask, coalesce(f.price_twd, w.price_twd) AS price_twd, f.volume, CASE WHEN f.item = a.name THEN 'exact' WHEN f.item IS NOT NULL THEN 'fuzzy' ELSE 'quotes' END AS match_kind
+    FROM a{run} a LEFT JOIN f{run} f ON f.name = a.name AND rn = 1 LEFT JOIN w{run} w ON w.item = a.name WHERE coalesce(f.price_twd, w.price_twd) IS NOT NULL)"""
+
+
+_SCANNED = f"SELECT id, content || {_MARK} AS content, part_key % 5 = 0 AS special, {PRICE_SQL} AS said FROM ({LISTING_SQL})"
+
+
+@query(f"""WITH {TERMS_SQL}, b AS ({_NAMED_PRICES_SQL}), q AS (SELECT upper(p_name) || ' (' || {_WEAR_EN} || ')' AS item, p_retailprice * 3 AS price FROM part WHERE p_size % 2 = 1),
+  {_scan_sql(1, _SCANNED + " WHERE part_key % 2 = 0", "SELECT * FROM b WHERE length(item) % 2 = 0")},
+  {_scan_sql(2, _SCANNED + " WHERE part_key % 2 <> 0", "SELECT * FROM t1 UNION ALL SELECT item, price_twd, NULL FROM w1")},
+  s AS (SELECT *, (price_twd * 0.985::DOUBLE - ask) / ask * 100 AS margin FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2))
+  SELECT run, id, name, mode, ask, price_twd, volume, match_kind, round(margin, 6) AS margin FROM s WHERE margin > 5 AND (volume > 50 OR volume IS NULL)""")
+def scan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over the listings, the second over all of them: dictionaries, exact, fuzzy and fallback prices with write-back, deals and processed ids stored."""
+    mark = F.when(F.col("part_key") % 5 == 0, " 暗金").otherwise("")
+    listings = listing_text(spark, sf_dir).select("id", F.concat("content", mark).alias("content"), "part_key")
+    known = VersionedTable(spark, new_folder(spark, "prices"), "item string, price_twd double, volume long, last_updated timestamp")
+    base = canonical_prices(spark, sf_dir).filter(F.length("item") % 2 == 0)
+    known.merge(base.withColumn("last_updated", F.lit("2000-01-01").cast("timestamp")), ["last_updated"])
+    wear = X.wear_to_en(F.get(F.array(*map(F.lit, LISTED_WEARS)), (F.col("p_partkey") % 6).cast("int")))
+    quotes = table(spark, sf_dir, "part").filter("p_size % 2 = 1").select(F.concat(F.upper("p_name"), F.lit(" ("), wear, F.lit(")")).alias("item"), (F.col("p_retailprice") * 3).alias("price_twd"))
+    source, folder = ("quotes", lambda missed: quotes.join(missed, "item", "left_semi")), new_folder(spark, "scan")
+    seen = (listings.filter("part_key % 2 = 0"), listings)
+    runs = [scan(df.select("id", "content"), folder, k, *dictionaries(spark, sf_dir), known, [source]).withColumn("run", F.lit(k)) for k, df in enumerate(seen, 1)]
+    return runs[0].unionByName(runs[1]).select("run", "id", "name", "mode", "ask", "price_twd", "volume", "match_kind", F.round("margin", 6).alias("margin"))

@@ -64,10 +64,10 @@ def write_catalogue(catalogue: DataFrame, folder: str, block: Column, order: str
     arrays.repartitionByRange(n, "__b").sortWithinPartitions("lang", "__b").select("lang", "value").write.partitionBy("lang").text(folder)
 
 
-def read_processed(spark: SparkSession, path: str) -> DataFrame:
-    """id of all listings that earlier runs have handled; none before the first run."""
+def read_processed(spark: SparkSession, path: str, but_run: int = -1) -> DataFrame:
+    """id of all listings that runs other than ``but_run`` have handled; none before the first run."""
     try:
-        return spark.read.schema("id string, run int").parquet(path).select("id").distinct()
+        return spark.read.schema("id string, run int").parquet(path).filter(F.col("run") != but_run).select("id").distinct()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -82,3 +82,28 @@ def test_catalogues_with_places(spark, tmp_path):
                     ("full", "枪 | Four", "Gun | Four", 3), ("pattern", "一", "One", 2), ("pattern", "二", "Two", 2), ("pattern", "一", "One", 3)}
     stored = terms.stored_terms(terms.merge_terms(terms.catalogue_terms(got, {"zh-CN": 2, "zh-TW": 3})), {2: "cn", 3: "tw"}).collect()
     assert sorted((r.kind, r.ord, r.term) for r in stored) == [("full", 0, "枪 | 一"), ("full", 1, "枪 | 二"), ("full", 2, "枪 | Four"), ("pattern", 0, "一"), ("pattern", 1, "二")]
+
+
+def test_scan_of_the_sample_listings(spark, tmp_path):
+    """Six listings of a feed from text to stored deal, over two runs, the second repeated: exact, fuzzy and fallback prices, no name, no price, hardly traded."""
+    from stallkeeper.operators.scan import scan
+
+    texts = [("s1", "【售】火蛇 略有磨损 算9,200 TWD"), ("s2", "賣 咆哮 久經沙場 =3000 TWD http://h.example/p/001"), ("s3", "售 暗金 火蛇 FN 賣 1000 TWD"), ("s4", "收 紅線 FT 賣 500"),
+             ("s5", "沒有名字 賣 800 TWD"), ("s6", "售 龍王 FN 賣 700 TWD")]
+    full = spark.createDataFrame([("火蛇", "AK-47 | Fire Serpent", 0), ("咆哮", "M4A4 | Howl", 1), ("龍王", "M4A1-S | Dragon", 2)], "term string, target string, ord int")
+    patterns = spark.createDataFrame([("紅線", "Redline", 0)], "term string, target string, ord int")
+    table = VersionedTable(spark, str(tmp_path / "prices"), "item string, price_twd double, volume long, last_updated timestamp", buckets=4)
+    known = [("AK-47 | Fire Serpent (Minimal Wear)", 10000.0, 100), ("StatTrak™ AK-47 | Fire Serpent (Factory New)", 9999.0, 3), ("AK-47 | Redline (Field-Tested)", 3000.0, 900)]
+    table.merge(spark.createDataFrame(known, "item string, price_twd double, volume long").withColumn("last_updated", F.lit("2020-01-01").cast("timestamp")), ["last_updated"])
+    quotes = spark.createDataFrame([("M4A4 | Howl (Field-Tested)", 4000.0), ("x", 1.0)], "item string, price_twd double")
+    run = lambda k, rows: {r.id: r for r in scan(spark.createDataFrame(rows, "id string, content string"), str(tmp_path / "scan"), k, full, patterns, table, [("second", lambda missed: quotes)]).collect()}
+    first = run(1, texts[:2])
+    assert (first["s1"].match_kind, first["s1"].price_twd, first["s1"].volume, round(first["s1"].profit, 6)) == ("exact", 10000.0, 100, 650.0)
+    assert (first["s2"].match_kind, first["s2"].price_twd, first["s2"].volume) == ("second", 4000.0, None) and set(first) == {"s1", "s2"}
+    for _ in range(2):  # the repeated run changes nothing
+        second = run(2, texts)
+        assert set(second) == {"s4"} and second["s4"].match_kind == "fuzzy" and second["s4"].ask == 2250.0 and second["s4"].name == "Redline (Field-Tested)"
+        stored = spark.read.parquet(str(tmp_path / "scan/deals"))
+        assert sorted((r.id, r.run) for r in stored.collect()) == [("s1", 1), ("s2", 1), ("s4", 2)]
+        assert {r.item: r.price_twd for r in table.read().collect()} == {n: p for n, p, _ in known} | {"M4A4 | Howl (Field-Tested)": 4000.0}
+        assert sorted(r.id for r in readers.read_processed(spark, str(tmp_path / "scan/processed")).collect()) == ["s1", "s2", "s3", "s4", "s5", "s6"]

@@ -47,7 +47,7 @@ def read_catalogue(spark: SparkSession, folder: str, whole_files: bool = True) -
     A value is an array of objects with id and name, one such object, or an object with names, or objects with a name, by id. ``pos`` is the
     place of an entry: file, block, line, entry.
     """
-    lines = spark.read.schema("value string, lang string").option("wholetext", whole_files).text(folder)
+    lines = spark.read.schema("value string, lang string").text(folder, wholetext=whole_files)
     lines = lines.select("lang", F.col("value").alias("body"), placed(lines).alias("place"))
     rows = json_entries(lines, "body")
     of = lambda path: F.try_variant_get("entry_value", path, "string")

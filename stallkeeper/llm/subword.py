@@ -68,42 +68,43 @@ class SubwordModel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
 
-    def rows_of(self, parts: list[str], count: Callable[[list[str]], np.ndarray] | None) -> np.ndarray:
-        """For each part: sums of its features for each class, numbers of features and of words, and ``count`` of it."""
+    def rows_of(self, parts: list[str], count: Callable[[list[str]], np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        """For each part: sums of its features for each class, numbers of features and of words; and ``count`` of it, exactly."""
         split = [p.split() for p in parts]
         words = [w for ws in split for w in ws]
         owner = np.repeat(np.arange(len(parts)), [len(ws) for ws in split])
         found, of = word_features(words, self.table.shape[1])
         of = owner[of]
         sums = [np.bincount(of, row[found], len(parts)) for row in self.table] + [np.bincount(x, minlength=len(parts)) for x in (of, owner)]
-        return np.stack(sums + ([count(parts)] if count else []), axis=1).astype(np.float64)  # counts are whole numbers up to 2 ** 53
+        return np.stack(sums, axis=1).astype(np.float32), np.asarray(count(parts), np.int64) if count else np.zeros(len(parts), np.int64)
 
-    def learnt(self, parts: list[str], count: Callable[[list[str]], np.ndarray] | None) -> np.ndarray:
+    def learnt(self, parts: list[str], count: Callable[[list[str]], np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
         """``rows_of`` of distinct parts; only those not met before are read."""
-        width = len(self.classes) + 2 + (count is not None)
-        ids, rows = self.known.pop(width, None) or ({}, np.zeros((0, width)))
+        width, counted = len(self.classes) + 2, count is not None
+        ids, rows, counts = self.known.pop(counted, None) or ({}, np.zeros((0, width), np.float32), np.zeros(0, np.int64))
         at = np.array([ids.get(p, -1) for p in parts], np.int64)
-        out = np.empty((len(parts), width))
-        out[at >= 0] = rows[at[at >= 0]]
-        new = [parts[i] for i in np.flatnonzero(at < 0)]
+        out, told, old = np.empty((len(parts), width), np.float32), np.empty(len(parts), np.int64), at >= 0
+        out[old], told[old] = rows[at[old]], counts[at[old]]
+        new = [parts[i] for i in np.flatnonzero(~old)]
         if new:
-            out[at < 0] = fresh = self.rows_of(new, count)
+            out[~old], told[~old] = fresh, more = self.rows_of(new, count)
             short = np.fromiter((len(p) <= PART for p in new), bool, len(new))
-            new, fresh = [p for p, s in zip(new, short) if s], fresh[short]
+            if not short.all():
+                new, fresh, more = [p for p, s in zip(new, short) if s], fresh[short], more[short]
             if len(ids) + len(new) > self.words:
-                ids, rows = dict(islice(ids.items(), self.words // 2)), rows[: self.words // 2]
+                ids, rows, counts = dict(islice(ids.items(), self.words // 2)), rows[: self.words // 2], counts[: self.words // 2]
             if len(ids) + len(new) <= self.words:
                 ids.update(zip(new, range(len(ids), len(ids) + len(new))))
-                rows = np.concatenate([rows, fresh])
-        self.known = {width: (ids, rows)}
-        return out
+                rows, counts = np.concatenate([rows, fresh]), np.concatenate([counts, more])
+        self.known = {counted: (ids, rows, counts)}
+        return out, told
 
     def read(self, texts: pa.Array, count: Callable[[list[str]], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """(class probabilities of each text, sums of ``count`` over its parts); a text without words has the probabilities of the bias alone."""
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
         codes, size = coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
-        rows = self.learnt(coded.dictionary.to_pylist(), count)
+        rows, counts = self.learnt(coded.dictionary.to_pylist(), count)
         start, k = np.cumsum(size) - size, len(self.classes)  # every text has a part, the empty one if no other
         sums = [np.add.reduceat(np.ascontiguousarray(c).take(codes), start, dtype=np.float64) for c in rows.T] if len(size) else [np.zeros(0)] * rows.shape[1]
         total = np.stack(sums, axis=1)
@@ -114,7 +115,8 @@ class SubwordModel:
         some = words > 0
         out[some] += (total[some, :k] + same[some, None] * self.table[:, SAME]) / (total[some, k] + words[some] - 1)[:, None]
         out = np.exp(out - out.max(1, keepdims=True))
-        return out / out.sum(1, keepdims=True), total[:, k + 2] if count else None
+        told = np.add.reduceat(counts.take(codes), start) if len(size) else np.zeros(0, np.int64)
+        return out / out.sum(1, keepdims=True), told if count else None
 
     def posteriors(self, texts: list[str] | pa.Array) -> np.ndarray:
         """Class probabilities of each text, (texts, classes)."""

@@ -324,10 +324,10 @@ def test_cache_of_texts_without_spaces():
     first = model.posteriors(texts[:100])
     for at in range(0, len(texts), 2000):
         model.posteriors(texts[at : at + 2000])
-    assert all(not ids for ids, _ in model.known.values())  # nothing is kept of them
+    assert all(not ids for ids, *_ in model.known.values())  # nothing is kept of them
     assert np.array_equal(model.posteriors(texts[:100]), first)
     model.posteriors([" ".join(f"w{i}" for i in range(at, at + 1000)) for at in range(0, 300_000, 1000)])
-    (ids, rows), = model.known.values()
+    (ids, rows, _), = model.known.values()
     assert len(ids) == len(rows) <= model.words and sum(map(len, ids)) <= model.words * subword.PART
     counted = model.read(np_array(["x y", "z"]), lambda parts: np.array([40_000_001] * len(parts)))[1]
     assert counted.tolist() == [80_000_002, 40_000_001]

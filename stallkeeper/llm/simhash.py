@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import delete, id_and_text, new_folder, pieces, staged
@@ -274,16 +274,38 @@ def content_filter(contents: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def leader_links(keys: DataFrame, sets: DataFrame, similarity: float, bands: int) -> DataFrame:
+    """(a, b): the contents of ``keys`` (c, n, band, low, low_n) that have at least that Jaccard index with the first content of their key, in the first ``bands`` bands.
+
+    Every pair is compared once, by ``sets`` (c, s). A hot first content is the hot key of one join, which AQE splits.
+    """
+    near = F.least("n", "low_n") >= similarity * F.greatest("n", "low_n") - 1e-9
+    pairs = keys.filter((F.col("band") < bands) & (F.col("c") != F.col("low"))).filter(near).select("c", "n", "low", "low_n").distinct()
+    both = pairs.join(sets, "c").join(sets.select(F.col("c").alias("low"), F.col("s").alias("t")), "low")
+    common = F.size(F.array_intersect("s", "t"))
+    return both.filter(common / (F.col("n") + F.col("low_n") - common) >= similarity).select(F.col("c").alias("a"), F.col("low").alias("b"))
+
+
+def open_keys(keys: DataFrame, roots: DataFrame, part: int) -> DataFrame:
+    """(g, c, parts): the members of keys that ``roots`` (node, root) leaves in more than one piece; of keys with the same members one."""
+    rows = keys.select("key", "c", "n").distinct().join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    members = [F.count("*").alias("of"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(2))).alias("y")]
+    sized = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("n"), *members).filter("low < high")
+    once = sized.groupBy("of", "x", "y").agg(F.min("key").alias("key"), F.min("n").alias("n"))
+    return rows.select("key", "c").join(once.select("key", F.ceil(F.col("n") / part).cast("int").alias("parts")), "key").withColumnRenamed("key", "g")
+
+
 def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-               rows: int = 6, bands: int = 45, part: int = 1_000_000, bits: int = 1 << 25) -> tuple[DataFrame, DataFrame]:
+               rows: int = 6, bands: int = 45, part: int = 1_000_000, bits: int = 1 << 25, leaders: int = 5) -> tuple[DataFrame, DataFrame]:
     """(doc_id, c) of every row, c its content, and (c, root): equal roots for contents joined by chains of pairs whose shingle
     sets have at least that Jaccard index. Contents like no other have no root.
 
-    Contents that share a key (``band_keys``), at whatever similarity, are a group: close pairs lie in one group. All members of a group are
-    compared by their whole sets in one task (``set_links``); a group of more than ``part`` shingles is split into parts, and
-    every two parts are compared by a task of their own. Only sets that a filter of ``bits`` lets through, which knows the groups'
-    contents, are shuffled. Texts with equal sets are one node; texts without words are alike. A SimHash of 64 bits can't do this: at an
-    index of 0.8 about ten of its bits differ.
+    Close pairs share a key (``band_keys``). In the first ``leaders`` bands the contents of a key are compared with its first one
+    (``leader_links``), which joins most near copies in time linear in their number. Keys whose contents are still in more than one piece
+    then have all their contents compared by whole sets (``set_links``), each key in one task; a key of more than ``part`` shingles is split into parts, and
+    every two parts are compared by a task of their own. Only compared pairs join contents: keys shared by chance join nothing. Sets are shuffled only
+    if a filter of ``bits``, which knows the contents with shared keys, lets them through. Texts with equal sets are one node; texts
+    without words are alike. A SimHash of 64 bits can't do this: at an index of 0.8 about ten of its bits differ.
     """
     texts = id_and_text(docs, id_col, text_col)
     kind = texts.schema["doc_id"].dataType.simpleString()
@@ -300,18 +322,16 @@ def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 seen.add(c)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cs, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "c", "n", "keys"])
 
+    spark = docs.sparkSession
+    key_path, set_path = new_folder(spark, "near-keys"), new_folder(spark, "near-sets")
     found = staged(texts.mapInArrow(prints, f"doc_id {kind}, c long, n long, keys array<long>"), "prints")
-    keyed = found.select("c", F.explode("keys").alias("key"))
-    joined = keyed.select("c", F.min("c").over(Window.partitionBy("key")).alias("low")).filter("c <> low").distinct()
-    groups = components(joined.select(F.col("c").alias("a"), F.col("low").alias("b")))
-    groups = groups.union(groups.select("root", "root").distinct()).toDF("c", "g")
-    spark, path = docs.sparkSession, new_folder(docs.sparkSession, "near-groups")
-    groups = staged(groups.join(found.filter("keys is not null").select("c", "n").distinct(), "c"), "near-groups", path)
-    parts = groups.groupBy("g").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts")).filter("parts > 1")
-    members = groups.join(parts, "g", "left").select("c", "g", F.coalesce("parts", F.lit(1)).alias("parts"))
+    keyed = found.select("c", "n", F.posexplode("keys").alias("band", "key"))
+    shared = keyed.groupBy("key").agg(F.min(F.struct("c", "n")).alias("low"), F.max("c").alias("high")).filter("low.c < high")
+    keys = staged(keyed.join(shared.select("key", F.col("low.c").alias("low"), F.col("low.n").alias("low_n")), "key"), "near-keys", key_path)
+    members = keys.select("c").distinct()
     mask = spark.sparkContext.broadcast(content_filter(members, bits).tobytes())
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, seen = np.frombuffer(mask.value, np.uint64), set()
         for b in pieces(batches):
             cs, ss = [], []
@@ -324,12 +344,16 @@ def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ss.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(ss, pa.list_(pa.int64()))], ["c", "s"])
 
-    whole = texts.select("text").mapInArrow(sets, "c long, s array<long>").groupBy("c").agg(F.first("s").alias("s")).join(members, "c")
+    sets = texts.select("text").mapInArrow(whole, "c long, s array<long>").groupBy("c").agg(F.first("s").alias("s"))
+    sets = staged(sets.join(members, "c", "left_semi"), "near-sets", set_path)
+    joined = components(leader_links(keys, sets, similarity, leaders))
+    compared = open_keys(keys, joined, part).join(sets, "c")
     mine = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least(q, mine).alias("i"), F.greatest(q, mine).alias("j")))
-    dealt = whole.select("g", "c", "s", F.explode(pairs).alias("p")).select("g", "p.i", "p.j", "c", "s")
-    roots = components(group_links(dealt, similarity)).withColumnRenamed("node", "c")
-    delete(spark, path)
+    dealt = compared.select("g", "c", "s", F.explode(pairs).alias("p")).select("g", "p.i", "p.j", "c", "s")
+    roots = components(group_links(dealt, similarity).union(joined.select("node", "root"))).withColumnRenamed("node", "c")
+    delete(spark, key_path)
+    delete(spark, set_path)
     return found.select("doc_id", "c"), roots
 
 

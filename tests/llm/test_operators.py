@@ -773,3 +773,15 @@ def test_plan_is_brute_force(spark, tmp_path, seed):
     for name, k in store.plan().items():
         got.setdefault(k, set()).add(name)
     assert set(map(frozenset, got.values())) == want
+
+
+def test_leaders_join_and_only_open_keys_are_left(spark):
+    sets = spark.createDataFrame([(1, list(range(10))), (2, list(range(9))), (3, list(range(100, 110))), (4, list(range(100, 109)))], "c long, s array<long>")
+    #  key 10: 1, 2 are near; key 11: 1, 3 aren't; keys 12 and 13 hold 3, 4, but in bands without leaders; key 14 is joined by leaders
+    rows = [(1, 10, 0, 10, 1, 10), (2, 9, 0, 10, 1, 10), (1, 10, 1, 11, 1, 10), (3, 10, 1, 11, 1, 10), (3, 10, 7, 12, 3, 10), (4, 9, 7, 12, 3, 10), (3, 10, 8, 13, 3, 10), (4, 9, 8, 13, 3, 10),
+            (1, 10, 9, 14, 1, 10), (2, 9, 9, 14, 1, 10)]
+    keys = spark.createDataFrame([*rows, rows[0]], "c long, n long, band int, key long, low long, low_n long")
+    links = simhash.leader_links(keys, sets, 0.8, 5)
+    assert [tuple(r) for r in links.collect()] == [(2, 1)]
+    left = simhash.open_keys(keys, links.toDF("node", "root"), 15)
+    assert sorted(tuple(r) for r in left.collect()) == [(11, 1, 2), (11, 3, 2), (12, 3, 2), (12, 4, 2)]

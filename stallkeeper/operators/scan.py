@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.readers import append_processed, read_processed
+from ..sources.processed import ProcessedIds
 from ..sources.versioned import VersionedTable
 from ..staging import staged
 from .deals import named_listings, new_listings, score, screen
@@ -25,7 +25,8 @@ def scan(listings: DataFrame, folder: str, run: int, full: DataFrame, patterns:
     table and the processed ids as they were before it, and replaces what it wrote.
     """
     spark, version = listings.sparkSession, prices.before(WRITER, run)
-    new = staged(new_listings(listings, read_processed(spark, f"{folder}/processed", run)), "new")
+    processed = ProcessedIds(spark, f"{folder}/processed")
+    new = staged(new_listings(listings, processed.seen(listings, run)), "new")
     asked = staged(named_listings(new, full, patterns).select("id", "name", "mode", "ask"), "asked")
     matched = staged(match_price(asked, prices.read(version)), "matched")
     found = F.col("price_twd").isNotNull()
@@ -34,5 +35,5 @@ def scan(listings: DataFrame, folder: str, run: int, full: DataFrame, patterns:
     deals = screen(score(rows.filter("price_twd is not null")), min_margin, min_volume, allow_unknown_volume=True)
     path = f"{folder}/deals/run={run}"
     deals.write.mode("overwrite").parquet(path)
-    append_processed(new, f"{folder}/processed", run)
+    processed.append(new, run)
     return spark.read.schema(deals.schema).parquet(path)

@@ -15,6 +15,7 @@ from ..operators import deals, prices
 from ..operators.scan import scan
 from ..operators.common import keep_last, latest, number_rows
 from ..sources import readers
+from ..sources.processed import ProcessedIds
 from ..sources.schemas import DEALS
 from ..sources.versioned import VersionedTable
 from ..staging import new_folder, staged, table
@@ -331,12 +332,12 @@ def price_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS run, count(*) AS n FROM orders GROUP BY 1, 2""")
 def scan_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over the orders: each handles those that no run before it has stored as processed, then stores them."""
-    path = new_folder(spark, "processed")
+    store = ProcessedIds(spark, new_folder(spark, "processed"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_orderkey")
     handled = []
     for run, seen in ((1, orders.filter("o_orderkey % 3 = 0")), (2, orders)):
-        new = staged(deals.new_listings(seen, readers.read_processed(spark, path)).withColumn("run", F.lit(run)), "run")
-        readers.append_processed(new, path, run)
+        new = staged(deals.new_listings(seen, store.seen(seen)).withColumn("run", F.lit(run)), "run")
+        store.append(new, run)
         handled.append(new)
     return handled[0].unionByName(handled[1]).groupBy("id", "run").agg(F.count("*").alias("n"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stallkeeper.operators import prices, terms
 from stallkeeper.operators.asof import asof
 from stallkeeper.sources import readers
+from stallkeeper.sources.processed import ProcessedIds
 from stallkeeper.sources.versioned import VersionedTable
 
 
@@ -106,4 +107,4 @@ def test_scan_of_the_sample_listings(spark, tmp_path):
         stored = spark.read.parquet(str(tmp_path / "scan/deals"))
         assert sorted((r.id, r.run) for r in stored.collect()) == [("s1", 1), ("s2", 1), ("s4", 2)]
         assert {r.item: r.price_twd for r in table.read().collect()} == {n: p for n, p, _ in known} | {"M4A4 | Howl (Field-Tested)": 4000.0}
-        assert sorted(r.id for r in readers.read_processed(spark, str(tmp_path / "scan/processed")).collect()) == ["s1", "s2", "s3", "s4", "s5", "s6"]
+        assert sorted(r.id for r in ProcessedIds(spark, str(tmp_path / "scan/processed")).ids().collect()) == ["s1", "s2", "s3", "s4", "s5", "s6"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,11 @@ def own_runs(text: Column, gram: int) -> Column:
 
 
 def rarest_run(terms: DataFrame, col: str, counts: DataFrame, gram: int) -> DataFrame:
-    """``terms`` with __g: of the runs of ``col`` the one with the least n in ``counts`` (__g, n); terms with a run that it lacks are left out."""
+    """``terms`` with __g, n: of the runs of ``col`` the one with the least n in ``counts`` (__g, n); terms with a run that it lacks are left out."""
     mine = terms.select(F.col(col).alias("__t")).distinct().withColumn("__runs", own_runs(F.col("__t"), gram))
     met = mine.select("__t", F.size("__runs").alias("__size"), F.explode("__runs").alias("__g")).join(counts, "__g")
-    best = met.groupBy("__t", "__size").agg(F.min_by("__g", F.struct("n", "__g")).alias("__g"), F.count("*").alias("__met"))
-    return terms.join(best.filter("__met = __size").select("__t", "__g"), F.col(col) == F.col("__t")).drop("__t")
+    best = met.groupBy("__t", "__size").agg(F.min_by("__g", F.struct("n", "__g")).alias("__g"), F.min("n").alias("n"), F.count("*").alias("__met"))
+    return terms.join(best.filter("__met = __size").select("__t", "__g", "n"), F.col(col) == F.col("__t")).drop("__t")
 
 
 #: Run lengths and strides by the least length of a term: a text's runs are taken at every stride-th character, a term's at as many neighbouring ones.
@@ -135,15 +136,32 @@ def joined_terms(texts: DataFrame, terms: DataFrame, text_col: str, order: list[
     return found.join(heads, "__row").join(terms, "__k").select(*rest, "term", *names)
 
 
-def shortest_holder(names: DataFrame, texts: DataFrame, gram: int = 5) -> DataFrame:
+#: Names under a run, times the texts that have it: up to so many are compared, beyond it the names are looked for under longer runs.
+MOST_PAIRS = 10_000_000
+
+
+def shortest_holder(names: DataFrame, texts: DataFrame, gram: int = 5, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """__a, __b of the shortest, then least text (``texts``: __b) that contains each name (``names``: __a, distinct and not empty).
 
-    A name is looked for under the run of its that the fewest texts have, so a common run costs nothing unless a name has no other.
+    A name no longer than ``gram`` is a run itself: the least text of each run answers it, without pairs. A longer one is compared with the texts that have
+    the run of its that the fewest texts have. If all names under a run and its texts would make more than ``most_pairs``, those names go on with runs twice
+    as long, among the texts with such a run, until they are runs themselves; so a run shared by all costs one more pass, never its pairs.
     """
-    lengths = run_lengths(names, "__a", gram)
-    if not lengths:
-        return names.select("__a", F.lit(None).cast("string").alias("__b")).limit(0)
-    indexed = texts.select("__b").distinct().select("__b", F.explode(all_runs(F.col("__b"), lengths)).alias("__g"))
-    counts = indexed.groupBy("__g").agg(F.count("*").alias("n"))
-    met = rarest_run(names, "__a", counts, gram).join(indexed, "__g").filter(F.col("__b").contains(F.col("__a")))
-    return met.groupBy("__a").agg(F.min_by("__b", F.struct(F.length("__b"), "__b")).alias("__b"))
+    shape, found = names.select("__a", F.lit(None).cast("string").alias("__b")).limit(0), []
+    names, texts = names.select("__a"), texts.select("__b").distinct()
+    while lengths := run_lengths(names, "__a", gram):
+        indexed = texts.select("__b", F.explode(all_runs(F.col("__b"), lengths)).alias("__g"))
+        least = indexed.groupBy("__g").agg(F.count("*").alias("n"), F.min_by("__b", F.struct(F.length("__b"), "__b")).alias("__b"))
+        found.append(names.join(least, F.col("__a") == F.col("__g")).select("__a", "__b"))
+        if lengths[-1] < gram:
+            break
+        picked = staged(rarest_run(names.filter(F.length("__a") > gram), "__a", least.select("__g", "n"), gram), "picked")
+        hot = picked.groupBy("__g", "n").agg(F.count("*").alias("names")).filter(F.col("names") * F.col("n") > most_pairs).select("__g")
+        met = picked.join(hot, "__g", "left_anti").drop("n").join(indexed, "__g").filter(F.col("__b").contains(F.col("__a")))
+        found.append(met.groupBy("__a").agg(F.min_by("__b", F.struct(F.length("__b"), "__b")).alias("__b")))
+        if hot.isEmpty():
+            break
+        names = staged(picked.join(hot, "__g", "left_semi").select("__a"), "names")
+        texts = staged(texts.join(indexed.join(hot, "__g", "left_semi").select("__b").distinct(), "__b", "left_semi"), "texts")
+        gram *= 2
+    return reduce(DataFrame.unionByName, found, shape)

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +54,18 @@ def split_json(df: DataFrame, body: str = "body") -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("pos", T.IntegerType()), T.StructField("obj", T.StringType())]))
 
 
+class SplitJson:
+    """``json_objects`` as a table function: pos, obj of each object of a string."""
+
+    def eval(self, body: str | None) -> Iterator[tuple[int, str]]:
+        yield from enumerate(json_objects(body))
+
+
+def register_split_json(spark: SparkSession, name: str = "split_json") -> None:
+    """Make ``SplitJson`` a table function of SQL: SELECT ... FROM t, LATERAL split_json(t.body). Null and other bodies without objects give no rows."""
+    spark.udtf.register(name, F.udtf(SplitJson, returnType="pos int, obj string"))
+
+
 def feed_bodies(df: DataFrame, body: str = "body") -> DataFrame:
     return df.filter(F.col(body).contains("group_feed") & F.col(body).contains("edges"))
 

@@ -27,6 +27,14 @@ def concat_json_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.withColumn("o", F.from_json("obj", "turn bigint, role string, text string")).select("conv_id", "o.turn", "o.role", "o.text")
 
 
+@query("SELECT conv_id, turn, role, length(text) AS chars FROM conversations")
+def concat_json_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split as a table function that SQL calls for each row."""
+    feed.register_split_json(spark)
+    return spark.sql("""SELECT conv_id, o.turn, o.role, length(o.text) AS chars FROM (
+        SELECT b.conv_id, from_json(s.obj, 'turn bigint, role string, text string') AS o FROM {bodies} b, LATERAL split_json(b.body) s)""", bodies=conversation_bodies(spark, sf_dir))
+
+
 @query("""SELECT 'c' || conv_id || '_' || turn AS id, role AS author, text, CASE WHEN turn % 2 = 0 THEN 'http://x/' || turn || '.png' ELSE '' END AS image, CASE WHEN turn % 3 = 0 THEN 'c' || conv_id || '_' || turn || '_item0' ELSE 'c' || conv_id || '_' || turn END AS listing_id,
   CASE WHEN turn % 3 = 0 THEN role END AS item_name FROM conversations WHERE role <> 'system' AND turn % 5 <> 4""")
 def feed_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from stallkeeper.operators import prices, terms
+from stallkeeper.operators import feed, prices, terms
 from stallkeeper.operators.asof import asof
+from stallkeeper.operators.containment import shortest_holder
 from stallkeeper.sources import readers
 from stallkeeper.sources.processed import ProcessedIds
 from stallkeeper.sources.versioned import VersionedTable
@@ -108,3 +109,24 @@ def test_scan_of_the_sample_listings(spark, tmp_path):
         assert sorted((r.id, r.run) for r in stored.collect()) == [("s1", 1), ("s2", 1), ("s4", 2)]
         assert {r.item: r.price_twd for r in table.read().collect()} == {n: p for n, p, _ in known} | {"M4A4 | Howl (Field-Tested)": 4000.0}
         assert sorted(r.id for r in ProcessedIds(spark, str(tmp_path / "scan/processed")).ids().collect()) == ["s1", "s2", "s3", "s4", "s5", "s6"]
+
+
+@pytest.mark.parametrize("most_pairs", [0, 40, 10_000_000])
+def test_names_that_share_their_runs(spark, most_pairs):
+    """Every name and text has the same run of five; the shortest holder is that of brute force whatever the bound."""
+    rng = random.Random(9)
+    texts = sorted({"aaaaa" + "".join(rng.choice("ab") for _ in range(rng.randrange(30))) for _ in range(150)})
+    names = sorted({t[i : i + rng.randrange(1, 26)] for t in texts[::3] for i in (0, 3, 9) if t[i:]} | {"aaaaaa", "b", "bbbbbbbbbbbbbbbbbbbb", "c", "aaaaac"})
+    want = [(n, min((t for t in texts if n in t), key=lambda t: (len(t), t))) for n in names if any(n in t for t in texts)]
+    got = shortest_holder(spark.createDataFrame([(n,) for n in names], "__a string"), spark.createDataFrame([(t,) for t in [*texts, texts[0]]], "__b string"), most_pairs=most_pairs)
+    assert sorted((r["__a"], r["__b"]) for r in got.collect()) == want
+
+
+def test_split_json_in_sql(spark):
+    """The table function gives what the operator gives, and keeps null and empty bodies out."""
+    bodies = [(1, '{"a": 1}\n{"b": [2]} {"c"'), (2, None), (3, ""), (4, " {}"), (5, "[1] 2 x {}"), (6, '{"a": 1}')]
+    df = spark.createDataFrame(bodies, "k int, body string")
+    feed.register_split_json(spark)
+    got = spark.sql("SELECT k, pos, obj FROM {t} t, LATERAL split_json(t.body)", t=df)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, feed.split_json(df).select("k", "pos", "obj").collect()))
+    assert got.count() == 5

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.text import falsy_coalesce, strip
 from .schemas import CANDIDATES, DEALS, PRICES, TERMS, USD_QUOTE, WATCHLIST
@@ -18,6 +19,44 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PRICES).parquet(path)
 
 
+def quoted_columns(spark: SparkSession, url: str, table: DataFrame) -> dict[str, str]:
+    """Lower-case name -> the name as the database writes and quotes it, of the columns of a table read from it."""
+    dialect = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url)
+    return {c.lower(): dialect.quoteIdentifier(c) for c in table.columns}
+
+
+def read_prices_jdbc(spark: SparkSession, url: str, table: str, column: str = "last_updated", rows_a_task: int = 1_000_000, most_tasks: int = 64, **options: str) -> DataFrame:
+    """A price table of a database. Filters and the choice of columns are worked out there; several tasks read ranges of ``column``.
+
+    ``column`` is a number, date or timestamp; the database gives its least and greatest value and the number of rows, from which come as many
+    ranges of the same width as ``rows_a_task`` asks for, ``most_tasks`` (connections) at most. Nulls are in the first range. ``table`` is a name
+    or a subquery with an alias.
+    """
+    source = lambda **more: spark.read.format("jdbc").options(url=url, **options, **more)
+    by = quoted_columns(spark, url, source(dbtable=table).load())[column.lower()]
+    ends = source(query=f"SELECT min({by}) AS lo, max({by}) AS hi, count(*) AS n FROM {table}").load()
+    whole = isinstance(ends.schema[0].dataType, NumericType)
+    text = lambda c, round_: (round_(F.col(c)).cast("bigint") if whole else F.col(c)).cast("string")
+    lo, hi, n = ends.select(text("lo", F.floor), text("hi", F.ceil), "n").first()
+    tasks = min(most_tasks, -(-n // rows_a_task))
+    ranges = dict(partitionColumn=column, lowerBound=lo, upperBound=hi, numPartitions=tasks) if tasks > 1 and lo is not None and lo != hi else {}
+    return source(dbtable=table, customSchema=PRICES, **ranges).load().select(*[F.col(c).alias(c) for c in PRICES.names])
+
+
+def best_prices_jdbc(spark: SparkSession, url: str, table: str, n: int, **options: str) -> DataFrame:
+    """The ``n`` dearest items, then by name, sorted and cut by the database."""
+    source = lambda part: spark.read.format("jdbc").options(url=url, dbtable=part, customSchema=PRICES, **options).load()
+    named = quoted_columns(spark, url, source(table))
+    best = f"SELECT {', '.join(named[c] for c in PRICES.names)} FROM {table} ORDER BY {named['price_twd']} DESC NULLS LAST, {named['item']} FETCH FIRST {int(n)} ROWS ONLY"
+    return source(f"({best}) best").select(*[F.col(c).alias(c) for c in PRICES.names])
+
+
+def write_prices_jdbc(prices: DataFrame, url: str, table: str, most_tasks: int = 16, **options: str) -> None:
+    """Replace the rows of a price table, which is made if it isn't there; up to ``most_tasks`` connections insert in batches."""
+    out = prices.select(PRICES.names).write.format("jdbc").options(url=url, dbtable=table, numPartitions=most_tasks, truncate="true", **options)
+    out.option("createTableColumnTypes", "item VARCHAR(512)").mode("overwrite").save()
+
+
 def create_prices(spark: SparkSession, name: str, path: str | None = None) -> None:
     """Create the price table if it isn't there, in the warehouse or under ``path``."""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({PRICES}) USING parquet" + (f" LOCATION '{path}'" if path else ""))

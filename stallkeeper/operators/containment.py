@@ -24,11 +24,6 @@ def runs(text: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
-def run_lengths(df: DataFrame, col: str, gram: int) -> list[int]:
-    """The lengths of the runs that ``df``'s texts are found by: theirs, ``gram`` at most; so no more than ``gram`` numbers."""
-    return sorted(r[0] for r in df.select(F.least(F.length(col), F.lit(gram))).distinct().collect() if r[0])
-
-
 def all_runs(text: Column, lengths: list[int]) -> Column:
     return F.flatten(F.array(*[runs(text, n) for n in lengths]))
 
@@ -149,16 +144,20 @@ def shortest_holder(names: DataFrame, texts: DataFrame, gram: int = 5, most_pair
     """
     shape, found = names.select("__a", F.lit(None).cast("string").alias("__b")).limit(0), []
     names, texts = names.select("__a"), texts.select("__b").distinct()
-    while lengths := run_lengths(names, "__a", gram):
-        indexed = texts.select("__b", F.explode(all_runs(F.col("__b"), lengths)).alias("__g"))
-        least = indexed.groupBy("__g").agg(F.count("*").alias("n"), F.min_by("__b", F.struct(F.length("__b"), "__b")).alias("__b"))
-        found.append(names.join(least, F.col("__a") == F.col("__g")).select("__a", "__b"))
-        if lengths[-1] < gram:
+    least = F.min_by("__b", F.struct(F.length("__b"), "__b")).alias("__b")
+    while True:
+        sizes = sorted(r[0] for r in names.select(F.least(F.length("__a"), F.lit(gram + 1))).distinct().collect())  # at most gram + 1 numbers
+        index = lambda lengths: texts.select("__b", F.explode(all_runs(F.col("__b"), lengths)).alias("__g"))
+        if whole := [n for n in sizes if 0 < n <= gram]:
+            found.append(names.join(index(whole).groupBy("__g").agg(least), F.col("__a") == F.col("__g")).select("__a", "__b"))
+        if gram + 1 not in sizes:
             break
-        picked = staged(rarest_run(names.filter(F.length("__a") > gram), "__a", least.select("__g", "n"), gram), "picked")
+        indexed = index([gram])
+        counts = indexed.groupBy("__g").agg(F.count("*").alias("n"))
+        picked = staged(rarest_run(names.filter(F.length("__a") > gram), "__a", counts, gram), "picked")
         hot = picked.groupBy("__g", "n").agg(F.count("*").alias("names")).filter(F.col("names") * F.col("n") > most_pairs).select("__g")
         met = picked.join(hot, "__g", "left_anti").drop("n").join(indexed, "__g").filter(F.col("__b").contains(F.col("__a")))
-        found.append(met.groupBy("__a").agg(F.min_by("__b", F.struct(F.length("__b"), "__b")).alias("__b")))
+        found.append(met.groupBy("__a").agg(least))
         if hot.isEmpty():
             break
         names = staged(picked.join(hot, "__g", "left_semi").select("__a"), "names")

@@ -144,7 +144,8 @@ class ProcessedIds:
         folder = uuid.uuid4().hex
         to, placed = f"{self.path}/data/{folder}", kept.withColumn("shard", shard_of(shards))
         files = max(1, min(shards, shards * IDS // 1_000_000))
-        placed.repartitionByRange(files, "shard").sortWithinPartitions("shard", "id").write.option("compression", "zstd").parquet(f"{to}/ids")
+        dealt = placed.repartitionByRange(files, "shard") if files > 1 else placed.coalesce(1)
+        dealt.sortWithinPartitions("shard", "id").write.option("compression", "zstd").parquet(f"{to}/ids")
         written = self.spark.read.schema("id string, run int, shard int").parquet(f"{to}/ids")
         bits = written.select("shard", F.explode(F.array(*positions())).alias("p")).groupBy("shard").agg(F.bitmap_construct_agg("p").alias("bits"))
         bits.repartition(max(1, files // 8)).write.parquet(f"{to}/filters")

@@ -124,7 +124,7 @@ class ProcessedIds:
         segments = [s for s in segments if (s.first, s.last) != (but_run, but_run)]
         if not segments:
             return self.spark.createDataFrame([], "id string")
-        may = staged(self.candidates(ids.select("id").filter(has_id(F.col("id"))).distinct(), segments), "may-be-seen")
+        may = staged(self.candidates(ids.select(F.col("id").cast("string").alias("id")).filter(has_id(F.col("id"))).distinct(), segments), "may-be-seen")
         hit = may.select("folder", "shard").distinct().limit(MOST_SHARDS + 1).collect()
         if len(hit) > MOST_SHARDS:
             folders, shards = {r[0] for r in may.select("folder").distinct().collect()}, None  # at most one for each segment
@@ -158,7 +158,7 @@ class ProcessedIds:
 
     def append(self, ids: DataFrame, run: int) -> None:
         """Keep the ids (id) that ``run`` handled, in place of those it may have kept before; then merge what has become many."""
-        mine = self._write(ids.select("id", F.lit(run).alias("run")).filter(has_id(F.col("id"))), run, run, 0)
+        mine = self._write(ids.select(F.col("id").cast("string").alias("id"), F.lit(run).alias("run")).filter(has_id(F.col("id"))), run, run, 0)
         while True:
             number, segments = self.version()
             live = [s for s in segments if not s.first <= run <= s.last]

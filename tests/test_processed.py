@@ -43,6 +43,8 @@ def test_reads_only_what_may_hold_an_id(spark, tmp_path):
         assert told(seen) == ["1-7"]
         read.append({f.split("/data/")[1].split("/")[0] for f in seen.inputFiles() if f"{tmp_path}/data" in f})
     assert all(r == read[0] and len(r) == 1 for r in read)
+    store.append(spark.range(3), 4)  # numbers are kept as texts
+    assert told(store.seen(spark.range(5))) == ["0", "1", "2"]
     assert not any("/ids/" in f for f in store.seen(frame(spark, ["new"])).inputFiles())
 
 

@@ -16,7 +16,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of the smallest doc_id."""
+    """One document of each near-duplicate group, the one of the smallest doc_id: candidates by SimHash, then by bands of MinHashes, compared whole."""
     return simhash.keep_one(docs)
 
 

@@ -184,11 +184,10 @@ def band_keys(h: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return band.sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def content_of(text: str, shingle: int) -> tuple[int, np.ndarray]:
-    """(content, sorted set of shingle hashes) of a text; content, a signed long, is a hash of the set, 0 without words."""
+def content_of(every: list[np.ndarray]) -> tuple[int, np.ndarray]:
+    """(content, sorted set of hashes) of a text's ``shingle_hashes``; content, a signed long, is a hash of the set, 0 without words."""
     from xxhash import xxh64_intdigest
 
-    every = list(shingle_hashes(text, shingle))
     if not every:
         return 0, np.zeros(0, np.uint64)
     h = np.unique(np.concatenate(every))
@@ -295,17 +294,28 @@ def open_keys(keys: DataFrame, roots: DataFrame, part: int) -> DataFrame:
     return rows.select("key", "c").join(once.select("key", F.ceil(F.col("n") / part).cast("int").alias("parts")), "key").withColumnRenamed("key", "g")
 
 
+def print_keys(found: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """(c, n, band, key) of ``found`` (c, n, fp): equal keys, in band -1, for contents whose SimHashes are joined by chains of at most ``distance`` bits."""
+    prints = found.filter("n > 0").select("c", "n", "fp").distinct()
+    roots = components(links(prints.select("fp").distinct(), distance, blocks, 20_000)).withColumnRenamed("node", "fp")
+    key = F.xxhash64(F.coalesce("root", "fp"), F.lit("simhash"))
+    return prints.join(roots, "fp", "left").select("c", "n", F.lit(-1).alias("band"), key.alias("key"))
+
+
 def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-               rows: int = 6, bands: int = 45, part: int = 1_000_000, bits: int = 1 << 25, leaders: int = 5) -> tuple[DataFrame, DataFrame]:
+               rows: int = 6, bands: int = 45, part: int = 1_000_000, bits: int = 1 << 25, leaders: int = 5, distance: int = 3,
+               blocks: int = 6) -> tuple[DataFrame, DataFrame]:
     """(doc_id, c) of every row, c its content, and (c, root): equal roots for contents joined by chains of pairs whose shingle
     sets have at least that Jaccard index. Contents like no other have no root.
 
-    Close pairs share a key (``band_keys``). In the first ``leaders`` bands the contents of a key are compared with its first one
+    Candidates are contents that share a key: first those whose 64-bit SimHashes chains of ``distance`` bits join (``links`` and ``components``, as in
+    ``near_duplicates``), then, as at an index of 0.8 about ten of its bits differ, those that share a key of ``bands`` (``band_keys``). Among
+    contents alike by SimHash and in the first ``leaders`` bands the contents of a key are compared with its first one
     (``leader_links``), which joins most near copies in time linear in their number. Keys whose contents are still in more than one piece
     then have all their contents compared by whole sets (``set_links``), each key in one task; a key of more than ``part`` shingles is split into parts, and
     every two parts are compared by a task of their own. Only compared pairs join contents: keys shared by chance join nothing. Sets are shuffled only
     if a filter of ``bits``, which knows the contents with shared keys, lets them through. Texts with equal sets are one node; texts
-    without words are alike. A SimHash of 64 bits can't do this: at an index of 0.8 about ten of its bits differ.
+    without words are alike.
     """
     texts = id_and_text(docs, id_col, text_col)
     kind = texts.schema["doc_id"].dataType.simpleString()
@@ -313,19 +323,22 @@ def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # keys of equal contents leave a task once
         for b in pieces(batches):
-            cs, ns, keys = [], [], []
+            cs, ns, keys, fps = [], [], [], []
             for x in b.column(1):
-                c, h = content_of(x.as_py(), shingle)
+                every = list(shingle_hashes(x.as_py(), shingle))
+                c, h = content_of(every)
                 keys.append(None if c in seen or not len(h) else band_keys(h, rows, bands).view(np.int64))
                 cs.append(c)
                 ns.append(len(h))
+                fps.append(simhash64(every))
                 seen.add(c)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cs, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "c", "n", "keys"])
+            columns = [pa.array(cs, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "c", "n", "keys", "fp"])
 
     spark = docs.sparkSession
     key_path, set_path = new_folder(spark, "near-keys"), new_folder(spark, "near-sets")
-    found = staged(texts.mapInArrow(prints, f"doc_id {kind}, c long, n long, keys array<long>"), "prints")
-    keyed = found.select("c", "n", F.posexplode("keys").alias("band", "key"))
+    found = staged(texts.mapInArrow(prints, f"doc_id {kind}, c long, n long, keys array<long>, fp long"), "prints")
+    keyed = found.select("c", "n", F.posexplode("keys").alias("band", "key")).unionByName(print_keys(found, distance, blocks))
     shared = keyed.groupBy("key").agg(F.min(F.struct("c", "n")).alias("low"), F.max("c").alias("high")).filter("low.c < high")
     keys = staged(keyed.join(shared.select("key", F.col("low.c").alias("low"), F.col("low.n").alias("low_n")), "key"), "near-keys", key_path)
     members = keys.select("c").distinct()
@@ -336,7 +349,7 @@ def copy_roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in pieces(batches):
             cs, ss = [], []
             for x in b.column(0):
-                c, h = content_of(x.as_py(), shingle)
+                c, h = content_of(list(shingle_hashes(x.as_py(), shingle)))
                 at = c & (bits - 1)
                 if c not in seen and len(h) and int(asked[at >> 6]) >> (at & 63) & 1:
                     seen.add(c)

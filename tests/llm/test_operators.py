@@ -513,6 +513,21 @@ def test_long_copies_are_found(spark):
     assert sorted(map(sorted, roots.values())) == [[0], [1], [2], [3]]
 
 
+def test_simhash_finds_copies_without_bands(spark):
+    """Without a band candidates are those of the SimHash links alone; those that only look alike to it stay apart."""
+    rng = random.Random(31)
+    word = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    bases, line = [word(1500) for _ in range(8)], word(9)
+    texts = [t for b in bases for t in (b, b + " " + word(1))]
+    texts += [" ".join([line] * 3000) + " " + word(10) for _ in range(4)]  # ruled by one line: equal SimHashes, sets apart
+    fps = [simhash.simhash64(simhash.shingle_hashes(t, 5)) for t in texts]
+    assert all((fps[i] ^ fps[i + 1]).bit_count() <= 3 for i in range(0, 16, 2)) and max((fps[16] ^ f).bit_count() for f in fps[17:]) <= 3
+    groups = {}
+    for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bands=0).collect():
+        groups.setdefault(r.root, set()).add(r.doc_id)
+    assert sorted(map(sorted, groups.values())) == [[i, i + 1] for i in range(0, 16, 2)] + [[i] for i in range(16, 20)]
+
+
 def test_keep_one(spark, odd_docs, no_docs):
     kept = simhash.keep_one(odd_docs.unionByName(odd_docs))  # every row twice
     rows = [(k, shingle_set(t)) for k, t in rows_of(odd_docs)]

@@ -9,6 +9,8 @@ import pyarrow as pa
 SIZES = (16, 8, 4, 2, 1)
 #: Bytes of text whose windows are hashed at once.
 SPAN = 1 << 19
+#: Bytes of terms that are compared at once, a longer term apart.
+COMPARED = 1 << 20
 
 
 def windows(data: np.ndarray, size: int) -> np.ndarray:
@@ -59,9 +61,18 @@ class TermScan:
     def __init__(self, terms: list[str]):
         self.terms = [t.encode() for t in terms]
         self.length = np.array([len(t) for t in self.terms], np.int64)
+        self.line, self.begin = np.frombuffer(b"".join(self.terms), np.uint8), np.cumsum(self.length) - self.length
         fits = np.array([next((s for s in SIZES if s <= n), 0) for n in self.length.tolist()])
         self.windows = [Window(s, [self.terms[i] for i in np.flatnonzero(fits == s)], np.flatnonzero(fits == s)) for s in SIZES if (fits == s).any()]
 
+    def equal(self, data: np.ndarray, start: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Which of the terms lie at their starts, byte by byte."""
+        n = self.length[term]
+        end = np.cumsum(n)
+        inside = np.arange(end[-1])
+        same = data[inside + np.repeat(start - end + n, n)] == self.line[inside + np.repeat(self.begin[term] - end + n, n)]
+        return np.logical_and.reduceat(same, end - n)
+
     def first(self, texts: pa.Array) -> np.ndarray:
         """For each text the number of its first term, -1 without one or for a null text."""
         wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
@@ -70,7 +81,7 @@ class TermScan:
         if buffer is None or not len(texts):
             return np.full(len(texts), -1, np.int64)
         edges = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        data, raw = np.frombuffer(buffer, np.uint8), memoryview(buffer).cast("B")
+        data = np.frombuffer(buffer, np.uint8)
         for w in self.windows:
             for at in range(int(edges[0]), int(edges[-1]), SPAN):
                 start, term = w.hits(data[at : min(int(edges[-1]), at + SPAN + w.size - 1)])
@@ -78,9 +89,13 @@ class TermScan:
                 row = np.searchsorted(edges, start, "right") - 1
                 some = (row >= 0) & (start + self.length[term] <= edges[np.clip(row + 1, 0, len(texts))])
                 some[some] = term[some] < best[row[some]]
-                order = np.flatnonzero(some)
-                order = order[np.lexsort((term[order], row[order]))]
-                for r, t, s in zip(row[order].tolist(), term[order].tolist(), start[order].tolist()):
-                    if t < best[r] and raw[s : s + len(self.terms[t])] == self.terms[t]:
-                        best[r] = t
+                left = np.flatnonzero(some)
+                if self.length[term[left]].sum() > COMPARED:
+                    left = left[np.argsort(term[left], kind="stable")]  # first terms first, so that later ones need no comparison
+                while len(left):
+                    many = max(1, int(np.searchsorted(np.cumsum(self.length[term[left]]), COMPARED, "right")))
+                    now, left = left[:many], left[many:]
+                    now = now[self.equal(data, start[now], term[now])]
+                    np.minimum.at(best, row[now], term[now])
+                    left = left[term[left] < best[row[left]]]
         return np.where(best < len(self.terms), best, -1)

@@ -4,6 +4,7 @@ import json
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,18 @@ def test_split_json_in_sql(spark):
     got = spark.sql("SELECT k, pos, obj FROM {t} t, LATERAL split_json(t.body)", t=df)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, feed.split_json(df).select("k", "pos", "obj").collect()))
     assert got.count() == 5
+
+
+def test_terms_are_compared_in_bounded_pieces(monkeypatch):
+    """Hits in a text of one character, with terms longer than what is compared at once, against plain search."""
+    from stallkeeper.operators import rolling
+
+    monkeypatch.setattr(rolling, "COMPARED", 64)
+    terms = ["a" * 100 + "b", "a" * 70, "é€", "aab", "ba", "a"]
+    texts = ["a" * 300, "a" * 99 + "b", "xé€y", "b", None, "", "aab" * 40, "c" + "a" * 100 + "b"]
+    scan = rolling.TermScan(terms)
+    sizes, whole = [], scan.equal
+    monkeypatch.setattr(scan, "equal", lambda data, start, term: sizes.append(int(scan.length[term].sum())) or whole(data, start, term))
+    want = [next((i for i, t in enumerate(terms) if x is not None and t in x), -1) for x in texts]
+    assert scan.first(pa.array(texts)).tolist() == want
+    assert scan.first(pa.array(["skipped", *texts]).slice(1)).tolist() == want and max(sizes) <= 101

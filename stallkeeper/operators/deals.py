@@ -71,14 +71,16 @@ def named_listings(listings: DataFrame, full: DataFrame, patterns: DataFrame, te
     """Listings (id, text) whose text has a term and a number: name, mode, ask (TWD) beside their other columns.
 
     The name comes from the dictionaries (``full``, then ``patterns``), wear, edition and category of the text, the ask from the number in it,
-    in RMB unless the text says TWD.
+    in RMB unless the text says TWD. All that a text says is read before the look-up, which Spark moves no expression across: read after it, it would be
+    read again for the filter and for each mention in the name.
     """
-    found = dictionary_lookup(listings.withColumn("__read", F.col(text_col)), full, patterns, "id", text_col)
-    text = F.col("__read")
-    read = found.withColumns({"wear": wear_to_en(text), "special": is_special(text), "category": match_category(text), "said": extract_price(text), "currency": F.when(text.contains("TWD"), "TWD").otherwise("RMB")})
+    text = F.col(text_col)
+    read = listings.withColumns({"wear": wear_to_en(text), "special": is_special(text), "category": match_category(text), "said": extract_price(text), "currency": F.when(text.contains("TWD"), "TWD").otherwise("RMB")})
+    read = read.withColumn("ask", to_twd(F.col("said"), F.col("currency")).cast("double"))
+    read = dictionary_lookup(read, full, patterns, "id", text_col)
     name = F.when(F.col("mode") == "full", canonical_name(F.col("target"), F.col("category"), F.col("wear"), F.col("special"), "full")).otherwise(
         canonical_name(F.col("target"), F.col("category"), F.col("wear"), F.col("special")))
-    return priced(read.withColumns({"name": name, "ask": to_twd(F.col("said"), F.col("currency")).cast("double")}).drop("__read"))
+    return priced(read.withColumn("name", name))
 
 
 def deals_of_texts(listings: DataFrame, full: DataFrame, patterns: DataFrame, prices: DataFrame, text_col: str = "content", min_margin: float = 5, min_volume: float = 50) -> DataFrame:

@@ -27,7 +27,7 @@ def listing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     ask = F.col("l_extendedprice") / F.col("l_quantity")
     line = F.col("l_linenumber") % 3
     lead = F.when(line == 0, " 算").when(line == 1, " =").otherwise(" 賣 ")
-    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"), "l_orderkey", "l_linenumber")
     joined = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_partkey").alias("part_key"), ask.alias("ask"),
                          F.concat(F.lit("【售】"), "p_name", F.lit(" "), "p_brand", F.lit(" "), wear, lead, F.floor(ask).cast("string"),

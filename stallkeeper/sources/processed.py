@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import has_id
-from ..staging import commit_file, delete, new_folder, staged
+from ..staging import commit_file, staged
 
 #: Bits of a shard's filter, what bitmap_construct_agg makes.
 BITS = 32768
@@ -25,6 +25,8 @@ IDS = 2048
 FANOUT = 8
 #: Filters of up to this many bytes in all, those of the smallest segments, go to every task: their few shards would be hot keys of a join.
 MOST_SENT = 32 << 20
+#: Ids that a task may hold in a hash table, so that rows joined with them need no sort.
+MOST_HASHED = 1_000_000
 #: Up to this many shards are asked for by number, which prunes row groups; beyond it a segment is read whole.
 MOST_SHARDS = 1000
 
@@ -116,14 +118,30 @@ class ProcessedIds:
         return asked.join(how(reduce(DataFrame.unionByName, each)), ["shards", "shard"]).filter(passes()).select("id", "folder", "shard")
 
     def seen(self, ids: DataFrame, but_run: int = -1) -> DataFrame:
-        """Those of ``ids`` (id) that a run other than ``but_run`` has handled, once each.
+        """Those of ``ids`` (id) that a run other than ``but_run`` has handled, once each."""
+        asked = ids.select(F.col("id").cast("string").alias("id")).filter(has_id(F.col("id"))).distinct()
+        return asked.join(self.handled(ids, but_run), "id", "left_semi")
 
-        Filters are read of all segments, ids only of segments and shards that may hold one; the join with them is exact.
+    def handled(self, ids: DataFrame, but_run: int = -1) -> DataFrame:
+        """id that runs other than ``but_run`` have handled, for a join: all of ``ids`` among them, and maybe others; an id may come twice.
+
+        The smallest segments, with no more ids in all than are asked for, are given whole: to screen that many ids would cost more than to join
+        them. Of the others filters are read, ids only of segments and shards that may hold one that is asked for.
         """
-        _, segments = self.version()
-        segments = [s for s in segments if (s.first, s.last) != (but_run, but_run)]
+        segments = sorted((s for s in self.version()[1] if (s.first, s.last) != (but_run, but_run)), key=lambda s: s.shards)
         if not segments:
             return self.spark.createDataFrame([], "id string")
+        asked, whole = ids.count(), []
+        while segments and sum(s.shards for s in [*whole, segments[0]]) * IDS <= asked:
+            whole.append(segments.pop(0))
+        known = self._rows(whole).filter(F.col("run") != but_run).select("id")
+        if segments:
+            return known.unionByName(self._screened(ids, segments, but_run)) if whole else self._screened(ids, segments, but_run)
+        hashed = sum(s.shards for s in whole) * IDS <= MOST_HASHED * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return known.hint("shuffle_hash") if hashed else known
+
+    def _screened(self, ids: DataFrame, segments: list[Segment], but_run: int) -> DataFrame:
+        """id of ``segments``: all of ``ids`` among them, and some others."""
         may = staged(self.candidates(ids.select(F.col("id").cast("string").alias("id")).filter(has_id(F.col("id"))).distinct(), segments), "may-be-seen")
         hit = may.select("folder", "shard").distinct().limit(MOST_SHARDS + 1).collect()
         if len(hit) > MOST_SHARDS:
@@ -132,24 +150,22 @@ class ProcessedIds:
             shards = [(r[0], r[1]) for r in hit]
             folders = {f for f, _ in shards}
         known = self._rows([s for s in segments if s.folder in folders], shards).filter(F.col("run") != but_run)
-        return may.select("id").distinct().join(known.select("id"), "id", "left_semi")
+        return known.select("id").join(may.select("id"), "id", "left_semi")
 
     def _write(self, rows: DataFrame, first: int, last: int, tier: int) -> Segment:
-        """A new segment of ``rows`` (id, run)."""
-        at = new_folder(self.spark, "segment-rows")
-        kept = staged(rows.select("id", F.col("run").cast("int").alias("run")).distinct(), "segment-rows", at)
-        shards = 1
-        while shards * IDS < kept.count():
+        """A new segment of ``rows`` (id, run), which are counted, sampled and dealt: three readings. Rows that are repeated meet in their shard and are kept once."""
+        rows = rows.select("id", F.col("run").cast("int").alias("run"))
+        n, shards = rows.count(), 1
+        while shards * IDS < n:
             shards *= 2
         folder = uuid.uuid4().hex
-        to, placed = f"{self.path}/data/{folder}", kept.withColumn("shard", shard_of(shards))
+        to, placed = f"{self.path}/data/{folder}", rows.withColumn("shard", shard_of(shards))
         files = max(1, min(shards, shards * IDS // 1_000_000))
         dealt = placed.repartitionByRange(files, "shard") if files > 1 else placed.coalesce(1)
-        dealt.sortWithinPartitions("shard", "id").write.option("compression", "zstd").parquet(f"{to}/ids")
+        dealt.dropDuplicates(["shard", "id", "run"]).sortWithinPartitions("shard", "id").write.option("compression", "zstd").parquet(f"{to}/ids")
         written = self.spark.read.schema("id string, run int, shard int").parquet(f"{to}/ids")
         bits = written.select("shard", F.explode(F.array(*positions())).alias("p")).groupBy("shard").agg(F.bitmap_construct_agg("p").alias("bits"))
         bits.repartition(max(1, files // 8)).write.parquet(f"{to}/filters")
-        delete(self.spark, at)
         return Segment(folder, first, last, tier, shards)
 
     def _commit(self, number: int, segments: list[Segment]) -> bool:
@@ -157,7 +173,7 @@ class ProcessedIds:
         return commit_file(self.spark, f"{self.path}/log/v-{number + 1}", "".join(json.dumps(asdict(s)) + "\n" for s in segments))
 
     def append(self, ids: DataFrame, run: int) -> None:
-        """Keep the ids (id) that ``run`` handled, in place of those it may have kept before; then merge what has become many."""
+        """Keep the ids (id, of a stored table: they are read three times) that ``run`` handled, in place of those it may have kept before; then merge what has become many."""
         mine = self._write(ids.select(F.col("id").cast("string").alias("id"), F.lit(run).alias("run")).filter(has_id(F.col("id"))), run, run, 0)
         while True:
             number, segments = self.version()

@@ -90,8 +90,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROW_GROUP = 128 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df``; where there is less than a row group for each core, its rows are dealt over all cores, as one row group is one task. Large inputs stay as they are."""
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """``df``; where there is less than a row group for each core, its rows are dealt over all cores, as one row group is one task. Large inputs stay as they are.
+
+    Rows are dealt by the hash of ``key``, columns that few rows share; without one by turns, for which Spark sorts them first.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # Catalyst's estimate, no job
-    return df.repartition(cores) if size < cores * ROW_GROUP else df
+    return df.repartition(cores, *key) if size < cores * ROW_GROUP else df

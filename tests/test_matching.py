@@ -146,3 +146,32 @@ def test_terms_are_compared_in_bounded_pieces(monkeypatch):
     want = [next((i for i, t in enumerate(terms) if x is not None and t in x), -1) for x in texts]
     assert scan.first(pa.array(texts)).tolist() == want
     assert scan.first(pa.array(["skipped", *texts]).slice(1)).tolist() == want and max(sizes) <= 101
+
+
+def test_names_are_priced_once(spark, tmp_path, monkeypatch):
+    """Listings of one name ask for its price once, found or not; each listing is a deal of its own, repeated ids too."""
+    from stallkeeper.operators import scan as scans
+
+    asked, match = [], scans.match_price
+    monkeypatch.setattr(scans, "match_price", lambda names, *more: asked.append(sorted(r.name for r in names.collect())) or match(names, *more))
+    full = spark.createDataFrame([("紅線", "Redline", 0), ("火蛇", "Serpent", 1), ("龍王", "Dragon", 2)], "term string, target string, ord int")
+    table = VersionedTable(spark, str(tmp_path / "prices"), "item string, price_twd double, volume long, last_updated timestamp", buckets=2)
+    table.merge(spark.createDataFrame([("Redline (Field-Tested)", 3000.0, 90), ("Serpent (Field-Tested)", None, 90)], "item string, price_twd double, volume long").withColumn("last_updated", F.lit("2020-01-01").cast("timestamp")), ["last_updated"])
+    quotes = spark.createDataFrame([("Serpent (Field-Tested)", 2000.0)], "item string, price_twd double")
+    rows = [("a", "紅線 =500 TWD"), ("b", "紅線 =600 TWD"), ("b", "紅線 =700 TWD"), ("c", "火蛇 =800 TWD"), ("d", "火蛇 =900 TWD"), ("e", "龍王 =900 TWD")]
+    listings = spark.createDataFrame(rows, "id string, content string")
+    got = scans.scan(listings, str(tmp_path / "scan"), 1, full, full.limit(0), table, [("second", lambda missed: quotes)]).collect()
+    want = [("a", 500.0, 3000.0, 90, "exact"), ("b", 600.0, 3000.0, 90, "exact"), ("b", 700.0, 3000.0, 90, "exact"), ("c", 800.0, 2000.0, None, "second"), ("d", 900.0, 2000.0, None, "second")]
+    assert sorted((r.id, r.ask, r.price_twd, r.volume, r.match_kind) for r in got) == want
+    assert asked == [["Dragon (Field-Tested)", "Redline (Field-Tested)", "Serpent (Field-Tested)"]]
+
+
+def test_texts_are_read_once(spark):
+    """The plan of named listings has each pattern of the price once."""
+    from stallkeeper.operators.deals import named_listings
+
+    full = spark.createDataFrame([("紅線", "Redline", 0)], "term string, target string, ord int")
+    listings = spark.createDataFrame([("a", "紅線 =５00 TWD"), ("b", "紅線 1,200 http://h/300"), ("c", "紅線"), ("d", None)], "id string, content string")
+    named = named_listings(listings, full, full.limit(0))
+    assert named._jdf.queryExecution().optimizedPlan().toString().count("[0-9]{3,}") == 1
+    assert sorted((r.id, r.ask, r.name) for r in named.collect()) == [("a", 500.0, "Redline (Field-Tested)"), ("b", 5400.0, "Redline (Field-Tested)")]

@@ -62,3 +62,19 @@ def test_rate_of_false_positives(spark, tmp_path, monkeypatch, most_sent):
     assert store.candidates(others, segments).count() < 50_000 / 300
     monkeypatch.setattr(processed, "MOST_SHARDS", 3)
     assert store.seen(held.limit(5000).unionByName(others)).count() == 5000
+
+
+def test_many_ids_are_joined_whole(spark, tmp_path, monkeypatch):
+    """Segments with no more ids in all than are asked for are not screened; larger ones are. Answers as with sets, repeated ids kept once."""
+    monkeypatch.setattr(processed, "IDS", 4)
+    store, screened, screen = ProcessedIds(spark, str(tmp_path)), [], ProcessedIds.candidates
+    monkeypatch.setattr(ProcessedIds, "candidates", lambda self, ids, segments: screened.append([s.shards for s in segments]) or screen(self, ids, segments))
+    store.append(frame(spark, [f"a{i}" for i in range(8)] * 2), 1)
+    store.append(frame(spark, ["b0", "b1", "a7", ""]), 2)
+    assert store.version()[1][0].shards == 4 and sorted(r.id for r in store._rows(store.version()[1][:1]).collect()) == sorted(f"a{i}" for i in range(8))
+    asked = [f"a{i}" for i in range(4, 20)] + ["b1", "b1", None]
+    assert told(store.seen(frame(spark, asked), 2)) == ["a4", "a5", "a6", "a7"] and screened == []
+    assert told(store.seen(frame(spark, asked[:13] + ["b1"]))) == ["a4", "a5", "a6", "a7", "b1"] and screened == [[4]]
+    assert told(store.seen(frame(spark, ["b0", "a1", "x"]))) == ["a1", "b0"] and screened[1:] == [[1, 4]]
+    monkeypatch.setattr(processed, "MOST_HASHED", 0)
+    assert told(store.seen(frame(spark, asked * 2))) == ["a4", "a5", "a6", "a7", "b1"] and len(screened) == 2

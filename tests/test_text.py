@@ -73,3 +73,7 @@ def test_money(spark):
     e = value(spark, M.economics, 1000.0, 900.0)
     assert (e.net, e.profit, round(e.margin, 3)) == (985, 85, 9.444) and value(spark, M.economics, 1.0, 0.0).margin == 0
     assert value(spark, M.fmt_money, 1234.5) == "NT$1,234" and value(spark, M.fmt_sign, -1.0) == ""
+
+
+def test_every_category_word_has_a_part():
+    assert all(any(p in w for p in X.CATEGORY_PARTS) for w, _ in X.CATEGORIES)
